@@ -78,16 +78,24 @@ def substitution_rows(variants: DataFrame, refs: DataFrame, max_variants: int |
 
     The order of the steps is part of the meaning: filters, size gate, variant
     cap, explode, row subsample, row gate. ``None`` switches a cap off.
+
+    Both gates and the cap flag come from one count per dataset. That is exact
+    because a dataset too small for the row gate has fewer than ``MIN_ROWS``
+    variants and is never touched by a cap of at least that size.
     """
-    used = min_size(valid_variants(variants, refs, single_site_only), ["dataset"], MIN_VARIANTS)
-    if max_variants is None:
-        used = used.withColumn("capped", F.lit(False))
-    else:
-        used = capped(used, ["dataset"], "variant_id", max_variants, seed, flag="capped")
+    for cap in (max_variants, max_rows):
+        if cap is not None and cap < MIN_ROWS:
+            raise ValueError(f"caps below {MIN_ROWS} would empty every dataset")
+    used = valid_variants(variants, refs, single_site_only)
+    sizes = used.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("_variants"), F.sum(F.size("subs")).alias("_rows")
+    ).filter((F.col("_variants") >= MIN_VARIANTS) & (F.col("_rows") >= MIN_ROWS))
+    over = F.lit(False) if max_variants is None else F.col("_variants") > max_variants
+    used = used.join(sizes.select("dataset", over.alias("capped")), "dataset")
+    if max_variants is not None:
+        used = capped(used, ["dataset"], "variant_id", max_variants, seed)
     rows = explode_substitutions(used)
-    if max_rows is not None:
-        rows = capped(rows, ["dataset"], "row_id", max_rows, seed)
-    return min_size(rows, ["dataset"], MIN_ROWS)
+    return rows if max_rows is None else capped(rows, ["dataset"], "row_id", max_rows, seed)
 
 
 def bookkeeping(rows: DataFrame) -> DataFrame:
