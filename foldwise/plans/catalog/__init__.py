@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("rows",)
+_MODULES = ("rows", "curves", "paired")
 
 
 def load() -> tuple[dict, dict]:

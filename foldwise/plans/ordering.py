@@ -83,20 +83,26 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, slice_rows:
     )
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *,
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *, ties: str | None = None,
                  slice_rows: int = SLICE_ROWS, group_rows: int | None = None) -> DataFrame:
-    """Rank inside the group, ties sharing their mean rank. Values must not be NULL."""
+    """Rank inside the group, ties sharing their mean rank. Values must not be NULL.
+
+    ``ties`` names a column for the number of rows that share the value.
+    """
     points = slice_points(df, value, slice_rows, group_rows)
     if not points:
-        group = Window.partitionBy(*keys)
         tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        return df.withColumn(
-            out, (F.rank().over(group.orderBy(value)) + (tied - 1) / F.lit(2.0)).cast("double")
+        first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+        ranked = df.withColumn("_tied", tied).withColumn(
+            out, (first + (F.col("_tied") - 1) / F.lit(2.0)).cast("double")
         )
-    ranks = value_counts(df, keys, value, points=points).select(
-        *keys, value, (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(out)
-    )
-    return df.join(ranks, [*keys, value])
+    else:
+        ranks = value_counts(df, keys, value, points=points).select(
+            *keys, value, F.col("n").alias("_tied"),
+            (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(out),
+        )
+        ranked = df.join(ranks, [*keys, value])
+    return ranked.withColumnRenamed("_tied", ties) if ties else ranked.drop("_tied")
 
 
 def group_index(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str | Column], out: str, *,
