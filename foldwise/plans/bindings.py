@@ -125,11 +125,74 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dataset, seq_no, seq: the letters of every document, whole texts."""
+def letters(text):
+    """The residue letters of a text in capitals; foreign letters go first, see the note in the checks."""
     foreign = f"[^{AMINO_ACIDS}{AMINO_ACIDS.lower()}]"
-    return table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("dataset"),
-        F.col("doc_id").alias("seq_no"),
-        F.upper(F.regexp_replace("text", foreign, "")).alias("seq"),
+    return F.upper(F.regexp_replace(text, foreign, ""))
+
+
+def alignments(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
+    """dataset, seq_no, part, seq: the letters of every document, wrapped to lines of ``width``."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("lang").alias("dataset"), F.col("doc_id").alias("seq_no"), letters("text").alias("_t")
+    )
+    last = F.greatest(F.ceil(F.length("_t") / width) - 1, F.lit(0)).cast("int")
+    return docs.select("dataset", "seq_no", "_t", F.explode(F.sequence(F.lit(0), last)).alias("part")).select(
+        "dataset", "seq_no", "part", F.col("_t").substr(F.col("part") * width + 1, F.lit(width)).alias("seq")
+    )
+
+
+def alignment_refs(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("dataset")).distinct().withColumn(
+        "seq_len", F.lit(width)
+    )
+
+
+def scores(rows: DataFrame) -> DataFrame:
+    """A substitution-score table counted from the rows: from_aa, to_aa, score."""
+    return rows.groupBy("from_aa", "to_aa").agg((F.count(F.lit(1)) % 9 - 4).cast("double").alias("score"))
+
+
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, pos, layer, token_id, letter, logit: every vector read as two layers of 32 tokens."""
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("pos"), "embedding")
+    places = references(spark, sf_dir).select(
+        "dataset", F.explode(F.sequence(F.lit(1), F.col("seq_len"))).alias("pos")
+    )
+    tokens = places.join(vectors, "pos").select("dataset", "pos", F.posexplode("embedding").alias("_i", "_v"))
+    token = F.col("_i") % 32
+    return tokens.select(
+        "dataset", "pos", F.floor(F.col("_i") / 32).cast("int").alias("layer"), token.alias("token_id"),
+        F.when(token < 30, F.lit(AMINO_ACIDS).substr(token % 20 + 1, F.lit(1))).alias("letter"),
+        F.col("_v").cast("double").alias("logit"),
+    )
+
+
+def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset (= vector id), plddt, iptm."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("dataset"),
+        F.transform("embedding", lambda x: F.abs(x.cast("double")) * 300).alias("plddt"),
+        (F.col("label") / 10.0).alias("iptm"),
+    )
+
+
+def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, i, pae_row: one error row per residue."""
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("dataset"), "embedding", F.explode(F.sequence(F.lit(1), F.size("embedding"))).alias("i")
+    ).select(
+        "dataset", "i",
+        F.transform("embedding", lambda x, k: F.abs(x.cast("double")) * 30 + F.abs(F.col("i") - 1 - k) / 8.0).alias("pae_row"),
+    )
+
+
+def confidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset (= vector id), row_id, pos: line items as places on those structures, some beyond the end."""
+    n = vector_count(spark, sf_dir)
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") % n).alias("dataset"),
+        F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_suppkey").cast("string"), F.col("l_partkey").cast("string")).alias("row_id"),
+        (F.col("l_suppkey") % 70 + 1).cast("int").alias("pos"),
     )

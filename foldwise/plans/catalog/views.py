@@ -64,11 +64,32 @@ res as (
   from events group by 1, 2, 3, 4)
 """
 
+# foreign letters are removed before upper(): some of them have two-letter capitals
+LETTERS = f"upper(regexp_replace(text, '[^{AA}{AA.lower()}]', '', 'g'))"
+
 ALIGNED = f"""
-msa as (
-  select lang dataset, doc_id seq_no,
-         upper(regexp_replace(text, '[^{AA}{AA.lower()}]', '', 'g')) seq
-  from documents)
+lt as (select lang dataset, doc_id seq_no, {LETTERS} t from documents),
+msa as (select dataset, seq_no, part, substr(t, cast(part * 60 + 1 as int), 60) seq
+        from (select *, unnest(range(0, greatest(cast(ceil(length(t) / 60.0) as int), 1))) part from lt))
+"""
+
+LOGITS = REFS + f"""
+, lg as (
+  select r.dataset, e.pos, cast(i // 32 as int) layer, cast(i % 32 as int) token_id,
+         case when i % 32 < 30 then substr('{AA}', cast(i % 32 % 20 + 1 as int), 1) end letter,
+         cast(e.embedding[i + 1] as double) logit
+  from refs r join (select cast(vec_id + 1 as int) pos, embedding, unnest(range(0, 64)) i from embeddings) e
+    on e.pos <= r.seq_len)
+"""
+
+CONFIDENCE = """
+nv as (select count(*) nvec from embeddings),
+cf as (select vec_id dataset, list_transform(embedding, lambda x: abs(cast(x as double)) * 300) plddt, label / 10.0 iptm from embeddings),
+pe as (select vec_id dataset, i, list_transform(embedding, lambda x, k: abs(cast(x as double)) * 30 + abs(i - k) / 8.0) pae_row
+       from (select *, unnest(range(1, 65)) i from embeddings)),
+cr as (select l_partkey % nvec dataset, l_orderkey || ':' || l_linenumber || ':' || l_suppkey || ':' || l_partkey row_id,
+              cast(l_suppkey % 70 + 1 as int) pos, greatest(1, least(cast(l_suppkey % 70 + 1 as int), 64)) i
+       from lineitem, nv)
 """
 
 

@@ -21,6 +21,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.session import materialise
+
 SLICE_ROWS = 1_000_000
 MAX_SLICES = 4096
 
@@ -153,3 +155,21 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str | Colu
         place = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
         salted = salted.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
     return salted.drop("_salt")
+
+
+def sorted_index(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """0-based place of each row in a total order of any column type.
+
+    The sorted rows are written once, because the starts of the partitions and the
+    rows themselves must come from the same sort; the starts are one row per
+    partition.
+    """
+    ids = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = ids.withColumn("_part", part).withColumn("_in", inside)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(out, F.col("_in") + F.col("_start")).drop(
+        "_id", "_part", "_in", "_start"
+    )
