@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("rows", "curves", "paired", "features")
+_MODULES = ("rows", "curves", "paired", "features", "similarity", "keyed")
 
 
 def load() -> tuple[dict, dict]:
