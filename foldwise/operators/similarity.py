@@ -106,7 +106,7 @@ def cka_matrix(hidden: DataFrame, diagonal_corrected: bool = False) -> DataFrame
         F.flatten("vecs").alias("z"),
     )
 
-    def solve(key, blocks: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, blocks):
         layers = [int(x) for x in key[1].split(",")]
         g = assemble(blocks)
         n, mean = g[0, 0], g[0, 1:] / g[0, 0]
@@ -131,7 +131,7 @@ def cka_sampled(hidden: DataFrame, refs: DataFrame, n_positions: int = 50, seed:
     """
     chosen = hidden.join(position_sample(refs, n_positions, seed), ["dataset", "pos"], "left_semi")
 
-    def solve(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def solve(key, pdf):
         layers = sorted(int(x) for x in pdf["layer"].unique())
         per = {}
         for lay in layers:

@@ -39,45 +39,58 @@ def as_matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
     return flat.reshape(len(rows), -1).astype(np.float64, copy=False)
 
 
-def gram(df: DataFrame, keys: Sequence[str], vec: str) -> DataFrame:
-    """Gram matrix of (1, vec) per group: keys, ``block``, ``part`` (row block, row-major)."""
-    keys = list(keys)
-    fields = {f.name: f for f in df.schema.fields}
-    key_schema = [T.StructField(k, fields[k].dataType) for k in keys]
-    schema = T.StructType([*key_schema, T.StructField("block", T.IntegerType()),
+def key_fields(df: DataFrame, keys: Sequence[str]) -> list[T.StructField]:
+    return [T.StructField(k, df.schema[k].dataType) for k in keys]
+
+
+def gram(df: DataFrame, keys: Sequence[str], vec: str, folds: Sequence[str] = ()) -> DataFrame:
+    """Gram matrix of (1, vec) per group: keys, ``block``, ``part`` (row block, row-major).
+
+    ``folds`` names fold columns. Each gives its own set of matrices, one per
+    fold, told apart by ``split`` (the column's name) and ``fold``; the rows
+    themselves go to Python once.
+    """
+    keys, folds = list(keys), list(folds)
+    fold_fields = [T.StructField("split", T.StringType()), T.StructField("fold", T.IntegerType())] if folds else []
+    schema = T.StructType([*key_fields(df, keys), *fold_fields, T.StructField("block", T.IntegerType()),
                            T.StructField("part", T.ArrayType(T.DoubleType(), False))])
-    arrow_keys = list(keys)
+    group_by = [*keys, "split", "fold"] if folds else keys
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, np.ndarray] = {}
-        types = {}
+        types: dict[str, pa.DataType] = {}
 
         def flush():
             for key, g in held.items():
                 blocks = [g[i:i + BLOCK_ROWS].ravel() for i in range(0, len(g), BLOCK_ROWS)]
-                arrays = [pa.array([key[j]] * len(blocks), type=types[k]) for j, k in enumerate(arrow_keys)]
+                arrays = [pa.array([v] * len(blocks), type=types[k]) for k, v in zip(group_by, key, strict=True)]
                 arrays.append(pa.array(range(len(blocks)), type=pa.int32()))
                 arrays.append(pa.array(blocks, type=pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(arrays, [*arrow_keys, "block", "part"])
+                yield pa.RecordBatch.from_arrays(arrays, [*group_by, "block", "part"])
             held.clear()
 
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            types = {k: batch.schema.field(k).type for k in arrow_keys}
-            for key, rows in group_positions(batch, arrow_keys).items():
+            types = {k: batch.schema.field(k).type for k in keys} | {"split": pa.string(), "fold": pa.int32()}
+            marks = {f: batch.column(f).to_numpy(zero_copy_only=False) for f in folds}
+            for key, rows in group_positions(batch, keys).items():
                 x = as_matrix(batch.column(vec), rows)
                 z = np.hstack([np.ones((len(x), 1)), x])
-                if key in held:
-                    held[key] += z.T @ z
+                if folds:
+                    cells = [((*key, f, int(v)), z[m]) for f in folds
+                             for v in np.unique(marks[f][rows]) for m in [marks[f][rows] == v]]
                 else:
-                    held[key] = z.T @ z
+                    cells = [(key, z)]
+                for cell, part in cells:
+                    g = part.T @ part
+                    held[cell] = held[cell] + g if cell in held else g
             if sum(g.nbytes for g in held.values()) > BUDGET_BYTES:
                 yield from flush()
         yield from flush()
 
-    parts = df.select(*keys, vec).mapInArrow(partial, schema)
-    return parts.groupBy(*keys, "block").agg(
+    parts = df.select(*keys, *folds, vec).mapInArrow(partial, schema)
+    return parts.groupBy(*group_by, "block").agg(
         vector_to_array(Summarizer.sum(array_to_vector(F.col("part")))).alias("part")
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,21 +31,34 @@ def local_session(app: str = "foldwise", cpus: str | None = None) -> SparkSessio
     )
 
 
+def one_thread_per_task(spark: SparkSession) -> None:
+    """Keep the matrix library of Python workers to one thread: Spark already fills the cores with tasks."""
+    for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+        spark.sparkContext.environment.setdefault(name, "1")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one under a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="foldwise-")
+    return folder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for a table inside the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the reliable checkpoint folder and read it back.
 
     Used where two readers must see the same physical rows, or where recomputing
-    a Python stage twice would cost more than one write. The folder is the one
-    the cluster names in ``spark.checkpoint.dir``; a temporary folder is used
-    only by a local master, where driver and executors share the machine.
+    a Python stage twice would cost more than one write.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="foldwise-checkpoint-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
