@@ -47,15 +47,14 @@ def csv_source(spark, d):
 
 
 def _documents(res):
-    """One nested JSON document per (model, split), datasets and layers as keys."""
+    """Nested JSON documents named by condition, one per dataset, layers as keys."""
     node = F.to_json(F.struct(F.col("rho").alias("spearman"), F.col("n")))
     layers = res.groupBy("model", "split", "dataset").agg(
         F.concat_ws(", ", F.transform(F.sort_array(F.collect_list(F.struct("layer", node.alias("j")))),
                                       lambda s: F.concat(F.lit('"'), s["layer"].cast("string"), F.lit('": '), s["j"]))).alias("j"))
-    entry = F.concat(F.lit('"'), "dataset", F.lit('": {"n_rows": 10, "n_variants": 9, "capped": false, "result": {'), "j", F.lit("}}"))
-    return layers.groupBy("model", "split").agg(
-        F.concat(F.lit("{"), F.concat_ws(", ", F.collect_list(entry)), F.lit("}")).alias("value")
-    ).select(F.concat(F.lit("/in/v4__"), "model", F.lit("__combined__"), "split", F.lit(".json")).alias("file"), "value")
+    return layers.select(
+        F.concat(F.lit("/in/v4__"), "model", F.lit("__combined__"), "split", F.lit(".json")).alias("file"),
+        F.concat(F.lit('{"'), "dataset", F.lit('": {"n_rows": 10, "n_variants": 9, "capped": false, "result": {'), "j", F.lit("}}}")).alias("value"))
 
 
 def nested_results(spark, d):
@@ -66,18 +65,17 @@ def nested_results(spark, d):
 def flat_results(spark, d):
     """The single-score payload, with undefined scores."""
     means = B.results(spark, d).groupBy(*BY, "dataset").agg(F.max("rho").alias("rho"), F.count(F.lit(1)).alias("n"))
-    score = F.when(F.col("n") == 1, "NaN").otherwise(F.format_number("rho", "0.000000000"))
-    entry = F.concat(F.lit('"'), "dataset", F.lit('": {"n_rows": 5, "capped": true, "result": {"spearman": '), score,
-                     F.lit(', "n": '), F.col("n").cast("string"), F.lit(', "alphas": [1.0, 10.0]}}'))
-    docs = means.groupBy(*BY).agg(F.concat(F.lit("{"), F.concat_ws(", ", F.collect_list(entry)), F.lit("}")).alias("value"))
-    files = docs.select(F.concat(F.lit("v4__"), "model", F.lit("__auxiliary_only__"), "split", F.lit("__shard2.json")).alias("file"), "value")
+    score = F.when(F.col("n") == 1, "NaN").otherwise(F.format_string("%.9f", "rho"))
+    entry = F.concat(F.lit('{"'), "dataset", F.lit('": {"n_rows": 5, "capped": true, "result": {"spearman": '), score,
+                     F.lit(', "n": '), F.col("n").cast("string"), F.lit(', "alphas": [1.0, 10.0]}}}'))
+    files = means.withColumn("value", entry).select(F.concat(F.lit("v4__"), "model", F.lit("__auxiliary_only__"), "split", F.lit("__shard2.json")).alias("file"), "value")
     return R.parse_results(files).select("arm", "featset", "split", "shard", "dataset", "layer", "n", *_r("rho"))
 
 
 def pooling_flatten(spark, d):
     """Pooling documents, one per dataset; layer 3 plays the strategy whose scores sit one level deeper."""
     res = B.results(spark, d)
-    node = F.concat(F.lit('{"ridge": {"spearman": '), F.format_number("rho", "0.000000000"), F.lit(', "n": '), F.col("n").cast("string"), F.lit("}}"))
+    node = F.concat(F.lit('{"ridge": {"spearman": '), F.format_string("%.9f", "rho"), F.lit(', "n": '), F.col("n").cast("string"), F.lit("}}"))
     deep = F.concat(F.lit('{"rho": '), node, F.lit(', "layer_weights_per_fold": [[0.5, 0.5]]}'))
     cell = F.concat(F.lit('"s'), F.col("layer").cast("string"), F.lit('__combined": '), F.when(F.col("layer") == 3, deep).otherwise(node))
     splits = res.groupBy("dataset", "model", "split").agg(F.concat_ws(", ", F.collect_list(cell)).alias("j"))

@@ -103,7 +103,7 @@ def report_cells(results: DataFrame, by: list[str], final_layer: int) -> DataFra
 
 
 def _signed(x: Column) -> Column:
-    return F.when(x.isNotNull(), F.concat(F.when(x < 0, "-").otherwise("+"), F.format_number(F.abs(x), "0.000")))
+    return F.when(x.isNotNull(), F.format_string("%+.3f", x))
 
 
 def markdown(cells: DataFrame, rows: list[str], column: str, levels: list[str]) -> DataFrame:
