@@ -110,20 +110,25 @@ def feature_set(name: str, emb: Column, aux: Column | None = None, struct: Colum
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def model_input(seq: Column, structure: Column | None = None, mask_pos: Column | None = None,
-                paired: bool = False) -> Column:
+def model_input(seq: Column, structure: Column | None = None, paired: bool = False) -> Column:
     """Space-joined model tokens of a sequence.
 
     ``paired`` appends to each letter its structure letter (``#`` where there is
-    none); ``mask_pos`` replaces the token at that 1-based place by the mask.
+    none), so tokens are two letters wide instead of one.
     """
-    letters = F.split(seq, "")
+    if not paired:
+        return F.array_join(F.split(seq, ""), " ")
+    marks = F.repeat(F.lit(GAP), F.length(seq)) if structure is None else F.rpad(structure, F.length(seq), F.lit(GAP))
+    return F.array_join(F.zip_with(F.split(seq, ""), F.split(marks, ""), lambda a, b: F.concat(a, b)), " ")
 
-    def token(c: Column, i: Column) -> Column:
-        t = c
-        if paired:
-            s = F.lit(GAP) if structure is None else F.coalesce(structure.substr(i + 1, F.lit(1)), F.lit(GAP))
-            t = F.concat(c, s)
-        return t if mask_pos is None else F.when(i + 1 == mask_pos, F.lit(MASK)).otherwise(t)
 
-    return F.array_join(F.transform(letters, token), " ")
+def masked_input(tokens: Column, pos: Column, paired: bool = False) -> Column:
+    """Model tokens with the one at a 1-based position replaced by the mask.
+
+    All tokens are equally wide, so the text around the mask is cut out by place;
+    the tokens themselves are built once per sequence.
+    """
+    width = 3 if paired else 2
+    return F.concat(
+        F.substring(tokens, F.lit(1), (pos - 1) * width), F.lit(MASK), F.substring(tokens, pos * width, F.length(tokens))
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.substitutions import finite
 from foldwise.plans.ordering import SLICE_ROWS, average_rank
+from foldwise.session import materialise
 
 
 def linear(x: Column, y: Column) -> Column:
@@ -29,6 +30,10 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 10, *,
     """
     pairs = df.select(*keys, finite(F.col(x)).alias("_x"), finite(F.col(y)).alias("_y"))
     pairs = pairs.filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    if group_rows is None:
+        # written once: counting, both rankings and their joins read the pairs
+        pairs = materialise(pairs)
+        group_rows = pairs.count()
     bound = {"slice_rows": slice_rows, "group_rows": group_rows}
     ranked = average_rank(average_rank(pairs, keys, "_x", "_rx", **bound), keys, "_y", "_ry", **bound)
     scored = ranked.groupBy(*keys).agg(

@@ -9,7 +9,8 @@ from foldwise.functions.hashing import md5_int, mix31
 from foldwise.functions.signed_rank import signed_rank_p
 from foldwise.functions.tdist import t_cdf, t_quantile
 from foldwise.operators.curves import best_layer, layer_curve
-from foldwise.plans.ordering import SLICE_ROWS, average_rank, group_index, slice_points, value_counts
+from foldwise.plans.ordering import SLICE_ROWS, average_rank, group_index, value_counts
+from foldwise.session import materialise
 
 MARGIN = 0.01
 ARRAY_ROWS = 65_536
@@ -157,9 +158,9 @@ def bootstrap_ci(deltas: DataFrame, keys: list[str], lo: float, hi: float, *, un
     larger ones the draws are joined to the units by place. Both give the same
     numbers. The final percentile sees ``n_boot`` means per comparison.
     """
-    seen = deltas.filter(F.col(value).isNotNull()).select(*keys, unit, value).withColumn(
+    seen = materialise(deltas.filter(F.col(value).isNotNull()).select(*keys, unit, value).withColumn(
         "_h", md5_int(F.col(unit).cast("string"), 1, 12).cast("double")
-    )
+    ))
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     largest = sizes.agg(F.max("_c")).first()[0] or 0
     if largest <= array_rows:
@@ -237,7 +238,9 @@ def verdict_tally(table: DataFrame, by: list[str], margin: float = MARGIN, near:
 def signed_rank(deltas: DataFrame, keys: list[str], value: str = "d", min_n: int = 1, *,
                 slice_rows: int = SLICE_ROWS, group_rows: int | None = None) -> DataFrame:
     """Signed-rank statistic: n, n_zero, w_plus, w_minus, z (no continuity correction)."""
-    seen = deltas.filter(F.col(value).isNotNull())
+    seen = deltas.filter(F.col(value).isNotNull()).select(*keys, value)
+    if group_rows is None:
+        seen = materialise(seen)
     zeros = seen.groupBy(*keys).agg(F.count_if(F.col(value) == 0).alias("n_zero"))
     moved = seen.filter(F.col(value) != 0).select(*keys, F.col(value).alias("_d"), F.abs(value).alias("_a"))
     ranked = average_rank(moved, keys, "_a", "_r", ties="_t", slice_rows=slice_rows, group_rows=group_rows)
@@ -270,8 +273,10 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05, *,
     step-up rule looks anyway.
     """
     seen = df.filter(F.col(p).isNotNull())
-    points = slice_points(seen, p, slice_rows, group_rows)
-    placed = value_counts(seen, keys, p, points=points).withColumn("_i", F.col("below") + F.col("n"))
+    if group_rows is None:
+        seen = materialise(seen)
+    placed, points = value_counts(seen, keys, p, slice_rows=slice_rows, group_rows=group_rows)
+    placed = placed.withColumn("_i", F.col("below") + F.col("n"))
     placed = placed.withColumn("_raw", F.col(p) * F.col("total") / F.col("_i"))
     later = Window.partitionBy(*keys, "_slice").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_adj", F.min("_raw").over(later))

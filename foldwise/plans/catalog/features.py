@@ -47,13 +47,14 @@ def apply_substitutions(spark, d):
 
 def model_input_tokens(spark, d):
     """Masked, structure-paired input of every position of every reference."""
-    refs = B.references(spark, d).withColumn("structure", F.lower(F.reverse("wt")))
-    spots = refs.select("*", F.explode(F.sequence(F.lit(1), F.col("seq_len"))).alias("pos"))
+    refs = B.references(spark, d)
+    tokens = refs.select(
+        "dataset", "seq_len", U.model_input(F.col("wt")).alias("plain"),
+        U.model_input(F.col("wt"), F.lower(F.reverse("wt")), paired=True).alias("paired"))
+    spots = tokens.select("*", F.explode(F.sequence(F.lit(1), F.col("seq_len"))).alias("pos"))
     return spots.select(
-        "dataset", "pos",
-        F.md5(U.model_input(F.col("wt"), mask_pos=F.col("pos"))).alias("plain"),
-        F.md5(U.model_input(F.col("wt"), F.col("structure"), F.col("pos"), paired=True)).alias("paired"),
-    )
+        "dataset", "pos", F.md5(U.masked_input(F.col("plain"), F.col("pos"))).alias("plain"),
+        F.md5(U.masked_input(F.col("paired"), F.col("pos"), paired=True)).alias("paired"))
 
 
 def strip_insertions(spark, d):

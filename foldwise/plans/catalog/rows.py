@@ -9,6 +9,7 @@ from foldwise.operators import folds, leakage
 from foldwise.operators import variants as V
 from foldwise.plans import bindings as B
 from foldwise.plans.catalog.views import LABELLED, REFS, ROWS, md5_int, sql
+from foldwise.session import materialise
 
 
 def all_rows(spark, d):
@@ -21,7 +22,7 @@ def valid(spark, d):
 
 
 def folded(spark, d, schemes=leakage.POSITION_SCHEMES):
-    rows = all_rows(spark, d)
+    rows = materialise(all_rows(spark, d).select("dataset", "variant_id", "pos", "seq_len", "n_parsed"))
     for s in schemes:
         rows = folds.assign_fold(rows, s, out=f"fold_{s}")
     return rows
@@ -70,7 +71,7 @@ def bookkeeping(spark, d):
 
 
 def fold_validity(spark, d):
-    rows = folds.with_schemes(all_rows(spark, d))
+    rows = folds.with_schemes(materialise(all_rows(spark, d).select("dataset", "variant_id", "pos", "seq_len")))
     return folds.usable_folds(rows, ["dataset", "split"])
 
 

@@ -59,47 +59,51 @@ def _starts(per_slice: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, slice_rows: int = SLICE_ROWS,
-                 group_rows: int | None = None, points: Sequence[float] | None = None) -> DataFrame:
-    """Distinct values of each group with their place in the order.
+                 group_rows: int | None = None) -> tuple[DataFrame, list[float]]:
+    """Distinct values of each group with their place in the order, and the cut points used.
 
     Gives keys, value, ``n`` (rows with this value), ``below`` (rows with a
     smaller value), ``total`` (rows of the group) and the slice. Ties are counted
     before anything is ordered, so a value shared by a third of the rows is one
-    row here.
+    row here. Without a bound the counts are written once, because choosing the
+    slices and using them both read them.
     """
-    df = df.filter(F.col(value).isNotNull())
-    if points is None:
-        points = slice_points(df, value, slice_rows, group_rows)
-    counted = with_slice(
-        df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n")), value, points
-    )
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    if group_rows is None or group_rows > slice_rows:
+        counted = materialise(counted)
+    points = slice_points(counted, value, slice_rows, group_rows)
+    counted = with_slice(counted, value, points)
     inner = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = counted.withColumn("below", F.coalesce(F.sum("n").over(inner), F.lit(0)))
     if not points:
-        return local.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "_slice")))
+        return local.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "_slice"))), points
     per_slice = counted.groupBy(*keys, "_slice").agg(F.sum("n").alias("_rows"))
-    return (
+    placed = (
         local.join(_starts(per_slice, keys, "_rows"), [*keys, "_slice"])
         .withColumn("below", F.col("below") + F.col("_start"))
         .drop("_start")
     )
+    return placed, points
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *, ties: str | None = None,
                  slice_rows: int = SLICE_ROWS, group_rows: int | None = None) -> DataFrame:
     """Rank inside the group, ties sharing their mean rank. Values must not be NULL.
 
-    ``ties`` names a column for the number of rows that share the value.
+    Without ``group_rows`` the input is read more than once, so it should be a
+    table or a materialised frame. ``ties`` names a column for the number of rows that share the value.
     """
-    points = slice_points(df, value, slice_rows, group_rows)
-    if not points:
+    if group_rows is None:
+        group_rows = df.count()
+    if group_rows <= slice_rows:
         tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
         first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
         ranked = df.withColumn("_tied", tied).withColumn(
             out, (first + (F.col("_tied") - 1) / F.lit(2.0)).cast("double")
         )
     else:
-        ranks = value_counts(df, keys, value, points=points).select(
+        placed, _ = value_counts(df, keys, value, slice_rows=slice_rows)
+        ranks = placed.select(
             *keys, value, F.col("n").alias("_tied"),
             (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(out),
         )
@@ -111,6 +115,8 @@ def group_index(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequen
                 total: str | None = None, slice_rows: int = SLICE_ROWS,
                 group_rows: int | None = None) -> DataFrame:
     """1-based place of each row in its group, ordered by a number that is nearly unique."""
+    if group_rows is None:
+        df = materialise(df)
     points = slice_points(df, value, slice_rows, group_rows)
     sliced = with_slice(df, value, points)
     part = [*keys, "_slice"]
@@ -127,7 +133,7 @@ def group_index(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequen
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
                     slice_rows: int = SLICE_ROWS, group_rows: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per group, from counts instead of a collected group."""
-    placed = value_counts(df, keys, value, slice_rows=slice_rows, group_rows=group_rows)
+    placed, _ = value_counts(df, keys, value, slice_rows=slice_rows, group_rows=group_rows)
     aggs = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("total") - 1)
