@@ -61,7 +61,7 @@ def parse_pooling(files: DataFrame) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Whole JSON documents with their file names; one document describes one condition."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:

@@ -53,7 +53,7 @@ def parse_structure_tokens(files: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def read_structure_tokens(spark: SparkSession, path: str, refs: DataFrame) -> DataFrame:
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     return parse_structure_tokens(raw.select(F.col("_metadata.file_path").alias("file"), "value"), refs)
 
 
@@ -69,7 +69,7 @@ def parse_ca_residues(files: DataFrame) -> DataFrame:
 
 
 def read_ca_residues(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return parse_ca_residues(raw.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 
