@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foldwise.functions.alphabet import AMINO_ACIDS
 from foldwise.functions.substitutions import aux_features
 from foldwise.operators import attention, confidence, pooling, ridge, standardise, trees
 from foldwise.operators import folds as X
+from foldwise.operators.profile import position_profile, profile_features
 from foldwise.plans import bindings as B
 from foldwise.plans.catalog.curves import _r
 from foldwise.plans.catalog.rows import all_rows
@@ -144,7 +146,24 @@ def _trees(kind):
     return run
 
 
+def profile_baseline(spark, d):
+    """Boosted trees on profile features: every labelled document is one substitution."""
+    docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels"), "doc_id")
+    pos = (F.col("doc_id") % 60 + 1).cast("int")
+    letter = F.lit(AMINO_ACIDS).substr((F.col("n_chars") % 20 + 1).cast("int"), F.lit(1))
+    rows = docs.select(
+        F.lit("documents").alias("dataset"), F.col("doc_id").cast("string").alias("row_id"), pos.alias("pos"),
+        B.letter_at(pos).alias("from_aa"), letter.alias("to_aa"), F.lit(60).alias("seq_len"),
+        (F.col("quality") * 2 + F.col("n_chars") / 1e5).alias("y"), X.modulo_fold(pos, 5).alias("fold"))
+    msa = B.alignments(spark, d).withColumn("dataset", F.lit("documents"))
+    refs = B.alignment_refs(spark, d).withColumn("dataset", F.lit("documents")).distinct()
+    x = profile_features(rows, position_profile(msa, refs), B.scores(rows))
+    preds = trees.tree_oof(x, ["dataset"], "fold", "boosted")
+    return ridge.pooled_score(preds, ["dataset"]).select("dataset", *_r("rho", digits=6), "n")
+
+
 QUERIES = {
+    "profile_baseline": profile_baseline,
     "fold_standardise": fold_standardise,
     "global_standardise": global_standardise,
     "ridge_oof_spearman": ridge_oof_spearman,

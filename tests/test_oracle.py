@@ -7,7 +7,7 @@ from tests.harness import DATA, compare, connect
 
 SF = "0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"gbt_oof", "rf_oof", "probe_grid", "pooling_grid", "position_control"}
+SLOW = {"gbt_oof", "profile_baseline", "rf_oof", "probe_grid", "pooling_grid", "position_control"}
 
 
 @pytest.fixture(scope="module")
