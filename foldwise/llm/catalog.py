@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, mixing, rules, token_files
+from foldwise.llm import bpe, fingerprints, jaccard, mixing, quality, quotes, rules, token_files, urls
 from foldwise.llm.text import word_count
 from foldwise.session import written
 
@@ -33,6 +33,29 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       public_tokenizers.PATTERN, keep=["doc_id"]).drop("ids")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def op5_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.reply_ordered(table(spark, sf_dir, "conversations")).orderBy("conv_id", "reply_path")
+
+
+def op6_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs.select("doc_id", "text", "source", "lang", "n_chars"), model)
+    return out.select("doc_id", "content_odds", "metadata_odds", "quality_probability", "accepted")
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "source", *rules.MEASURES), "rules")
     return rules.judge(measured, rules.host_rates(measured)).select("doc_id", *rules.MEASURES, "kept", "host_rate")
@@ -48,6 +71,11 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_url_filter": op4_url_filter,
+    "op5_quotation_linking": op5_quotation_linking,
+    "op6_cotraining": op6_cotraining,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op8_fingerprints": op8_fingerprints,
     "op9_host_rules": op9_host_rules,
     "op10_systematic_mix": op10_systematic_mix,
 }
