@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, fingerprints, jaccard, mixing, quality, quotes, rules, token_files, urls
+from foldwise.llm import bpe, fingerprints, jaccard, lm, mixing, quality, quotes, rules, token_files, urls
 from foldwise.llm.text import word_count
 from foldwise.session import written
 
@@ -20,6 +20,11 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json"),
                                  end_id=2, vocabulary=49_408)
@@ -69,6 +74,7 @@ def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_token_files": op2_token_files,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_url_filter": op4_url_filter,
