@@ -15,6 +15,7 @@ documents of their own, in the order of their texts. An empty table gives no sha
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 from foldwise.llm.text import pieces
 from foldwise.session import scratch_path, written
 
-MEMO = 300_000
+MEMO = 250_000  # words whose ids are kept
+BATCH = 2_000
 SHARD_ROWS = 8_000  # documents of a shard, about; more where that would make too many shards
 MOST_SHARDS = 20_000
 
@@ -60,32 +62,51 @@ class Words:
     """Ids of whole texts from the ids of their words.
 
     White space in ASCII ends every unit of the tokenizer (its pattern drops white space, and no normal form joins
-    across it), so a text's ids are its words' ids in a row. Words are encoded in batches by the tokenizer.
+    across it), so a text's ids are its words' ids in a row. New words are encoded a few thousand at a time, behind one
+    another with a special token between (the library cuts there first), and kept as the bytes that go into the
+    file, up to a bound.
     """
 
     def __init__(self, path: str, dtype: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark fills the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        split = [(t or "").encode().split() for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
+        self.known: dict[bytes, bytes] = {}
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        cuts = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.single_word]
+        self.cut, self.cut_id = cuts[-1] if cuts else ("", -1)
+        self.special = [c.encode() for c in special.values()]
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+
+    def learn(self, words: list[bytes]) -> None:
+        alone = [w for w in words if not self.cut or any(c in w for c in self.special)]
+        for w in alone:
+            self.known[w] = self.ids(w.decode()).astype(self.dtype).tobytes()
+        plain = [w for w in words if w not in self.known] if alone else words
+        for i in range(0, len(plain), BATCH):
+            part = plain[i:i + BATCH]
+            ids = self.ids(self.cut.join([w.decode() for w in part]))
+            at = np.flatnonzero(ids == self.cut_id)
+            packed = ids.astype(self.dtype).tobytes()
+            width = len(packed) // max(1, len(ids))
+            starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(packed)]
+            self.known.update((w, packed[s:e]) for w, s, e in zip(part, starts, ends, strict=True))
+
+    def encode(self, text: str | None) -> bytes:
+        words = (text or "").encode().split()
+        new = {w for w in words if w not in self.known}
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
-            new = list({w for words in split for w in words})
-        encoded = self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, e.ids) for w, e in zip(new, encoded))
-        known, out = self.known, []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            ids.append(end_id)
-            out.append(np.array(ids, self.dtype))
-        return out
+            new = set(words)
+        self.learn(list(new))
+        return b"".join(map(self.known.__getitem__, words))
+
+
+_words: dict[tuple[str, str], Words] = {}  # a worker serves many tasks
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, folder: str | None = None) -> DataFrame:
@@ -103,27 +124,28 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, fo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"{task.partitionId():08d}-{task.taskAttemptId()}"
-        words = Words(tokenizer_path, dtype)
+        words = _words.get((tokenizer_path, dtype)) or _words.setdefault((tokenizer_path, dtype), Words(tokenizer_path, dtype))
         fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
-        docs_seen, sizes, total = [], [], 0
+        end = np.array([end_id], dtype).tobytes()
+        docs_seen, sizes, width = [], [], len(end)
         out = None
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 1 << 20):
             if out is None:
                 out = fs.open_output_stream(f"{path}/{name}.bin")
-            for ids in words.encode(batch.column("text").to_pylist(), end_id):
-                out.write(memoryview(ids).cast("B"))
-                sizes.append(len(ids))
+            for text in batch.column("text").to_pylist():
+                ids = words.encode(text) + end
+                out.write(ids)
+                sizes.append(len(ids) // width)
             docs_seen.append(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
         out.close()
         sizes = np.array(sizes, "<i8")
-        total = int(sizes.sum())
         store(f"{folder}/{name}.doc", np.concatenate(docs_seen).tobytes())
         store(f"{folder}/{name}.len", sizes.tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "name": [name],
-                                          "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([total], pa.int64())})
+                                          "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([int(sizes.sum())], pa.int64())})
 
     shards = written(ordered.mapInArrow(run, "shard bigint, name string, n_docs bigint, n_ids bigint"), "shards")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard
