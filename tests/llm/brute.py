@@ -126,3 +126,36 @@ def jaccard_components(rows, width, percent):
     for i, (d, _) in enumerate(sets):
         least[top(i)] = min(d, least.get(top(i), d))
     return {d: (len(s), least[top(i)], links[i]) for i, (d, s) in enumerate(sets)}
+
+
+RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def url_rule(url):
+    """(host, path, rule, verdict of the rule)."""
+    if url is None or "://" not in url:
+        return "", "", None, None
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host):])[0]
+    host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = []
+    for rule in RULES:
+        domain, below = rule.split("/", 1)
+        if (host == domain or host.endswith("." + domain)) and path.startswith("/" + below):
+            fits.append(rule)
+    best = max(fits, key=len, default=None)
+    return host, path, best, RULES.get(best)
+
+
+def paragraphs(text, width=20):
+    out = set()
+    for line in (text or "").split("\n"):
+        ws = words(line)
+        out |= {tuple(ws[i:i + width]) for i in range(0, len(ws), width)}
+    return out
+
+
+def paragraph_likeness(a, b):
+    a, b = paragraphs(a), paragraphs(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
