@@ -184,6 +184,21 @@ def decoded(ids: np.ndarray, table: list[bytes]) -> str:
     return "".join([decoder.push(values[i:i + CHUNK]) for i in range(0, len(values), CHUNK)]) + decoder.close()
 
 
+_encoders: dict[tuple[str, str], tuple[Encoder, list[bytes]]] = {}  # a worker serves many tasks
+
+
+def loaded(ranks_path: str, pattern: str) -> tuple[Encoder, list[bytes]]:
+    """The encoder and the ids' bytes, made once a worker."""
+    key = (ranks_path, pattern)
+    if key not in _encoders:
+        ranks = read_ranks(ranks_path)
+        table = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            table[rank] = token
+        _encoders[key] = (Encoder(ranks, pattern), table)
+    return _encoders[key]
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | None = None) -> DataFrame:
     """Columns ``keep`` (all but text by default), ids as bytes (``<u4``), n_tokens, ids_sha256, decoded_sha256.
 
@@ -197,11 +212,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, keep: list[str] | Non
     inner = docs.select(*keep, docs["text"].alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = read_ranks(ranks_path)
-        table = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            table[rank] = token
-        encoder = Encoder(ranks, pattern)
+        encoder, table = loaded(ranks_path, pattern)
         for batch in pieces(batches, "_text"):
             rows = [encoder.encode(text or "") for text in batch.column("_text").to_pylist()]
             sha = lambda b: hashlib.sha256(b).hexdigest()
