@@ -1,7 +1,7 @@
 """Monotone sequences in about 2 + log2(u / n) bits a value, read in place.
 
 Low bits stand packed behind one another. High bits are a bit string with one set bit per value and one clear bit per
-step of the high part; a running count of set bits per 64-bit word serves both selections.
+step of the high part; running counts of set and of clear bits per 64-bit word serve the selections.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ def _in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
 class EliasFano:
     """Built by ``arrays``; reads from views of a mapped file."""
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.n, self.bits, self.high, self.ones = n, bits, high, ones
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, zeros: np.ndarray):
+        self.n, self.bits, self.high, self.ones, self.zeros = n, bits, high, ones, zeros
         self.low_words = np.ndarray((max(0, low.nbytes - 7),), "<u8", low, strides=(1,)) if low.nbytes >= 8 else np.zeros(1, "<u8")
         self.mask = np.uint64((1 << bits) - 1)
 
@@ -51,16 +51,14 @@ class EliasFano:
         words = np.packbits(high, bitorder="little").view("<u8")
         pops = _POP[words.view(np.uint8).reshape(-1, 8)].sum(axis=1, dtype=np.int64)
         ones = np.concatenate([[0], np.cumsum(pops)])
-        ones = ones.astype("<u4") if n < 1 << 32 else ones.astype("<u8")
-        return {"n": n, "bits": bits}, {"low": np.concatenate([*low, np.zeros(8, np.uint8)]), "high": words, "ones": ones}
+        zeros = np.arange(len(ones)) * 64 - ones
+        kind = "<u4" if 2 * n < 1 << 31 and len(words) < 1 << 25 else "<i8"
+        return {"n": n, "bits": bits}, {"low": np.concatenate([*low, np.zeros(8, np.uint8)]), "high": words,
+                                        "ones": ones.astype(kind), "zeros": zeros.astype(kind)}
 
     def _select(self, rank: np.ndarray, clear: bool) -> np.ndarray:
-        if clear:
-            counts = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones if not hasattr(self, "_zeros") else self._zeros
-            self._zeros = counts
-        else:
-            counts = self.ones
-        word = np.clip(np.searchsorted(counts, rank, "right") - 1, 0, len(self.high) - 1)
+        counts = self.zeros if clear else self.ones
+        word = np.clip(np.searchsorted(counts, rank.astype(counts.dtype), "right") - 1, 0, len(self.high) - 1)
         bits = self.high[word]
         return word * 64 + _in_word(~bits if clear else bits, rank - counts[word].astype(np.int64))
 

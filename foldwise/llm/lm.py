@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -37,7 +38,7 @@ from foldwise.session import scratch_path, written
 ORDER = 3
 DISCOUNT = 0.75
 SHARD_BYTES = 64 << 20  # text per shard of a level
-CHUNK_WORDS = 2_000_000  # words looked up together
+CHUNK_WORDS = 1_000_000  # words looked up together
 END = np.uint64(0xE4D0FD0C5E4D0FD1)
 _open: dict[str, tuple] = {}
 
@@ -98,7 +99,7 @@ class Level:
         path = self.files[i]
         if path not in _open:
             header, arrays = opened(mapped(path, "u1"))
-            series = lambda k: EliasFano(**header[k], **{f: arrays[f"{k}.{f}"] for f in ("low", "high", "ones")}) if k in header else None
+            series = lambda k: EliasFano(**header[k], **{f: arrays[f"{k}.{f}"] for f in ("low", "high", "ones", "zeros")}) if k in header else None
             _open[path] = (series("words"), series("starts"), arrays)
         return _open[path]
 
@@ -116,19 +117,26 @@ class Level:
             out[part] = self.shard(i)[2][name][entries[part] - bounds[i]]
         return out
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Entry (-1: none) and place among the context's successors, for ascending (context, word)."""
-        entry, place = np.full(len(context), -1), np.zeros(len(context), np.int64)
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For ascending (context, word): entry (-1: none), place among the context's successors, and the codes of the
+        entry's probability and the context's back-off (0: the context has no successors)."""
+        entry, place = np.full(len(context), -1), np.full(len(context), -1)
+        probability, backoff = np.zeros(len(context), np.uint8), np.zeros(len(context), np.uint8)
         for i, part in self.cut(self.contexts, context):
-            words, starts, _ = self.shard(i)
-            own, inverse = np.unique(context[part] - self.contexts[i], return_inverse=True)
+            words, starts, arrays = self.shard(i)
+            below = context[part] - self.contexts[i]
+            new = np.r_[True, below[1:] != below[:-1]]
+            own, inverse = below[new], np.cumsum(new) - 1
             first, last = starts.get(own).astype(np.int64), starts.get(own + 1).astype(np.int64)
             base = np.where(first > 0, words.get(np.maximum(first - 1, 0)), np.uint64(0))  # what the successors are written above
             at, there = words.successor(base[inverse] + word[part] + np.uint64(1))
             there &= (at >= first[inverse]) & (at < last[inverse])
-            entry[part] = np.where(there, at + self.entries[i], -1)
-            place[part] = at - first[inverse]
-        return entry, place
+            hit = np.flatnonzero(there)
+            entry[part.start + hit] = at[hit] + self.entries[i]
+            place[part.start + hit] = at[hit] - first[inverse[hit]]
+            probability[part.start + hit] = arrays["probability"][at[hit]]
+            backoff[part] = arrays["backoff"][own][inverse]
+        return entry, place, probability, backoff
 
 
 @dataclass
@@ -144,68 +152,77 @@ class Model:
     def v(self) -> int:
         return self.vocabulary.entries[-1]
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of ascending word hashes, -1 for unknown words."""
-        out = np.full(len(hashes), -1)
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ascending word hashes, -1 for unknown words, and their counts."""
+        out, counts = np.full(len(hashes), -1), np.zeros(len(hashes))
         top = (hashes >> np.uint64(64 - self.shard_bits)).astype(np.int64) if self.shard_bits else np.zeros(len(hashes), np.int64)
         at = np.searchsorted(top, np.arange(len(self.vocabulary.files) + 1))
         for i in range(len(self.vocabulary.files)):
             if at[i + 1] > at[i]:
-                part = slice(int(at[i]), int(at[i + 1]))
-                spot, there = self.vocabulary.shard(i)[0].successor(hashes[part])
-                out[part] = np.where(there, spot + self.vocabulary.entries[i], -1)
-        return out
-
-    def words(self, hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        distinct, inverse = np.unique(hashes, return_inverse=True)
-        return self.numbers(distinct)[inverse]
-
-    def grams(self, words: np.ndarray, offsets: np.ndarray, upto: int) -> list[tuple]:
-        """Per level 2..upto: context of each token, its word below it, entry and place there, and where each distinct pair stands."""
+                series, _, arrays = self.vocabulary.shard(i)
+                spot, there = series.successor(hashes[at[i]:at[i + 1]])
+                hit = np.flatnonzero(there)
+                out[at[i] + hit] = spot[hit] + self.vocabulary.entries[i]
+                counts[at[i] + hit] = arrays["counts"][spot[hit]]
+        return out, counts
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and counts of word hashes in any order."""
+        codes, distinct = pd.factorize(hashes)
+        order = np.argsort(distinct)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        numbers, counts = self.numbers(distinct[order])
+        codes = place[codes]
+        return numbers[codes], counts[codes]
+
+    def walk(self, words: np.ndarray, offsets: np.ndarray, upto: int, ask_all: bool) -> Iterator[tuple[np.ndarray, ...]]:
+        """Look up the n-grams that end at each token, level by level up to ``upto``: (tokens, entries, codes of probabilities,
+        codes of back-offs) in order of their contexts. The last item is (tokens, contexts, relative words) of the level above.
+
+        With ``ask_all`` tokens whose shorter n-gram is unknown are looked up too, for their back-off.
+        """
         inner = np.ones(len(words), bool)
         inner[offsets[:-1][offsets[:-1] < len(words)]] = False
-        entry, relative, out = words, words, []
-        for level in self.levels[: upto - 1]:
+        entry, relative, none = words, words, self.v
+        for k in range(2, upto + 2):
             context = np.full(len(words), -1)
             context[1:] = entry[:-1]
-            context = np.where(inner, context, -1)
-            asked = np.flatnonzero((context >= 0) & (relative >= 0))
-            c, w, _ = pairs = counted(context[asked].astype(np.uint64), relative[asked].astype(np.uint64))
-            width = np.uint64(max(1, int(w.max(initial=0)).bit_length()))
-            code = (c << width) | w if int(c.max(initial=0)).bit_length() + int(width) <= 64 else None
-            found, place = level.find(c.astype(np.int64), w)
-            if code is not None:
-                at = np.searchsorted(code, (context[asked].astype(np.uint64) << width) | relative[asked].astype(np.uint64))
-            else:
-                at = np.unique(np.stack([context[asked], relative[asked]]), axis=1, return_inverse=True)[1].ravel()
-            del pairs
-            new_entry, new_place = np.full(len(words), -1), np.full(len(words), -1)
-            new_entry[asked], new_place[asked] = found[at], np.where(found[at] >= 0, place[at], -1)
-            out.append((context, relative, new_entry))
-            entry, relative = new_entry, new_place
-        self._next = (entry, relative, inner)
-        return out
+            asked = np.flatnonzero(inner & (context >= 0) & ((relative >= 0) | (ask_all and k <= upto)))
+            c, w = context[asked].astype(np.uint64), np.where(relative[asked] < 0, none, relative[asked]).astype(np.uint64)
+            if k > upto:
+                yield asked, c, w
+                return
+            width = int(none).bit_length()
+            wide = int(c.max(initial=0)).bit_length() + width > 64
+            order = np.lexsort((w, c)) if wide else np.argsort((c << np.uint64(width)) | w)
+            level = self.levels[k - 2]
+            found, place, probability, backoff = level.find(c[order].astype(np.int64), w[order])
+            asked = asked[order]
+            entry, relative, none = np.full(len(words), -1), np.full(len(words), -1), level.entries[-1]
+            entry[asked], relative[asked] = found, place
+            yield asked, found, probability, backoff
 
     def score(self, hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text: tokens, known tokens, base score, score."""
-        words = self.words(hashes, offsets)
-        count = self._at(self.vocabulary, "counts", words, self.vocabulary.entries)
+        words, count = self.words(hashes)
         base = np.log10((count + 1) / (self.n + self.v + 1))
-        value = base
-        for level, (context, _, entry) in zip(self.levels, self.grams(words, offsets, self.order)):
-            open_ = self._at(level, "backoff", context, level.contexts)  # 0: no successors
-            shorter = np.where((context >= 0) & (open_ > 0), value - (open_ - 1) * self.step, value)
-            found = self._at(level, "probability", entry, level.entries)
-            value = np.where(entry >= 0, -found * self.step, shorter)
+        value = base.copy()
+        for _, (asked, found, probability, backoff) in zip(self.levels, self.walk(words, offsets, len(self.levels) + 1, True)):
+            shorter = np.where(backoff > 0, value[asked] - (backoff.astype(float) - 1) * self.step, value[asked])
+            value[asked] = np.where(found >= 0, -probability.astype(float) * self.step, shorter)
         sums = lambda x: np.add.reduceat(x, offsets[:-1]) if len(offsets) > 1 else np.zeros(0)
         return np.diff(offsets), sums((words >= 0).astype(np.int64)), sums(base), sums(value)
 
     @staticmethod
     def _at(level: Level, name: str, entries: np.ndarray, bounds: list[int]) -> np.ndarray:
         """Values at entry numbers in any order, 0 for -1."""
-        distinct, inverse = np.unique(entries, return_inverse=True)
+        codes, distinct = pd.factorize(entries)
+        order = np.argsort(distinct)
+        values = np.zeros(len(distinct))
         skip = int((distinct < 0).sum())
-        return np.concatenate([np.zeros(skip), level.gather(name, distinct[skip:], bounds)])[inverse]
+        values[order[skip:]] = level.gather(name, distinct[order[skip:]], bounds)
+        return values[codes]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -335,14 +352,10 @@ def _level(docs: DataFrame, model: Model, k: int, folder: str, discount: float)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hashes, offsets, _ in _chunks(batches, True):
-            words = shared.value.words(hashes, offsets)
-            shared.value.grams(words, offsets, k - 1)
-            entry, relative, inner = shared.value._next
-            context = np.full(len(words), -1)
-            context[1:] = entry[:-1]
-            asked = np.flatnonzero(inner & (context >= 0) & (relative >= 0))
+            words, _ = shared.value.words(hashes)
+            *_, (asked, c, w) = shared.value.walk(words, offsets, k - 1, False)
             if len(asked):
-                c, w, n = counted(context[asked].astype(np.uint64), relative[asked].astype(np.uint64))
+                c, w, n = counted(c, w)
                 yield _sent(np.searchsorted(bounds, c.astype(np.int64), "right") - 1, c, w, n)
 
     def write(key: tuple, table: pa.Table) -> pa.Table:
