@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.llm.text import bind, words
+from foldwise.session import written
 
-PARAGRAPH = 20
+PARAGRAPH = 32
 CELLS = 15
-BLOCK = 24
+BLOCK = 14
 RETRIES = (36, 72, 144, 288)
 ROUNDS = 14
 BUCKET_ROWS = 1_000
@@ -74,27 +75,33 @@ def subtract(a: Column, b: Column) -> Column:
 
 def peel(cells: Column, count: int) -> Column:
     """(done, left, right): whether every cell became empty, and how many digests only the first and only the second has."""
+    part = count // 3
+
     def rounds(state: Column, _: Column) -> Column:
         pure = F.array_distinct(F.transform(
             F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))),
             lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *_slots(x["k"], count))))
 
         def take(found: Column) -> Column:
-            def clear(x: Column, j: Column) -> Column:
-                mine = F.filter(found, lambda p: (p["s0"] == j) | (p["s1"] == j) | (p["s2"] == j))
+            def clear(t: int, x: Column, j: Column) -> Column:
+                mine = F.filter(found, lambda p: p[f"s{t}"] == j + t * part)
                 return bind(mine, lambda m: F.when(F.size(m) == 0, x).otherwise(F.struct(
                     F.aggregate(m, x["n"], lambda a, p: a - p["n"]).alias("n"),
                     F.aggregate(m, x["k"], lambda a, p: a.bitwiseXOR(p["k"])).alias("k"),
                     F.aggregate(m, x["c"], lambda a, p: a.bitwiseXOR(p["c"])).alias("c"))))
 
+            def table(t: int) -> Column:
+                return F.transform(F.slice(state["cells"], t * part + 1, part), lambda x, j: clear(t, x, j))
+
             more = F.size(F.filter(found, lambda p: p["n"] == 1))
-            return F.when(F.size(found) == 0, state).otherwise(F.struct(
-                F.transform(state["cells"], clear).alias("cells"),
-                (state["left"] + more).alias("left"), (state["right"] + F.size(found) - more).alias("right")))
+            ended = F.struct(*[state[c].alias(c) for c in ("cells", "left", "right")], F.lit(True).alias("over"))
+            return F.when(F.size(found) == 0, ended).otherwise(F.struct(
+                F.concat(*[table(t) for t in range(3)]).alias("cells"),
+                (state["left"] + more).alias("left"), (state["right"] + F.size(found) - more).alias("right"), F.lit(False).alias("over")))
 
-        return bind(pure, take)
+        return F.when(state["over"], state).otherwise(bind(pure, take))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("left"), F.lit(0).alias("right"), F.lit(False).alias("over"))
     empty = lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, rounds, lambda s: F.struct(
         F.forall(s["cells"], empty).alias("done"), s["left"].alias("left"), s["right"].alias("right")))
@@ -192,7 +199,8 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.col("_text").substr(F.lit(1), n - moved), F.col("_next").substr(F.lit(1), moved))
     made = ahead.withColumns({"n_chars": n.cast("bigint"), "_edited": edited}).withColumns({
         "edited_sha256": F.sha2(F.col("_edited").cast("binary"), 256), "_edited_keys": digests(F.col("_edited"))})
-    made = made.drop("_text", "_next", "_edited").withColumns({
+    # Written once: the sketches read every digest many times.
+    made = written(made.drop("_text", "_next", "_edited"), "digests").withColumns({
         "_cells": sketch(F.col("_keys"), CELLS), "_edited_cells": sketch(F.col("_edited_keys"), CELLS), "_next_cells": sketch(F.col("_next_keys"), CELLS)})
     made = with_difference(made, "_keys", "_edited_keys", "_cells", "_edited_cells", "_d")
     made = with_difference(made, "_keys", "_next_keys", "_cells", "_next_cells", "_e")

@@ -148,7 +148,7 @@ def url_rule(url):
     return host, path, best, RULES.get(best)
 
 
-def paragraphs(text, width=20):
+def paragraphs(text, width=32):
     out = set()
     for line in (text or "").split("\n"):
         ws = words(line)
