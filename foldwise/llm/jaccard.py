@@ -7,9 +7,10 @@ in a block is skipped with the whole block, unread. A size class spans a factor
 the next, where its larger partners are.
 
 In every list the first node leads. Leaders are compared with the members of their lists; linked ones form
-components. Only lists that still hold several components go on: the answers of the other pairs are first derived
-from what both have in common with the leader (a lower and an upper bound of the overlap), and only pairs which
-the bounds leave open are compared. Pairs within a component are never looked at.
+components. Only lists that still hold several components go on: the answers of their other pairs are derived from the
+leader's. Two members' overlap follows from what each differs in from the leader, so a pair can only be linked if it
+shares enough of these few differences; pairs that do are found by lists of differences and compared. Pairs within
+a component are never looked at, and a crowd of copies around one text costs as much as its differences.
 
 Null and empty texts have no shingles and are linked with nothing; a text with fewer than ``width`` words is one shingle.
 Documents without doc_id take part but can't name a component (it is null if all are). Repeated rows are equal sets. An empty
@@ -30,7 +31,6 @@ from foldwise.llm.text import hashed_words, mix, pieces, shingles
 from foldwise.session import written
 
 SEEN = 500_000  # nodes a task remembers, to index copies once
-STARS = 3
 FILTER_BITS = 23
 _LEAST = -(2**63)
 
@@ -187,55 +187,56 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     items = written(sets_of(docs, written(least.join(in_lists, "node", "left_semi"), "wanted"), width), "items")
     edges = written(compared(index.filter(F.col("node") != F.col("leader")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(),
                              items), "answers")
-    known = edges
     good = edges.filter(linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
     roots = components(good)
-    for turn in range(STARS):
-        # Lists that still hold several components, with a leader by another order.
-        rows = rooted(index.drop("leader"), roots)
-        mark = F.struct(F.xxhash64("node", F.lit(turn)).alias("m"), F.col("node").alias("node"), F.col("root").alias("root"))
-        heads = rows.groupBy("key").agg(F.min(mark).alias("_head"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select(
-            "key", F.col("_head.node").alias("_lead"), F.col("_head.root").alias("_lead_root"))
-        ahead = rows.join(heads, "key").filter(F.col("root") != F.col("_lead_root")).select(
-            F.least("node", "_lead").alias("a"), F.greatest("node", "_lead").alias("b")).distinct()
-        fresh = written(compared(ahead.join(known.select("a", "b"), ["a", "b"], "left_anti"), items), "answers")
-        if fresh.isEmpty():
-            break
-        known = known.unionByName(fresh)
-        more = fresh.filter(linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent))
-        if not more.isEmpty():
-            good = good.unionByName(more)
-            roots = components(good)
-    rest = open_pairs(index, roots, known, percent)
-    derived = rest.filter("sure").select("a", "b")
-    open_ = rest.filter("not sure").select("a", "b")
-    late = compared(open_.distinct(), items).filter(linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b")
-    late = written(late.unionByName(derived).distinct(), "late")
-    if not late.isEmpty():
-        roots = components(good.select("a", "b").unionByName(late))
+    rest = written(compared(open_pairs(index, roots, edges, items, percent), items).filter(
+        linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b"), "late")
+    if not rest.isEmpty():
+        roots = components(good.select("a", "b").unionByName(rest))
     nodes_ = rooted(found.filter(F.col("node") != 0).groupBy("node").agg(F.min("doc_id").alias("_id")), roots)
     named = nodes_.join(nodes_.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("node", "component_id")
     return found.join(named, "node", "left").select(
         "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def open_pairs(index: DataFrame, roots: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """a, b, sure: pairs of lists with several components that no leader's answer rules out.
+def open_pairs(index: DataFrame, roots: DataFrame, answers: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of lists with several components that their leader's answers leave open.
 
-    With x = overlap(leader, a) and y = overlap(leader, b): x + y - |leader| <= overlap(a, b)
-    <= min(x, y) + min(|a| - x, |b| - y). ``sure`` pairs are linked by the lower bound alone.
+    Seen from the leader L, a set x is L without R(x) and with A(x), both known once L and x are compared, so
+    overlap(a, b) = |L| - |R(a)| - |R(b)| + what the differences D = R + A of a and b share. A link needs them to share at least
+    m = ((percent - 100) |L| + g(a) + g(b)) / (100 + percent), with g(x) = percent (|x| - |L|) + (100 + percent) |R(x)|. Where m is
+    at most 0, a and b are both linked with L, so two components mean m >= 1: only pairs that share a difference
+    are left, found by lists of differences. Rare differences come first, and as m grows with the differences, those that
+    everyone shares (what is peculiar to L) lie beyond the part of D that has to be listed.
     """
+    scale, per = F.lit(100 + percent), F.lit(percent)
     rows = rooted(index, roots)
     several = rows.groupBy("key").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo != _hi").select("key")
-    answers = known.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_a").alias("_lead"), F.col("size_b").alias("_size"), F.col("overlap").alias("_with"))
-    rows = rows.join(several, "key", "left_semi").filter(F.col("node") != F.col("leader")).join(answers, ["leader", "node"])
-    one = rows.select("key", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("_with").alias("x"), F.col("_size").alias("sa"), F.col("_lead").alias("s"))
-    two = rows.select("key", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("_with").alias("y"), F.col("_size").alias("sb"))
-    both = one.join(two, "key").filter((F.col("a") < F.col("b")) & (F.col("_ra") != F.col("_rb")))
-    most = F.least("x", "y") + F.least(F.col("sa") - F.col("x"), F.col("sb") - F.col("y"))
-    left = both.filter(linked(most, F.col("sa"), F.col("sb"), percent)).select(
-        "a", "b", linked(F.col("x") + F.col("y") - F.col("s"), F.col("sa"), F.col("sb"), percent).alias("sure"))
-    return left.groupBy("a", "b").agg(F.max("sure").alias("sure")).join(known.select("a", "b"), ["a", "b"], "left_anti")
+    members = rows.join(several, "key", "left_semi").filter(F.col("node") != F.col("leader")).select("leader", "node", "root").distinct()
+    told = answers.select(F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_a").alias("_l"), F.col("size_b").alias("_s"), F.col("overlap").alias("_o"))
+    members = members.join(told, ["leader", "node"]).withColumns({
+        "near": linked(F.col("_o"), F.col("_l"), F.col("_s"), percent),
+        "g": per * (F.col("_s") - F.col("_l")) + scale * (F.col("_l") - F.col("_o")), "n": F.col("_l") + F.col("_s") - 2 * F.col("_o")})
+    members = written(members, "members")
+    least = members.groupBy("leader").agg(F.min("g").alias("_all"), F.min(F.when(~F.col("near"), F.col("g"))).alias("_far")).filter("_far is not null")
+    shared = F.ceil(((per - 100) * F.col("_l") + F.col("g") + F.when(F.col("near"), F.col("_far")).otherwise(F.col("_all"))) / scale)
+    listed = members.join(least, "leader").withColumn("_most", F.col("n") - F.greatest(shared, F.lit(1)) + 1).filter("_most > 0")
+    one = items.select(F.col("node").alias("leader"), F.col("items").alias("_x"))
+    two = items.select("node", F.col("items").alias("_y"))
+    both = listed.join(two, "node").join(one, "leader")
+    gone, came = F.array_except("_x", "_y"), F.transform(F.array_except("_y", "_x"), lambda h: F.bitwise_not(h))
+    spread = written(both.select("leader", "node", "root", "near", "_l", "g", "n", "_most", F.explode(F.concat(gone, came)).alias("d")), "differences")
+    often = spread.groupBy("leader", "d").agg(F.count(F.lit(1)).alias("_df"))
+    order = Window.partitionBy("leader", "node").orderBy("_df", "d")
+    placed = spread.join(often, ["leader", "d"]).withColumn("_at", F.row_number().over(order)).filter(
+        (F.col("_at") <= F.col("_most")) & (F.col("_df") > 1)).select("leader", "d", "node", "root", "near", "_l", "g", (F.col("n") - F.col("_at") + 1).alias("_left"))
+    placed = written(placed, "placed")
+    far = placed.filter(~F.col("near")).select("leader", "d", "_l", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("g").alias("_ga"), F.col("_left").alias("_fa"))
+    any_ = placed.select("leader", "d", "near", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("g").alias("_gb"), F.col("_left").alias("_fb"))
+    enough = scale * F.least("_fa", "_fb") >= (per - 100) * F.col("_l") + F.col("_ga") + F.col("_gb")
+    met = far.join(any_, ["leader", "d"]).filter((F.col("_ra") != F.col("_rb")) & (F.col("near") | (F.col("a") < F.col("b"))) & enough)
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
