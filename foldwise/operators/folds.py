@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import md5_int, seeded
+from foldwise.plans.keyjoin import join_keys
 from foldwise.plans.ordering import group_index
 
 SCHEMES = ("random", "modulo", "contiguous", "position_groupkfold")
@@ -62,18 +63,18 @@ def position_groups(rows: DataFrame, n_folds: int = 5) -> DataFrame:
 
 
 def assign_fold(rows: DataFrame, scheme: str, n_folds: int = 5, seed: int = 42,
-                out: str = "fold", min_rows: int = 10) -> DataFrame:
+                out: str = "fold", min_rows: int = 0) -> DataFrame:
     """Add the fold of one scheme.
 
     ``rows`` carries dataset, variant_id, pos and (for contiguous) seq_len.
-    Datasets below ``n_folds`` rows get as many folds as rows; since the row gate
-    keeps only datasets of ``min_rows`` or more, that count is needed only when
-    ``n_folds`` exceeds the gate.
+    Datasets below ``n_folds`` rows get as many folds as rows. Callers whose row gate
+    keeps only datasets of ``min_rows`` or more say so, and where that is ``n_folds``
+    or more the rows are not counted.
     """
     k: Column = F.lit(n_folds)
     if n_folds > min_rows and scheme != "position_groupkfold":
         sizes = rows.groupBy("dataset").agg(F.least(F.lit(n_folds), F.count(F.lit(1))).alias("_k"))
-        rows, k = rows.join(sizes, "dataset"), F.col("_k")
+        rows, k = join_keys(rows, sizes, ["dataset"]), F.col("_k")
     if scheme == "random":
         done = rows.withColumn(out, random_fold(F.col("variant_id"), k, seed))
     elif scheme == "modulo":
@@ -88,11 +89,11 @@ def assign_fold(rows: DataFrame, scheme: str, n_folds: int = 5, seed: int = 42,
     return done.drop("_k")
 
 
-def with_schemes(rows: DataFrame, schemes=SCHEMES, n_folds: int = 5, seed: int = 42) -> DataFrame:
+def with_schemes(rows: DataFrame, schemes=SCHEMES, n_folds: int = 5, seed: int = 42, min_rows: int = 0) -> DataFrame:
     """One row per scheme, columns ``split`` and ``fold``."""
     wide = rows
     for s in schemes:
-        wide = assign_fold(wide, s, n_folds, seed, out=f"_fold_{s}")
+        wide = assign_fold(wide, s, n_folds, seed, out=f"_fold_{s}", min_rows=min_rows)
     pairs = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"_fold_{s}").alias("fold")) for s in schemes]))
     return wide.withColumn("_sf", pairs).select(*rows.columns, "_sf.split", "_sf.fold")
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import md5_int, mix31
 from foldwise.functions.signed_rank import signed_rank_p
+from foldwise.functions.substitutions import finite
 from foldwise.functions.tdist import t_cdf, t_quantile
 from foldwise.operators.curves import best_layer, layer_curve
+from foldwise.plans.keyjoin import join_keys
 from foldwise.plans.ordering import SLICE_ROWS, average_rank, group_index, value_counts
 from foldwise.session import materialise
 
@@ -142,7 +144,7 @@ def _means_large(deltas: DataFrame, keys: list[str], unit: str, value: str, n_bo
         *keys, F.col("_n"), F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
     )
     draws = slots.select(*keys, "rep", _draw(_rep_state(F.col("rep"), seed), F.col("_slot"), F.col("_n")).alias("_i"))
-    return draws.join(placed.select(*keys, "_i", value), [*keys, "_i"]).groupBy(*keys, "rep").agg(
+    return join_keys(draws, placed.select(*keys, "_i", value), [*keys, "_i"]).groupBy(*keys, "rep").agg(
         F.avg(value).alias("m")
     )
 
@@ -158,7 +160,7 @@ def bootstrap_ci(deltas: DataFrame, keys: list[str], lo: float, hi: float, *, un
     larger ones the draws are joined to the units by place. Both give the same
     numbers. The final percentile sees ``n_boot`` means per comparison.
     """
-    seen = materialise(deltas.filter(F.col(value).isNotNull()).select(*keys, unit, value).withColumn(
+    seen = materialise(deltas.filter(finite(F.col(value)).isNotNull()).select(*keys, unit, value).withColumn(
         "_h", md5_int(F.col(unit).cast("string"), 1, 12).cast("double")
     ))
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
@@ -166,8 +168,8 @@ def bootstrap_ci(deltas: DataFrame, keys: list[str], lo: float, hi: float, *, un
     if largest <= array_rows:
         means = _means_small(seen, keys, unit, value, n_boot, seed, blocks)
     else:
-        few = seen.join(sizes.filter(F.col("_c") <= array_rows).drop("_c"), keys, "left_semi")
-        many = seen.join(sizes.filter(F.col("_c") > array_rows).drop("_c"), keys, "left_semi")
+        few = join_keys(seen, sizes.filter(F.col("_c") <= array_rows).drop("_c"), keys, "left_semi")
+        many = join_keys(seen, sizes.filter(F.col("_c") > array_rows).drop("_c"), keys, "left_semi")
         means = _means_small(few, keys, unit, value, n_boot, seed, blocks).unionByName(
             _means_large(many, keys, unit, value, n_boot, seed, slice_rows)
         )
@@ -238,7 +240,7 @@ def verdict_tally(table: DataFrame, by: list[str], margin: float = MARGIN, near:
 def signed_rank(deltas: DataFrame, keys: list[str], value: str = "d", min_n: int = 1, *,
                 slice_rows: int = SLICE_ROWS, group_rows: int | None = None) -> DataFrame:
     """Signed-rank statistic: n, n_zero, w_plus, w_minus, z (no continuity correction)."""
-    seen = deltas.filter(F.col(value).isNotNull()).select(*keys, value)
+    seen = deltas.filter(finite(F.col(value)).isNotNull()).select(*keys, value)
     if group_rows is None:
         seen = materialise(seen)
     zeros = seen.groupBy(*keys).agg(F.count_if(F.col(value) == 0).alias("n_zero"))
@@ -253,7 +255,7 @@ def signed_rank(deltas: DataFrame, keys: list[str], value: str = "d", min_n: int
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie_term") / 48
     z = (F.least("w_plus", "w_minus") - n * (n + 1) / 4) / F.nullif(F.sqrt(var), F.lit(0.0))
-    return sums.join(zeros, keys).filter(F.col("n") + F.col("n_zero") >= min_n).withColumn("z", z)
+    return join_keys(sums, zeros, keys).filter(F.col("n") + F.col("n_zero") >= min_n).withColumn("z", z)
 
 
 def wilcoxon(deltas: DataFrame, keys: list[str], value: str = "d", min_n: int = 1, exact_n: int = 50, **sizes) -> DataFrame:
@@ -272,7 +274,7 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05, *,
     Equal p values share the highest place among them, which is where the
     step-up rule looks anyway.
     """
-    seen = df.filter(F.col(p).isNotNull())
+    seen = df.filter(finite(F.col(p)).isNotNull())
     if group_rows is None:
         seen = materialise(seen)
     placed, points = value_counts(seen, keys, p, slice_rows=slice_rows, group_rows=group_rows)
@@ -285,16 +287,16 @@ def bh_fdr(df: DataFrame, keys: list[str], p: str = "p", alpha: float = 0.05, *,
         floors = placed.groupBy(*keys, "_slice").agg(F.min("_raw").alias("_m")).select(
             *keys, "_slice", F.min("_m").over(ahead).alias("_ahead")
         )
-        placed = placed.join(floors, [*keys, "_slice"]).withColumn("_adj", F.least("_adj", "_ahead"))
+        placed = join_keys(placed, floors, [*keys, "_slice"]).withColumn("_adj", F.least("_adj", "_ahead"))
     passed = F.max(F.when(F.col(p) <= F.col("_i") / F.col("total") * alpha, F.col("_i")))
     cut = placed.groupBy(*keys).agg(F.coalesce(passed, F.lit(0)).alias("_cut")) if keys else placed.agg(
         F.coalesce(passed, F.lit(0)).alias("_cut")
     )
-    judged = (placed.join(cut, keys) if keys else placed.join(F.broadcast(cut))).select(
+    judged = (join_keys(placed, cut, keys) if keys else placed.join(F.broadcast(cut))).select(
         *keys, p, (F.col("_i") <= F.col("_cut")).alias("significant"),
         F.least(F.col("_adj"), F.lit(1.0)).alias("p_adj"),
     )
-    return seen.join(judged, [*keys, p])
+    return join_keys(seen, judged, [*keys, p])
 
 
 # ------------------------------------------------------------------ tables
@@ -306,7 +308,7 @@ def equivalence_table(results: DataFrame, by: list[str], final_layer: int, margi
     pairs = best_vs_final(results, by, final_layer)
     keys = [*by, "best"]
     tested = tost(t_interval(delta_summary(pairs, keys), 0.90), margin)
-    table = tested.join(bootstrap_ci(pairs, keys, 5, 95, n_boot=n_boot, seed=seed), keys)
+    table = join_keys(tested, bootstrap_ci(pairs, keys, 5, 95, n_boot=n_boot, seed=seed), keys)
     degenerate = F.col("best") == final_layer
     return (
         table.withColumn("degenerate", degenerate)

@@ -71,13 +71,13 @@ def explode_substitutions(variants: DataFrame) -> DataFrame:
     )
 
 
-def substitution_rows(variants: DataFrame, refs: DataFrame, max_variants: int | None = 10_000,
-                      max_rows: int | None = 5_000, seed: int = 42,
+def substitution_rows(variants: DataFrame, refs: DataFrame, max_variants: int | None = None,
+                      max_rows: int | None = None, seed: int = 42,
                       single_site_only: bool = False) -> DataFrame:
     """The rows every later step works on.
 
     The order of the steps is part of the meaning: filters, size gate, variant
-    cap, explode, row subsample, row gate. ``None`` switches a cap off.
+    cap, explode, row subsample, row gate. Nothing is capped unless asked for.
 
     Both gates and the cap flag come from one count per dataset. That is exact
     because a dataset too small for the row gate has fewer than ``MIN_ROWS``

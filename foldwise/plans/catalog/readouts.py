@@ -9,6 +9,7 @@ from foldwise.functions.substitutions import aux_features
 from foldwise.operators import attention, confidence, pooling, ridge, standardise, trees
 from foldwise.operators import folds as X
 from foldwise.operators.profile import position_profile, profile_features
+from foldwise.operators.variants import MIN_ROWS
 from foldwise.plans import bindings as B
 from foldwise.plans.catalog.curves import _r
 from foldwise.plans.catalog.rows import all_rows
@@ -81,7 +82,7 @@ def position_control(spark, d):
 def _unit_rows(spark, d, rows):
     """Rows with all layers of their position in one flat vector, and folds."""
     flat = pooling.pool_layers(B.position_vectors(spark, d), ["dataset", "pos"], "concat", out="x")
-    placed = ridge.with_fold_columns(rows, ["modulo", "contiguous"]).join(flat, ["dataset", "pos"])
+    placed = ridge.with_fold_columns(rows, ["modulo", "contiguous"], min_rows=MIN_ROWS).join(flat, ["dataset", "pos"])
     return placed.withColumnRenamed("fitness", "y")
 
 
@@ -95,7 +96,7 @@ def pooling_grid(spark, d):
     """last, mean, concat and learned weights, ridge readout, modulo split."""
     base = aux_rows(spark, d)
     units = _unit_rows(spark, d, base)
-    rows = ridge.with_fold_columns(base, ["modulo"]).withColumnRenamed("fitness", "y")
+    rows = ridge.with_fold_columns(base, ["modulo"], min_rows=MIN_ROWS).withColumnRenamed("fitness", "y")
     hidden = B.position_vectors(spark, d)
     scores = None
     for name, layers in (("last", [7]), ("mean", [4, 5, 6, 7]), ("concat", [1, 3, 5, 7])):
@@ -184,10 +185,10 @@ x as (select dataset, pos, layer, cast((pos - 1) % 5 as int) fold, cast(unnest(r
 SQL = {
     "fold_standardise": sql(_LONG, """
 select x.dataset, x.layer, cast(f.fold as int) fold, count(*) n_train, dim, round(avg(v), 9) mean,
-       round(case when stddev_pop(v) < 1e-9 then 1 else stddev_pop(v) end, 6) sd
+       round(case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end, 6) sd
 from x join (select distinct dataset, layer, fold from x) f on f.dataset = x.dataset and f.layer = x.layer and x.fold <> f.fold
 group by x.dataset, x.layer, f.fold, dim"""),
     "global_standardise": sql(_LONG, """
 , m as (select dataset, layer, dim, avg(v) m, stddev_pop(v) s from x group by 1, 2, 3)
-select dataset, pos, layer, dim, round((v - m) / case when s < 1e-9 then 1 else s end, 5) v from x join m using (dataset, layer, dim)"""),
+select dataset, pos, layer, dim, round((v - m) / case when s = 0 then 1 else s end, 5) v from x join m using (dataset, layer, dim)"""),
 }

@@ -24,7 +24,7 @@ def valid(spark, d):
 def folded(spark, d, schemes=leakage.POSITION_SCHEMES):
     rows = materialise(all_rows(spark, d).select("dataset", "variant_id", "pos", "seq_len", "n_parsed"))
     for s in schemes:
-        rows = folds.assign_fold(rows, s, out=f"fold_{s}")
+        rows = folds.assign_fold(rows, s, out=f"fold_{s}", min_rows=V.MIN_ROWS)
     return rows
 
 
@@ -38,7 +38,7 @@ def leakage_report(spark, d):
 
 def _fold(scheme):
     def run(spark, d):
-        return folds.assign_fold(all_rows(spark, d), scheme).select("dataset", "row_id", "pos", "fold")
+        return folds.assign_fold(all_rows(spark, d), scheme, min_rows=V.MIN_ROWS).select("dataset", "row_id", "pos", "fold")
     return run
 
 
@@ -71,18 +71,18 @@ def bookkeeping(spark, d):
 
 
 def fold_validity(spark, d):
-    rows = folds.with_schemes(materialise(all_rows(spark, d).select("dataset", "variant_id", "pos", "seq_len")))
+    rows = folds.with_schemes(materialise(all_rows(spark, d).select("dataset", "variant_id", "pos", "seq_len")), min_rows=V.MIN_ROWS)
     return folds.usable_folds(rows, ["dataset", "split"])
 
 
 def kfold_plain(spark, d):
-    return folds.shuffled_kfold(all_rows(spark, d), 5, large=3000).groupBy("dataset", "fold").agg(
+    return folds.shuffled_kfold(all_rows(spark, d), 5).groupBy("dataset", "fold").agg(
         F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row")
     )
 
 
 def train_test_counts(spark, d):
-    rows = folds.assign_fold(all_rows(spark, d), "modulo")
+    rows = folds.assign_fold(all_rows(spark, d), "modulo", min_rows=V.MIN_ROWS)
     return folds.train_test(rows).groupBy("dataset", "held_out", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -225,7 +225,7 @@ select dataset, variant_id, row_id, pos, from_aa, to_aa, fitness, n_parsed, seq_
 select dataset, row_id, pos, fold from rws join pg using (dataset, pos)"""),
     "fold_plain": sql(ROWS, f"""
 , h as (select *, count(*) over (partition by dataset) total from rws),
-g as (select *, ntile(case when total > 3000 then 3 else 5 end) over (
+g as (select *, ntile(5) over (
         partition by dataset order by {md5_int("'42:' || row_id", 1, 12)}, row_id) - 1 fold from h)
 select dataset, cast(fold as int) fold, count(*) n, min(row_id) first_row, max(row_id) last_row from g group by 1, 2"""),
     "fold_validity": sql(ROWS + _GROUPED, f"""

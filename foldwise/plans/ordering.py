@@ -21,10 +21,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foldwise.functions.substitutions import finite
+from foldwise.plans.keyjoin import join_keys
 from foldwise.session import materialise
 
 SLICE_ROWS = 1_000_000
-MAX_SLICES = 4096
+MAX_SLICES = 65_536
 
 
 def slice_points(df: DataFrame, value: str, slice_rows: int = SLICE_ROWS,
@@ -41,11 +43,12 @@ def slice_points(df: DataFrame, value: str, slice_rows: int = SLICE_ROWS,
 
 
 def with_slice(df: DataFrame, value: str, points: Sequence[float], out: str = "_slice") -> DataFrame:
-    """Number of the ordered slice of a non-null value."""
+    """Number of the ordered slice of a value: NULL before all others, NaN after, as in a sort."""
     if not points:
         return df.withColumn(out, F.lit(0))
-    cut = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=value, outputCol="_cut")
-    return cut.transform(df).withColumn(out, F.col("_cut").cast("int")).drop("_cut")
+    cut = Bucketizer(splits=[-math.inf, *points, math.inf], inputCol=value, outputCol="_cut", handleInvalid="keep")
+    number = F.when(F.col(value).isNull(), -1).otherwise(F.col("_cut").cast("int"))
+    return cut.transform(df).withColumn(out, number).drop("_cut")
 
 
 def _starts(per_slice: DataFrame, keys: Sequence[str], rows: str) -> DataFrame:
@@ -65,10 +68,10 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, slice_rows:
     Gives keys, value, ``n`` (rows with this value), ``below`` (rows with a
     smaller value), ``total`` (rows of the group) and the slice. Ties are counted
     before anything is ordered, so a value shared by a third of the rows is one
-    row here. Without a bound the counts are written once, because choosing the
+    row here. NULL, NaN and infinite values are left out; a NULL key is a key. Without a bound the counts are written once, because choosing the
     slices and using them both read them.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counted = df.filter(finite(F.col(value)).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     if group_rows is None or group_rows > slice_rows:
         counted = materialise(counted)
     points = slice_points(counted, value, slice_rows, group_rows)
@@ -79,7 +82,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, *, slice_rows:
         return local.withColumn("total", F.sum("n").over(Window.partitionBy(*keys, "_slice"))), points
     per_slice = counted.groupBy(*keys, "_slice").agg(F.sum("n").alias("_rows"))
     placed = (
-        local.join(_starts(per_slice, keys, "_rows"), [*keys, "_slice"])
+        join_keys(local, _starts(per_slice, keys, "_rows"), [*keys, "_slice"])
         .withColumn("below", F.col("below") + F.col("_start"))
         .drop("_start")
     )
@@ -107,7 +110,7 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *, ti
             *keys, value, F.col("n").alias("_tied"),
             (F.col("below") + (F.col("n") + 1) / F.lit(2.0)).cast("double").alias(out),
         )
-        ranked = df.join(ranks, [*keys, value])
+        ranked = join_keys(df, ranks, [*keys, value])
     return ranked.withColumnRenamed("_tied", ties) if ties else ranked.drop("_tied")
 
 
@@ -127,7 +130,7 @@ def group_index(df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequen
         return local.drop("_slice")
     starts = _starts(sliced.groupBy(*part).agg(F.count(F.lit(1)).alias("_rows")), keys, "_rows")
     starts = starts.withColumnRenamed("total", total) if total else starts.drop("total")
-    return local.join(starts, part).withColumn(out, F.col(out) + F.col("_start")).drop("_start", "_slice")
+    return join_keys(local, starts, part).withColumn(out, F.col(out) + F.col("_start")).drop("_start", "_slice")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], *,
