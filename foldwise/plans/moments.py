@@ -24,12 +24,15 @@ BUDGET_BYTES = 256 << 20
 
 
 def group_positions(batch: pa.RecordBatch, keys: Sequence[str]) -> dict[tuple, np.ndarray]:
-    """Row numbers of every key combination in a batch."""
+    """Row numbers of every key combination in a batch; NULL is a key."""
     if not keys:
         return {(): np.arange(batch.num_rows)}
-    frame = pd.DataFrame({k: batch.column(k).to_pandas() for k in keys})
-    found = frame.groupby(list(keys), sort=False, dropna=False).indices
-    return {(k if isinstance(k, tuple) else (k,)): v for k, v in found.items()}
+    coded = [batch.column(k).dictionary_encode(null_encoding="encode") for k in keys]
+    values = [c.dictionary.to_pylist() for c in coded]
+    frame = pd.DataFrame({k: c.indices.to_numpy(zero_copy_only=False) for k, c in zip(keys, coded, strict=True)})
+    found = frame.groupby(list(keys), sort=False).indices
+    codes = {(k if isinstance(k, tuple) else (k,)): v for k, v in found.items()}
+    return {tuple(v[i] for v, i in zip(values, k, strict=True)): rows for k, rows in codes.items()}
 
 
 def as_matrix(column: pa.Array, rows: np.ndarray) -> np.ndarray:
