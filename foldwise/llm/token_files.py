@@ -16,6 +16,7 @@ documents of their own, in the order of their texts. An empty table gives no sha
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from foldwise.llm.text import pieces
 from foldwise.session import scratch_path, written
 
-MEMO = 250_000  # words whose ids are kept
+MEMO = 500_000  # words whose ids are kept
+PARTS = 1_000_000  # lower-case words and endings whose ids are kept
 BATCH = 2_000
+_ENDING = re.compile(r"(.*[^\W_])([!-&(-/:-@\[-`{-~]+)\Z", re.S)
 SHARD_ROWS = 8_000  # documents of a shard, about; more where that would make too many shards
 MOST_SHARDS = 20_000
 
@@ -64,7 +67,8 @@ class Words:
     White space in ASCII ends every unit of the tokenizer (its pattern drops white space, and no normal form joins
     across it), so a text's ids are its words' ids in a row. New words are encoded a few thousand at a time, behind one
     another with a special token between (the library cuts there first), and kept as the bytes that go into the
-    file, up to a bound.
+    file, up to a bound. Before that they are put in lower case, as the tokenizer would, and signs at their end are taken off:
+    between a letter or digit and an ASCII sign other than the apostrophe the tokenizer's pattern always ends a unit.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -74,36 +78,58 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = dtype
         self.known: dict[bytes, bytes] = {}
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        cuts = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized and not t.single_word]
+        self.parts: dict[str, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder()
+        cuts = [(t.content, i) for i, t in added.items() if t.special and not t.normalized and not t.single_word]
         self.cut, self.cut_id = cuts[-1] if cuts else ("", -1)
-        self.special = [c.encode() for c in special.values()]
+        self.special = [t.content for t in added.values()]
+        self.mark = os.path.commonprefix(self.special)
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
 
+    def alone(self, word: str) -> bool:
+        return not self.cut or self.mark in word and any(c in word for c in self.special)
+
     def learn(self, words: list[bytes]) -> None:
-        alone = [w for w in words if not self.cut or any(c in w for c in self.special)]
-        for w in alone:
-            self.known[w] = self.ids(w.decode()).astype(self.dtype).tobytes()
-        plain = [w for w in words if w not in self.known] if alone else words
-        for i in range(0, len(plain), BATCH):
-            part = plain[i:i + BATCH]
-            ids = self.ids(self.cut.join([w.decode() for w in part]))
+        texts = [w.decode() for w in words]
+        split = []
+        for text in texts:
+            if self.alone(text):
+                split.append((text,))
+                continue
+            if text.isascii() or max(text) < "\u0100":
+                text = text.lower()  # as the tokenizer does, letter by letter
+            found = _ENDING.match(text)
+            split.append(found.groups() if found else (text,))
+        if len(self.parts) > PARTS:
+            self.parts.clear()
+        new = {p for parts in split for p in parts if p not in self.parts}
+        for part in [p for p in new if self.alone(p)]:
+            self.parts[part] = self.ids(part).astype(self.dtype).tobytes()
+            new.discard(part)
+        new = list(new)
+        for i in range(0, len(new), BATCH):
+            batch = new[i:i + BATCH]
+            ids = self.ids(self.cut.join(batch))
             at = np.flatnonzero(ids == self.cut_id)
             packed = ids.astype(self.dtype).tobytes()
-            width = len(packed) // max(1, len(ids))
+            width = np.dtype(self.dtype).itemsize
             starts, ends = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(packed)]
-            self.known.update((w, packed[s:e]) for w, s, e in zip(part, starts, ends, strict=True))
-
-    def encode(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        new = {w for w in words if w not in self.known}
+            self.parts.update((p, packed[s:e]) for p, s, e in zip(batch, starts, ends, strict=True))
+        get = self.parts.__getitem__
+        self.known.update((w, b"".join(map(get, parts))) for w, parts in zip(words, split))
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        split = [(t or "").encode().split() for t in texts]
+        words = set().union(*split)
+        new = words.difference(self.known)
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
-            new = set(words)
+            new = words
         self.learn(list(new))
-        return b"".join(map(self.known.__getitem__, words))
+        get = self.known.__getitem__
+        return [b"".join(map(get, own)) for own in split]
 
 
 _words: dict[tuple[str, str], Words] = {}  # a worker serves many tasks
@@ -133,10 +159,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, fo
         for batch in pieces(batches, "text", 1 << 20):
             if out is None:
                 out = fs.open_output_stream(f"{path}/{name}.bin")
-            for text in batch.column("text").to_pylist():
-                ids = words.encode(text) + end
-                out.write(ids)
-                sizes.append(len(ids) // width)
+            for ids in words.encode(batch.column("text").to_pylist()):
+                out.write(ids + end)
+                sizes.append(len(ids) // width + 1)
             docs_seen.append(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
