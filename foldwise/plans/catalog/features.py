@@ -190,7 +190,7 @@ def lens_spearman(spark, d):
 
 def lens_summary(spark, d):
     s = lens.lens_scores(all_rows(spark, d), B.logits(spark, d))
-    gate = all_rows(spark, d).groupBy("dataset").agg((F.max("fitness") > F.avg("fitness") * 2.19).alias("gate_pass"))
+    gate = all_rows(spark, d).groupBy("dataset").agg((F.max("fitness") > F.avg("fitness") * 1.99).alias("gate_pass"))
     return lens.lens_summary(s, gate).select("layer", "n", *_r("mean", "sd", digits=6))
 
 
@@ -261,8 +261,8 @@ pf as (select n.dataset, cast(p.p as int) pos, a.letter, coalesce(c.c, 0) count,
 
 _LREXP = LOGITS + """,
 tp as (select dataset, pos, layer, max(logit) m from lg group by 1, 2, 3),
-al as (select dataset, pos, layer, m, ln(sum(exp(logit - m))) + m total from lg join tp using (dataset, pos, layer) group by 1, 2, 3, 4),
-ll as (select dataset, pos, layer, letter, ln(sum(exp(logit - m))) + m - total logp,
+al as materialized (select dataset, pos, layer, m, ln(sum(exp(logit - m))) + m total from lg join tp using (dataset, pos, layer) group by 1, 2, 3, 4),
+ll as materialized (select dataset, pos, layer, letter, ln(sum(exp(logit - m))) + m - total logp,
               min_by(logit, token_id) - total direct
        from lg join al using (dataset, pos, layer) where letter is not null group by dataset, pos, layer, letter, m, total)"""
 
@@ -371,7 +371,7 @@ select dataset, cast(pos as int) pos, round(cast(v[greatest(1, pos - 2)] as doub
     "log_ratio": sql(_LENS, "select row_id, layer, round(score, 9) score from sr"),
     "lens_spearman": sql(_LENS, "select dataset, layer, round(rho, 6) rho, n from ls"),
     "lens_summary": sql(_LENS, """
-, g as (select dataset from rws group by 1 having max(fitness) > avg(fitness) * 2.19)
+, g as (select dataset from rws group by 1 having max(fitness) > avg(fitness) * 1.99)
 select layer, count(rho) n, round(avg(rho), 6) mean, round(stddev_pop(rho), 6) sd from ls semi join g using (dataset) group by 1"""),
     "condition_names": sql(RESULTS, """
 select model arm, 'combined' featset, split, layer shard, count(*) n from res group by all"""),

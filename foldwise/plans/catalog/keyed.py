@@ -92,7 +92,7 @@ def key_status_violations(spark, d):
 def reconcile(spark, d):
     """Bookkeeping of the capped pipeline against a plain recount without caps."""
     vs, refs = B.variants(spark, d), B.references(spark, d)
-    kept = V.bookkeeping(V.substitution_rows(vs, refs, 2900, None)).select("dataset", "n_rows", "n_variants")
+    kept = V.bookkeeping(V.substitution_rows(vs, refs, 200, None)).select("dataset", "n_rows", "n_variants")
     recount = V.bookkeeping(V.substitution_rows(vs, refs, None, None)).select("dataset", "n_rows", "n_variants")
     return K.reconcile(kept, recount, ["dataset"], ["n_rows", "n_variants"])
 
@@ -229,7 +229,7 @@ def _reconcile_sql():
     return sql(ROWS, f"""
 , vv as (select dataset, variant_id, count(*) c from rws group by 1, 2),
 cv as (select *, row_number() over (partition by dataset order by {md5_int("'42:' || variant_id")}, variant_id) i from vv),
-a as (select dataset, cast(sum(c) as bigint) n_rows, count(*) n_variants from cv where i <= 2900 group by 1),
+a as (select dataset, cast(sum(c) as bigint) n_rows, count(*) n_variants from cv where i <= 200 group by 1),
 b as (select dataset, cast(sum(c) as bigint) n_rows, count(*) n_variants from vv group by 1)
 select dataset, a.n_rows n_rows_a, a.n_variants n_variants_a, b.n_rows n_rows_b, b.n_variants n_variants_b
 from a full join b using (dataset) where a.n_rows is distinct from b.n_rows or a.n_variants is distinct from b.n_variants""")
