@@ -37,7 +37,7 @@ from foldwise.session import scratch_path, written
 
 ORDER = 3
 DISCOUNT = 0.75
-SHARD_BYTES = 64 << 20  # text per shard of a level
+SHARD_BYTES = 32 << 20  # text per shard of a level
 CHUNK_WORDS = 1_000_000  # words looked up together
 END = np.uint64(0xE4D0FD0C5E4D0FD1)
 _open: dict[str, tuple] = {}
@@ -377,25 +377,31 @@ def _level(docs: DataFrame, model: Model, k: int, folder: str, discount: float)
             base = np.where(head[:-1] > 0, values[np.maximum(head[:-1] - 1, 0)], np.uint64(0))
             last_word = (values - base[parent] - np.uint64(1)).astype(np.int64)
             used = np.flatnonzero(sizes)
+            del values, heads, head, parent, base
             distinct, inverse = np.unique(last_word[used], return_inverse=True)
             begin = np.zeros(len(distinct), np.int64)
             for i, part in below.cut(below.contexts, distinct):
                 begin[part] = below.shard(i)[1].get(distinct[part] - below.contexts[i]).astype(np.int64) + below.entries[i]
             of_context = np.zeros(last - first, np.int64)
             of_context[used] = begin[inverse]
+            del last_word, used, distinct, inverse, begin
             lower = 10 ** (-m._at(below, "probability", of_context[own] + word.astype(np.int64), below.entries) * m.step)
         weight = np.where(total > 0, discount * sizes / np.maximum(total, 1), 1.0)
         p = np.maximum(n.astype(float) - discount, 0) / total[own] + weight[own] * lower
+        del lower
         code = lambda x, least: np.clip(np.round(-np.log10(x) / m.step), least, 254).astype(np.uint8)
         # Ascending over the whole shard: each context's words are written above the last value of the one before.
         ends = np.where(sizes > 0, word[np.maximum(starts[1:] - 1, 0)] + np.uint64(1), np.uint64(0))
         base = np.concatenate([[np.uint64(0)], np.cumsum(ends, dtype=np.uint64)[:-1]])
         values = base[own] + word + np.uint64(1)
+        entries, all_ = len(word), int(n.sum())
+        del own, word, context, n, base, ends
         header, arrays = {}, {"probability": code(p, 0), "backoff": np.where(sizes > 0, code(weight, 0) + np.uint8(1), np.uint8(0)).astype(np.uint8)}
+        del p, weight, total
         _series("words", values, header, arrays)
         _series("starts", starts.astype(np.uint64), header, arrays)
         path = _saved(folder, k, shard, header, arrays)
-        return pa.table({"shard": [shard], "file": [path], "contexts": pa.array([last], pa.int64()), "entries": [len(word)], "total": [int(n.sum())]})
+        return pa.table({"shard": [shard], "file": [path], "contexts": pa.array([last], pa.int64()), "entries": [entries], "total": [all_]})
 
     rows = docs.mapInArrow(count, _ROW)
     missing = docs.sparkSession.range(shards).select(F.col("id").alias("shard"), *[F.lit(squeezed(np.zeros(0, np.uint64))).alias(c) for c in ("context", "word", "n")])
