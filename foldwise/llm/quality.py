@@ -31,6 +31,7 @@ POOL = 6_000
 ROUNDS = 3
 CONFIDENT = 0.95
 EXCHANGED = 500  # pseudo-labels a view gives in a round
+LEAST = 0.25  # documents below this probability of being good are rejected; unsure ones stay
 WORD_SLOTS = 1 << 14
 STYLE_BINS = 16
 META_SLOTS = 1 << 12
@@ -229,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     return cotrain(x, y, one("_label").to_numpy())
 
 
-def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """``docs`` with content_odds, metadata_odds, quality_probability and accepted."""
     new = [("content_odds", T.DoubleType()), ("metadata_odds", T.DoubleType()), ("quality_probability", T.DoubleType()), ("accepted", T.BooleanType())]
     docs = docs.drop(*[n for n, _ in new])
