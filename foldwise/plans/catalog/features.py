@@ -156,10 +156,10 @@ def error_statistics(spark, d):
 
 def exposure_and_distance(spark, d):
     c = B.confidence(spark, d).select("dataset", F.posexplode(confidence.exposure(F.col("plddt"))).alias("k", "exposure"))
-    e = B.errors(spark, d).filter("i = 1").select(
-        "dataset", F.posexplode(confidence.distance_proxy(F.col("pae_row"))).alias("k", "distance")
-    )
-    return c.join(e, ["dataset", "k"]).select("dataset", "k", *_r("exposure", "distance", digits=6))
+    e = B.errors(spark, d).select(
+        "dataset", F.posexplode(confidence.distance_proxy(F.col("pae_row"))).alias("k", "_distance")
+    ).groupBy("dataset", "k").agg(F.avg("_distance").alias("distance"), F.max("_distance").alias("farthest"))
+    return c.join(e, ["dataset", "k"]).select("dataset", "k", *_r("exposure", "distance", "farthest", digits=6))
 
 
 def neighbour_window(spark, d):
@@ -360,8 +360,8 @@ select dataset, row_id, pos, round(plddt[i], 6) f0, round(near[1], 6) f1, round(
        from cr r join pe p on p.dataset = r.dataset and p.i = r.i)
 select row_id, round(list_avg(b), 6) pae_mean, round(list_max(b), 6) pae_max, round(list_min(b), 6) pae_min from j"""),
     "exposure_and_distance": sql(CONFIDENCE, """
-, x as (select c.dataset, unnest(range(0, 64)) k, unnest(plddt) p, unnest(pae_row) e from cf c join pe on pe.dataset = c.dataset and i = 1)
-select dataset, cast(k as int) k, round((100 - least(greatest(p, 40), 100)) / 60, 6) exposure, round(e * 0.5, 6) distance from x"""),
+, x as (select c.dataset, unnest(range(0, 64)) k, unnest(plddt) p, unnest(pae_row) e from cf c join pe on pe.dataset = c.dataset)
+select dataset, cast(k as int) k, round((100 - least(greatest(max(p), 40), 100)) / 60, 6) exposure, round(avg(e * 0.5), 6) distance, round(max(e * 0.5), 6) farthest from x group by dataset, k"""),
     "neighbour_window": """
 with e as (select vec_id dataset, unnest(range(1, 65)) pos, embedding v from embeddings)
 select dataset, cast(pos as int) pos, round(cast(v[greatest(1, pos - 2)] as double), 9) w0, round(cast(v[greatest(1, pos - 1)] as double), 9) w1,

@@ -66,7 +66,7 @@ def bootstrap_ci(spark, d):
 
 
 def interval_signs(spark, d):
-    b = P.bootstrap_ci(_unit(gains(spark, d)), ["split", "layer"], 5, 95, unit="unit", n_boot=2000)
+    b = P.bootstrap_ci(_unit(gains(spark, d)), ["split", "layer"], 5, 95, unit="unit")
     return P.interval_signs(b, ["layer"])
 
 
@@ -127,7 +127,7 @@ def equivalence_table(spark, d):
 
 
 def verdict_tally(spark, d):
-    t = P.equivalence_table(B.results(spark, d), BY, FINAL, n_boot=2000).filter(~F.col("degenerate"))
+    t = P.equivalence_table(B.results(spark, d), BY, FINAL).filter(~F.col("degenerate"))
     return P.verdict_tally(t, ["verdict"])
 
 
@@ -263,7 +263,7 @@ select split, round((avg(a) - avg(b)) / sqrt((var_samp(a) + var_samp(b)) / 2), 9
                         + boot("gu", "split", "u", 0.025, 0.975),
                         "select split, round(lo, 9) lo, round(hi, 9) hi from ci"),
     "interval_signs": sql(_GAINS + ", gu as (select *, dataset || ':' || layer u from gn)"
-                          + boot("gu", "split, layer", "u", 0.05, 0.95, 2000), """
+                          + boot("gu", "split, layer", "u", 0.05, 0.95, 10000), """
 select layer, count(*) filter (lo > 0) better, count(*) filter (hi < 0) worse, count(*) n from ci group by 1"""),
     "t_interval": sql(_GAINS + _stat("gn", "split, layer") + _tquant(0.95), """
 select split, layer, n, round(mean, 9) mean, round(mean - q * se, 9) t_lo, round(mean + q * se, 9) t_hi
@@ -309,7 +309,7 @@ select model, split, best, n, best = {FINAL} degenerate,
        case when best <> {FINAL} then {_verdict('t_lo', 't_hi')} end verdict_t,
        round(mean, 9) mean, round(mean / (sd + 1e-12), 9) dz, round(lo, 9) lo, round(hi, 9) hi, round(t_lo, 9) t_lo,
        round(t_hi, 9) t_hi, round(tost_p, 9) tost_p, round(0.01 - hi, 9) upper_gap from t"""),
-    "verdict_tally": sql(_BVF + boot("bf", "model, split, best", "dataset", 0.05, 0.95, 2000), f"""
+    "verdict_tally": sql(_BVF + boot("bf", "model, split, best", "dataset", 0.05, 0.95, 10000), f"""
 select verdict, count(*) n, count(*) filter (verdict = 'Equivalent' and 0.01 - hi < 0.001) near_margin
 from (select *, {_verdict('lo', 'hi')} verdict from ci where best <> {FINAL}) group by 1"""),
     "subset_sensitivity": sql(RESULTS, f"""

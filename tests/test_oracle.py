@@ -7,7 +7,6 @@ from tests.harness import DATA, compare, connect
 
 SF = "0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW = {"gbt_oof", "profile_baseline", "rf_oof", "probe_grid", "pooling_grid", "position_control"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +20,7 @@ def test_matches_sql(spark, con, name):
     assert compare(QUERIES[name](spark, DATA.format(SF)), con, SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if n != "pipeline" and not n.startswith("op")))
 def test_rows_only(spark, name):
     df = QUERIES[name](spark, DATA.format(SF))
     assert len(df.collect()) > 0
