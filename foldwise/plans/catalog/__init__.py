@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("rows", "curves", "paired", "features", "similarity", "keyed", "readouts", "ingest")
+_MODULES = ("rows", "curves", "paired", "features", "similarity", "keyed", "readouts", "ingest", "readers")
 
 
 def load() -> tuple[dict, dict]:
