@@ -90,18 +90,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     """``docs`` with every row as often as the mix takes it.
 
     Only ids, sizes and text hashes are ordered; the texts move once, to meet their copies. Rows alike in
-    doc_id, source and text share their copies as evenly as whole numbers allow.
+    doc_id, source and text (by 64-bit hash) share their copies as evenly as whole numbers allow.
     """
-    alike = ["_id", "_source", "_text"]
-    marked = docs.withColumns({"_id": F.col("doc_id"), "_source": F.col("source"), "_text": F.xxhash64("text", F.length("text"))})
-    slim = written(marked.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), "_text",
-                                 word_count(F.col("text")).alias("size")), "sizes")
-    taken = copies(slim, targets(slim, weights, share, most), seed).groupBy(
-        F.col("doc_id").alias("_id2"), F.col("source").alias("_source2"), F.col("_text").alias("_text2")).agg(
+    key = F.xxhash64("doc_id", "source", "text", F.length("text"))
+    slim = written(docs.select("doc_id", "source", key.alias("_key"), word_count(F.col("text")).alias("size")), "sizes")
+    taken = copies(slim, targets(slim, weights, share, most), seed).groupBy(F.col("_key").alias("_of")).agg(
         F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    both = marked.join(taken, F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2"))
-                       & (F.col("_text") == F.col("_text2")))
-    place = F.row_number().over(Window.partitionBy("_id2", "_source2", "_text2").orderBy(F.lit(1)))
+    both = docs.withColumn("_key", key).join(taken, F.col("_key") == F.col("_of"))
+    place = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))  # dealt by the join already
     mine = F.floor(F.col("_copies") / F.col("_rows")) + F.when(place <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
     return both.withColumn("_mine", mine.cast("int")).filter(F.col("_mine") > 0).withColumn(
         "_copy", F.explode(F.sequence(F.lit(1), F.col("_mine")))).select(*[F.col(c) for c in docs.columns])
