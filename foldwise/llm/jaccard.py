@@ -225,11 +225,14 @@ def open_pairs(index: DataFrame, roots: DataFrame, answers: DataFrame, items: Da
     two = items.select("node", F.col("items").alias("_y"))
     both = listed.join(two, "node").join(one, "leader")
     gone, came = F.array_except("_x", "_y"), F.transform(F.array_except("_y", "_x"), lambda h: F.bitwise_not(h))
-    spread = written(both.select("leader", "node", "root", "near", "_l", "g", "n", "_most", F.explode(F.concat(gone, came)).alias("d")), "differences")
-    often = spread.groupBy("leader", "d").agg(F.count(F.lit(1)).alias("_df"))
-    order = Window.partitionBy("leader", "node").orderBy("_df", "d")
-    placed = spread.join(often, ["leader", "d"]).withColumn("_at", F.row_number().over(order)).filter(
-        (F.col("_at") <= F.col("_most")) & (F.col("_df") > 1)).select("leader", "d", "node", "root", "near", "_l", "g", (F.col("n") - F.col("_at") + 1).alias("_left"))
+    spread = both.select("leader", "node", F.explode(F.concat(gone, came)).alias("d"))
+    # How many members share a difference; those that nobody shares come first in the order and are only counted.
+    shared_ = spread.withColumn("_df", F.count(F.lit(1)).over(Window.partitionBy("leader", "d"))).filter("_df > 1")
+    mine = Window.partitionBy("leader", "node")
+    ranked = shared_.withColumns({"_at": F.row_number().over(mine.orderBy("_df", "d")), "_shared": F.count(F.lit(1)).over(mine)})
+    known = listed.select("leader", "node", "root", "near", "_l", "g", "n", "_most")
+    placed = ranked.join(known, ["leader", "node"]).withColumn("_at", F.col("_at") + F.col("n") - F.col("_shared")).filter(
+        F.col("_at") <= F.col("_most")).select("leader", "d", "node", "root", "near", "_l", "g", (F.col("n") - F.col("_at") + 1).alias("_left"))
     placed = written(placed, "placed")
     far = placed.filter(~F.col("near")).select("leader", "d", "_l", F.col("node").alias("a"), F.col("root").alias("_ra"), F.col("g").alias("_ga"), F.col("_left").alias("_fa"))
     any_ = placed.select("leader", "d", "near", F.col("node").alias("b"), F.col("root").alias("_rb"), F.col("g").alias("_gb"), F.col("_left").alias("_fb"))
