@@ -116,7 +116,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.find = regex.compile(pattern).findall
         self.machine = Transducer(ranks)
-        encode, memo = self.machine.encode, {}
+        encode = self.machine.encode
 
         class Memo(dict):
             def __missing__(self, match: str) -> tuple[int, ...]:
@@ -127,7 +127,7 @@ class Encoder:
                     self[match] = ids
                 return ids
 
-        self.memo = Memo(memo)
+        self.memo = Memo()
 
     def encode(self, text: str) -> np.ndarray:
         ids: list[int] = []

@@ -172,8 +172,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     spot = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)).cast("bigint")))
     low, n = spot.agg(F.min("_k"), F.count(F.lit(1))).first()
     buckets = min(MOST_BUCKETS, -(-n // BUCKET_ROWS))
-    found = spot.approxQuantile("_k", [i / buckets for i in range(1, buckets)], 0.25 / buckets) if buckets > 1 else []
-    bounds = sorted({int(x) for x in found if low is not None and int(x) > low})
+    found = spot.agg(F.percentile_approx("_k", [i / buckets for i in range(1, buckets)], 4 * buckets)).first()[0] if buckets > 1 else []
+    cuts = sorted({x for x in found if x > low})
+    # Quantiles pass through doubles; the least id beyond each is where its range begins.
+    begins = spot.groupBy(_place(F.col("_k"), cuts).alias("_at")).agg(F.min("_k").alias("_first")).collect() if cuts else []
+    bounds = sorted(r["_first"] for r in begins if r["_first"] > low)
     place = _place(F.col("_k"), bounds)
     last = len(bounds)
     firsts = F.col("_k").isin(*bounds) if 0 < last <= 64 else F.array_contains(F.array(*[F.lit(b).cast("bigint") for b in bounds]), F.col("_k")) if last else F.lit(False)

@@ -100,6 +100,16 @@ def test_fingerprints(odd_docs, no_docs):
     assert fingerprints.fingerprint(no_docs).count() == 0
 
 
+def test_next_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few ids, ids beyond the precision of a double, and a repeated first id."""
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 7)
+    ids = sorted([2**60 + 3 * i for i in range(150)] + [2**60, -5, -5])
+    docs = spark.createDataFrame([(d, f"text {i:04d} of {d}") for i, d in enumerate(ids)], "doc_id long, _text string").withColumn("_keys", F.array(F.lit(1)))
+    got = sorted((r["doc_id"], r["_text"], r["_next"]) for r in fingerprints.with_next(docs.repartition(6)).collect())
+    texts = [f"text {i:04d} of {d}" for i, d in enumerate(ids)]
+    assert got == [(d, t, texts[(i + 1) % len(ids)]) for i, (d, t) in enumerate(zip(ids, texts))]
+
+
 def test_language_model(odd_docs, no_docs):
     rows = odd_docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     model = lm.train(rows)
