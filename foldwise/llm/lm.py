@@ -38,7 +38,7 @@ from foldwise.session import scratch_path, written
 ORDER = 3
 DISCOUNT = 0.75
 SHARD_BYTES = 32 << 20  # text per shard of a level
-CHUNK_WORDS = 1_000_000  # words looked up together
+CHUNK_WORDS = 700_000  # words looked up together
 END = np.uint64(0xE4D0FD0C5E4D0FD1)
 _open: dict[str, tuple] = {}
 
@@ -229,7 +229,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], train: bool) -> Iterator[tuple[np
     """Hashes, offsets and doc_ids of so many whole texts at a time; only training texts if asked."""
     held: list[tuple] = []
     size = 0
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", 2 << 20):
         if train:
             batch = batch.filter(pa.array(~held_out(batch.column("doc_id").to_pylist())))
         if batch.num_rows:
