@@ -1,8 +1,8 @@
 """Exact Jaccard join on word shingles that skips by set relations.
 
 A document is the set of hashes of its ``width``-word shingles; documents with equal sets are one node. Sets are
-sorted by hash and cut into blocks by position in the hash range. Two linked sets differ in at most d shingles, so of d + 1
-blocks at least one is equal: index lists are kept by (size class, block, content of the block), and whatever differs
+sorted by hash and cut into blocks by position in the hash range. Two linked sets differ in at most d shingles, so of more than
+d blocks at least one is equal: index lists are kept by (size class, block, content of the block), and whatever differs
 in a block is skipped with the whole block, unread. A size class spans a factor of 100 / percent; a set stands in its own class and
 the next, where its larger partners are.
 
@@ -62,15 +62,20 @@ def block_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
     keys, owners = [], []
     for step in (0, 1):
         of = np.searchsorted(tops, np.maximum(sizes, 1)) + step
-        blocks = np.where(sizes > 0, 2 * tops[of] * (100 - percent) // (100 + percent) + 1, 0)
+        apart = 2 * tops[of] * (100 - percent) // (100 + percent)  # shingles that linked sets may differ in
+        blocks = np.where(sizes > 0, apart + apart // 16 + 3, 0)
         base = np.concatenate([[0], np.cumsum(blocks)])
         place = base[owner] + ((values >> np.uint64(32)) * blocks[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        ends = np.cumsum(np.bincount(place, minlength=base[-1]))
+        held = np.bincount(place, minlength=base[-1])
+        ends = np.cumsum(held)
         content = np.diff(sums[np.concatenate([[0], ends])])
         mine = np.repeat(np.arange(len(sizes)), blocks)
         index = (np.arange(base[-1]) - base[mine]).astype(np.uint64)
-        keys.append(mix(content + mix(index + (of[mine].astype(np.uint64) << np.uint64(40)) + np.uint64(77))))
-        owners.append(mine)
+        # With more filled blocks than may differ, one that is equal is filled: empty blocks need no list.
+        filled = np.bincount(mine[held > 0], minlength=len(sizes))
+        keep = (held > 0) | (filled <= apart)[mine]
+        keys.append(mix(content + mix(index + (of[mine].astype(np.uint64) << np.uint64(40)) + np.uint64(77)))[keep])
+        owners.append(mine[keep])
     return np.concatenate(keys), np.concatenate(owners)
 
 
