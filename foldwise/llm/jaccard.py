@@ -84,16 +84,17 @@ def signed(values: np.ndarray) -> pa.Array:
 
 
 def nodes(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, node of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    """n_shingles and node of every document, and its other columns but the text."""
+    kept = [c for c in docs.columns if c != "text"]
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             _, offsets, node = sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), signed(node)],
-                                             names=["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(np.diff(offsets), pa.int64()), signed(node)],
+                                             names=[*kept, "n_shingles", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles bigint, node bigint")
+    return docs.select(*kept, "text").mapInArrow(run, kinds + "n_shingles bigint, node bigint")
 
 
 def lists(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -182,8 +183,8 @@ def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, node, component_id of every document."""
+def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents' ``nodes``, root of every node that is linked with another, and the sets of these nodes (and more)."""
     found = written(nodes(docs, width), "nodes")
     index = written(lists(docs, width, percent), "lists")
     in_lists = index.select("node").distinct()
@@ -198,6 +199,12 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         linked(F.col("overlap"), F.col("size_a"), F.col("size_b"), percent)).select("a", "b"), "late")
     if not rest.isEmpty():
         roots = components(good.select("a", "b").unionByName(rest))
+    return found, roots, items
+
+
+def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, n_shingles, node, component_id of every document."""
+    found, roots, _ = classes(docs.select("doc_id", "text"), width, percent)
     nodes_ = rooted(found.filter(F.col("node") != 0).groupBy("node").agg(F.min("doc_id").alias("_id")), roots)
     named = nodes_.join(nodes_.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("node", "component_id")
     return found.join(named, "node", "left").select(
@@ -248,8 +255,20 @@ def open_pairs(index: DataFrame, roots: DataFrame, answers: DataFrame, items: Da
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: a row of least doc_id. Documents without shingles stay."""
-    joined = join(docs.select("doc_id", "text"), width, percent)
-    gone = joined.filter((F.col("n_shingles") > 0) & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    return kept
+    """``docs`` with one row of each component: of least doc_id (null last), then of least hash. Rows without shingles stay.
+
+    Rows go by doc_id and a hash of all columns (but maps); of rows that agree in both, one stays.
+    """
+    columns = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    marked = docs.withColumn("_row", F.xxhash64(*[x for c in columns for x in (c.isNull(), c)]))
+    found, roots, _ = classes(marked.select("doc_id", "_row", "text"), width, percent)
+    rows = rooted(found.filter(F.col("n_shingles") > 0).select("doc_id", "_row", "node"), roots)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", "_row")).alias("_first"))
+    stays = F.col("doc_id").eqNullSafe(F.col("_first.doc_id")) & (F.col("_row") == F.col("_first._row"))
+    judged = written(rows.join(first, "root").select(F.col("doc_id").alias("_id"), F.col("_row").alias("_hash"), stays.alias("_stays")), "judged")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
+    kept = marked.join(judged.filter(~F.col("_stays")).select("_id", "_hash").distinct(), same, "left_anti")
+    again = written(judged.filter("_stays").groupBy("_id", "_hash").count().filter("count > 1").select("_id", "_hash"), "again")
+    if not again.isEmpty():
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

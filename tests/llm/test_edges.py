@@ -87,6 +87,19 @@ def test_jaccard(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and jaccard.one_of_each(no_docs, 5, 80).count() == 0
 
 
+def test_one_of_each(spark, odd_docs):
+    """Null ids, an id with two texts, repeated rows; one row of each component and all without shingles."""
+    kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in jaccard.one_of_each(odd_docs, 3, 90).filter("text is not null").collect())
+    texts = {r["doc_id"]: r["text"] for r in odd_docs.collect() if r["doc_id"] is not None}
+    assert kept == [(d, texts[d]) for d in (1, 3, 4, 5, 6, 8)]
+    assert sorted(r["doc_id"] or -1 for r in jaccard.one_of_each(odd_docs, 3, 90).filter("text is null").collect()) == [-1, 2]
+    a, b, c = (" ".join(f"{w}{i}" for i in range(30)) for w in "abc")
+    rows = [(1, a, 1), (5, a, 1), (5, b, 1), (6, b, 1), (None, c, 1), (None, c, 1), (None, b, 1), (None, None, 1), (None, None, 1), (None, a + " x", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more int")
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in jaccard.one_of_each(docs, 5, 80).collect()))
+    assert got == sorted([(1, a), (5, b), (-1, c), (-1, ""), (-1, "")])
+
+
 def test_fingerprints(odd_docs, no_docs):
     rows = sorted((tuple(r) for r in odd_docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     out = fingerprints.fingerprint(odd_docs).collect()
