@@ -9,8 +9,11 @@ the next, where its larger partners are.
 In every list the first node leads. Leaders are compared with the members of their lists; linked ones form
 components. Only lists that still hold several components go on: the answers of their other pairs are derived from the
 leader's. Two members' overlap follows from what each differs in from the leader, so a pair can only be linked if it
-shares enough of these few differences; pairs that do are found by lists of differences and compared. Pairs within
-a component are never looked at, and a crowd of copies around one text costs as much as its differences.
+shares enough of these few differences; pairs that do are found by lists of differences and compared.
+
+Links are counted afterwards, inside components: each set is seen from a common text of its component, pairs whose few
+differences can't part them are counted by sums, and only the others that share a difference are compared. So a crowd
+of copies around one text costs as much as its differences.
 
 Null and empty texts have no shingles and are linked with nothing; a text with fewer than ``width`` words is one shingle.
 Documents without doc_id take part but can't name a component (it is null if all are). Repeated rows are equal sets. An empty
@@ -203,12 +206,16 @@ def classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
 
 
 def join(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, node, component_id of every document."""
-    found, roots, _ = classes(docs.select("doc_id", "text"), width, percent)
+    """doc_id, n_shingles, node, component_id and n_links, the number of other documents it is linked with, of every document."""
+    found, roots, items = classes(docs.select("doc_id", "text"), width, percent)
+    copies = found.filter(F.col("node") != 0).groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+    counted = links(written(roots.join(copies, "node"), "weighted"), items, percent)
+    counted = copies.join(counted, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("_links"))
     nodes_ = rooted(found.filter(F.col("node") != 0).groupBy("node").agg(F.min("doc_id").alias("_id")), roots)
     named = nodes_.join(nodes_.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("node", "component_id")
-    return found.join(named, "node", "left").select(
-        "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.join(named.join(counted, "node"), "node", "left").select(
+        "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("_links", F.lit(0)).alias("n_links"))
 
 
 def open_pairs(index: DataFrame, roots: DataFrame, answers: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -254,6 +261,65 @@ def open_pairs(index: DataFrame, roots: DataFrame, answers: DataFrame, items: Da
     return pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
 
 
+def links(members: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """node, links: documents of other nodes that a node of ``members`` (node, root, copies) is linked with.
+
+    All links lie inside components. A component's sets are seen from one text L that holds what most of them hold: with R(x),
+    A(x), D(x) and g(x) as in ``open_pairs``, which hold for any L, a and b are linked if and only if
+    (100 + percent) |D(a) & D(b)| >= g(a) + g(b) - (100 - percent) |L|. Pairs with no more than 0 on the right are
+    linked whatever they share, and counted by sums over g; of the others, only those that share a difference are left.
+    """
+    scale, per = F.lit(100 + percent), F.lit(percent)
+    one = items.select(F.col("node").alias("root"), F.col("items").alias("_x"))
+    two = items.select("node", F.col("items").alias("_y"))
+    both = members.join(two, "node").join(one, "root")
+    gone, came = F.array_except("_x", "_y"), F.transform(F.array_except("_y", "_x"), lambda h: F.bitwise_not(h))
+    seen = written(both.select("root", "node", "copies", F.size("_x").alias("_l"), F.size("_y").alias("_s"), F.size(gone).alias("_r"),
+                               F.concat(gone, came).alias("_d")), "seen")
+    # What more than half of the members differ in from their root belongs to the common text.
+    most = seen.select("root", "_r", F.posexplode("_d").alias("_at", "d")).groupBy("root", "d").agg(
+        F.count(F.lit(1)).alias("_df"), F.max(F.when(F.col("_at") < F.col("_r"), -1).otherwise(1)).alias("_more"))
+    many = members.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+    turned = most.join(many, "root").filter(2 * F.col("_df") > F.col("_n")).groupBy("root").agg(F.collect_list("d").alias("_m"), F.sum("_more").alias("_more"))
+    none = F.array().cast("array<bigint>")
+    seen = seen.join(turned, "root", "left").withColumns({"_m": F.coalesce("_m", none), "_l": F.col("_l") + F.coalesce("_more", F.lit(0))})
+    seen = seen.withColumn("d", F.concat(F.array_except("_d", "_m"), F.transform(F.array_except("_m", "_d"), lambda h: F.bitwise_not(h))))
+    left = (F.size("d") - F.col("_s") + F.col("_l")) / 2
+    seen = written(seen.select("root", "node", "copies", "d", F.size("d").alias("n"), ((100 - per) * F.col("_l")).cast("bigint").alias("free"),
+                               (per * (F.col("_s") - F.col("_l")) + scale * left).cast("bigint").alias("g")), "differences")
+    slim = seen.select("root", "node", "copies", "n", "free", "g")
+    # How many documents have at most a value of g: running sums over a component's values and the bounds asked for.
+    values = slim.groupBy("root", F.col("g").alias("_v")).agg(F.sum("copies").alias("_w")).withColumn("_asked", F.lit(0))
+    asked = slim.select("root", (F.col("free") - F.col("g")).alias("_v"), F.lit(0).cast("bigint").alias("_w"), F.lit(1).alias("_asked")).distinct()
+    upto = values.unionByName(asked).withColumn("_sum", F.sum("_w").over(
+        Window.partitionBy("root").orderBy("_v", "_asked").rowsBetween(Window.unboundedPreceding, 0))).filter("_asked = 1")
+    upto = upto.select(F.col("root").alias("_root"), "_v", "_sum")
+    sure = slim.join(upto, (F.col("root") == F.col("_root")) & (F.col("free") - F.col("g") == F.col("_v"))).select(
+        "node", (F.col("_sum") - F.when(2 * F.col("g") <= F.col("free"), F.col("copies")).otherwise(0)).alias("links"))
+    # Open pairs share a difference among the rarest n - m + 1 of each; those that nobody shares come first and are only counted.
+    ends = slim.groupBy("root").agg(F.min("g").alias("_lo"), F.max("g").alias("_hi"))
+    need = F.greatest(F.ceil((F.col("g") + F.col("_lo") - F.col("free")) / scale), F.lit(1))
+    listed = seen.join(ends, "root").filter(F.col("g") + F.col("_hi") > F.col("free")).withColumn("_most", F.col("n") - need + 1).filter("_most > 0")
+    listed = written(listed.select("root", "node", "copies", "n", "free", "g", "d", "_most"), "listed")
+    spread = listed.select("root", "node", F.explode("d").alias("d"))
+    shared = spread.groupBy("root", "d").agg(F.count(F.lit(1)).alias("_df")).filter("_df > 1")
+    mine = Window.partitionBy("node")
+    ranked = spread.join(shared, ["root", "d"]).withColumns({"_at": F.row_number().over(mine.orderBy("_df", "d")), "_shared": F.count(F.lit(1)).over(mine)})
+    known = listed.select("node", "n", "free", "g", "_most")
+    placed = ranked.join(known, "node").withColumn("_at", F.col("_at") + F.col("n") - F.col("_shared")).filter(F.col("_at") <= F.col("_most"))
+    placed = written(placed.select("root", "d", "node", "free", "g", (F.col("n") - F.col("_at") + 1).alias("_left")), "placed")
+    a = placed.select("root", "d", "free", F.col("node").alias("a"), F.col("g").alias("_ga"), F.col("_left").alias("_fa"))
+    b = placed.select("root", "d", F.col("node").alias("b"), F.col("g").alias("_gb"), F.col("_left").alias("_fb"))
+    bound = F.col("_ga") + F.col("_gb") - F.col("free")
+    met = a.join(b, ["root", "d"]).filter((F.col("a") < F.col("b")) & (bound > 0) & (scale * F.least("_fa", "_fb") >= bound))
+    pairs = met.groupBy("a", "b").agg(F.first(bound).alias("_bound"))
+    x = listed.select(F.col("node").alias("a"), F.col("d").alias("_x"), F.col("copies").alias("_ca"))
+    y = listed.select(F.col("node").alias("b"), F.col("d").alias("_y"), F.col("copies").alias("_cb"))
+    true = written(pairs.join(y, "b").join(x, "a").filter(scale * F.size(F.array_intersect("_x", "_y")) >= F.col("_bound")).select("a", "b", "_ca", "_cb"), "links")
+    late = true.select(F.col("a").alias("node"), F.col("_cb").alias("links")).unionByName(true.select(F.col("b").alias("node"), F.col("_ca").alias("links")))
+    return sure.unionByName(late).groupBy("node").agg(F.sum("links").alias("links"))
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: of least doc_id (null last), then of least hash. Rows without shingles stay.
 

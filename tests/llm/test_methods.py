@@ -117,6 +117,30 @@ def test_jaccard_on_chains_and_crowds(spark):
         assert got == {d: v[:2] for d, v in brute.jaccard_components(list(enumerate(rows)), width, percent).items()}
 
 
+def test_jaccard_links(spark):
+    """Link counts: copies, crowds around a text with few and many edits, edits in common, and a chain, at two thresholds."""
+    rng = np.random.default_rng(11)
+    rows, word = [], lambda: f"w{rng.integers(0, 10**6)}"
+    for size, edits in ((60, 4), (200, 9), (300, 4)):
+        base, common = [word() for _ in range(size)], [word() for _ in range(3)]
+        for k in range(40):
+            t = list(base)
+            if k % 2:
+                t[5:8] = common
+            for i in rng.choice(size, int(rng.integers(0, edits)), replace=False):
+                t[i] = word()
+            rows.append(" ".join(t))
+    chain = [word() for _ in range(120)]
+    for k in range(12):
+        rows += [" ".join(chain)] * (1 + k % 3)
+        chain = chain[1:] + [word()]
+    rows += ["", "one", "one", *rows[:7]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    for width, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in jaccard.join(df, width, percent).collect()}
+        assert got == brute.jaccard_components(list(enumerate(rows)), width, percent)
+
+
 def test_peeling_recovers_differences(spark):
     rng = np.random.default_rng(1)
     rows = []

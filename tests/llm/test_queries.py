@@ -73,6 +73,12 @@ def test_jaccard(docs, rows):
         assert (got[d]["n_shingles"], got[d]["component_id"]) == (n, component)
 
 
+def test_jaccard_links(docs, rows):
+    got = rows("op7_jaccard_join")
+    want = brute.jaccard_components([(d, t) for d, t, _ in docs], 3, 90)
+    assert {d: g["n_links"] for d, g in got.items()} == {d: links for d, (_, _, links) in want.items()} and any(g["n_links"] for g in got.values())
+
+
 def test_fingerprints(docs, rows):
     got, texts = rows("op8_fingerprints"), [t or "" for _, t, _ in docs]
     prints = {}
