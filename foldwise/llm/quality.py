@@ -1,12 +1,13 @@
 """Quality classifier by co-training two views of a document.
 
 The content view sees words and the style of the text, the metadata view sees source, language and length. Both
-start from the labelled documents. In every round each view labels a pool of unlabelled documents, and those it is
-confident about teach the *other* view. At the end each view is calibrated on labelled documents that no round has
+start from the labelled documents. In every round each view scores all unlabelled documents, and those it is
+confident about teach the *other* view: a sample of them in which every source that the metadata view can tell apart has its
+place in both classes, weighted by how many each row stands for. They weigh as much together as the labelled ones. At the end each view is calibrated on labelled documents that no round has
 used, and their calibrated log-odds are added, less the prior's. All documents are scored.
 
-Views are fitted on at most ``LABELLED`` labelled and ``POOL`` unlabelled documents, those of smallest hash of their id;
-that bound does not depend on the size of the table. Scores cover every document and whole texts. Null and empty texts
+Views are fitted on at most ``LABELLED`` labelled documents, those of smallest hash of their id, and about ``TAUGHT`` of the
+confident ones, one of each source's slot and class at least; no document is left out of the scoring. Scores cover every document and whole texts. Null and empty texts
 have no words; null metadata is a value of its own. Documents labelled twice take the mean label, at least one half being
 good. Without labels of both classes there is no model: the probability is null and everything is accepted. Repeated rows
 are scored alike, an empty table gives an empty table, extra columns stay.
@@ -20,17 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.text import hashed_words, mix, pieces, shingles, text_bytes
+from foldwise.session import written
 
 LABELLED = 6_000
-POOL = 6_000
+TAUGHT = 6_000  # confident documents that each view is fitted on
 ROUNDS = 3
 CONFIDENT = 0.95
-EXCHANGED = 500  # pseudo-labels a view gives in a round
 LEAST = 0.25  # documents below this probability of being good are rejected; unsure ones stay
 WORD_SLOTS = 1 << 14
 STYLE_BINS = 16
@@ -115,9 +116,9 @@ def metadata(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> Sparse:
     return Sparse(slots.ravel(), np.ones(slots.size), np.arange(len(size) + 1) * slots.shape[1])
 
 
-def fit(x: Sparse, y: np.ndarray, slots: int, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
+def fit(x: Sparse, y: np.ndarray, slots: int, weight: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
     """Logistic regression with a bias in the last place, classes weighted equally; Adagrad on the whole sample."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    weight = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum()))
     w, seen = np.zeros(slots + 1), np.full(slots + 1, 1e-8)
     row = np.repeat(np.arange(len(y)), np.diff(x.offsets))
     for _ in range(steps):
@@ -160,74 +161,131 @@ class Model:
         return one, two, one + two - self.prior
 
 
-def cotrain(a: Sparse, b: Sparse, label: np.ndarray, rounds: int = ROUNDS) -> Model | None:
-    """``label``: 1 good, 0 bad, -1 none. Every fourth labelled row is kept for the calibration."""
-    known = np.flatnonzero(label >= 0)
-    held = known[::4] if len(known) >= 40 else known
-    train = np.setdiff1d(known, held) if len(known) >= 40 else known
-    if len(np.unique(label[train])) < 2 or len(np.unique(label[held])) < 2:
-        return None
-    pool = np.flatnonzero(label < 0)
-    views, slots = (a, b), (CONTENT_SLOTS, META_SLOTS)
-    rows, marks = [train, train], [label[train].astype(float)] * 2
-    for turn in range(rounds + 1):
-        weights = [fit(v.take(r), m, s) for v, r, m, s in zip(views, rows, marks, slots)]
-        curves = [calibrated(v.take(train).dot(w) + w[-1], label[train].astype(float)) for v, w in zip(views, weights)]
-        if turn == rounds or not len(pool):
-            break
-        given = []
-        for v, w, c in zip(views, weights, curves):
-            odds = c[0] * (v.take(pool).dot(w) + w[-1]) + c[1]
-            p = 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
-            sure = np.argsort(-np.abs(odds), kind="stable")[:EXCHANGED]
-            given.append(sure[np.maximum(p[sure], 1 - p[sure]) >= CONFIDENT])
-            given.append((p[given[-1]] > 0.5).astype(float))
-        taught, marks_, used = [], [], np.union1d(given[0], given[2])
-        for k, (at, mark) in enumerate(((given[2], given[3]), (given[0], given[1]))):
-            taught.append(np.concatenate([rows[k], pool[at]]))
-            marks_.append(np.concatenate([marks[k], mark]))
-        rows, marks = taught, marks_
-        pool = np.delete(pool, used)
-    y = label[held].astype(float)
-    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
-    curves = [calibrated(v.take(held).dot(w) + w[-1], y) for v, w in zip(views, weights)]
-    return Model(weights[0], weights[1], *curves, float(np.log(rate / (1 - rate))))
+def parted(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows to fit on and, for the calibration, every fourth of each class; all for both if they are few."""
+    rows = np.argsort(label, kind="stable")
+    return (np.sort(np.delete(rows, np.s_[::4])), np.sort(rows[::4])) if len(rows) >= 40 else (rows, rows)
 
 
-def sample(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
-    """Text, metadata and label (-1: none) of the documents to fit on: bounded lists of ids meet the documents."""
-    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        (F.avg("quality") >= 0.5).cast("int").alias("_label"))
-    first = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    others = docs.select("doc_id").filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.col("doc_id") + F.lit(1)), "doc_id").limit(pool)
-    ids = first.unionByName(others.distinct().join(F.broadcast(first), "doc_id", "left_anti").withColumn("_label", F.lit(-1)))
-    return docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")  # at most labelled + pool ids
+def stacked(a: Sparse, b: Sparse) -> Sparse:
+    return Sparse(np.concatenate([a.slots, b.slots]), np.concatenate([a.values, b.values]), np.concatenate([a.offsets, a.offsets[-1] + b.offsets[1:]]))
+
 
+def confident(docs: DataFrame, known: np.ndarray, weights: list[np.ndarray], curves: list[tuple[float, float]], taught: int) -> pa.Table:
+    """view, mark, doc_id, weight: a sample of all documents but ``known`` that a view is confident about.
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model | None:
-    picked = sample(docs, labels, labelled, pool)
+    Strata are the view, the mark and the slot of the source. Of each the rows of least hash are taken, in equal numbers as far as
+    they go: about ``taught`` a view, one of a stratum at least.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((weights, curves, known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, curves, known = shared.value
+        kept, counts = np.zeros((0, 3), np.int64), {}
+        for batch in pieces(batches, "text"):
+            views = content(batch.column("text")), metadata(batch.column("source"), batch.column("lang"), batch.column("n_chars"))
+            ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            place = views[1].slots[views[1].offsets[:-1]]
+            new = ~np.isin(ids, known)
+            for view, (x, w, c) in enumerate(zip(views, weights, curves)):
+                p = 1 / (1 + np.exp(-np.clip(c[0] * (x.dot(w) + w[-1]) + c[1], -40, 40)))
+                sure = new & (np.maximum(p, 1 - p) >= CONFIDENT)
+                stratum = (view * 2 + (p > 0.5)) * META_SLOTS + place
+                kept = np.concatenate([kept, np.stack([stratum, mix(ids.astype(np.uint64) + np.uint64(1)).view(np.int64), ids], 1)[sure]])
+                for k, n in zip(*np.unique(stratum[sure], return_counts=True)):
+                    counts[int(k)] = counts.get(int(k), 0) + int(n)
+            kept = kept[np.lexsort((kept[:, 2], kept[:, 1], kept[:, 0]))]
+            first = np.searchsorted(kept[:, 0], kept[:, 0])
+            kept = kept[np.arange(len(kept)) - first < taught]
+        if len(kept):
+            lead = np.searchsorted(kept[:, 0], kept[:, 0]) == np.arange(len(kept))
+            n = np.array([counts[int(k)] for k in kept[:, 0]]) * lead  # once for each stratum
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*kept.T, n)], names=["stratum", "_h", "doc_id", "_n"])
+
+    fields = docs.select("doc_id", "text", "source", "lang", "n_chars").filter("doc_id is not null")
+    rows = written(fields.mapInArrow(run, "stratum bigint, _h bigint, doc_id bigint, _n bigint"), "confident")
+    sizes = rows.groupBy("stratum").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_there")).toArrow()  # 4 META_SLOTS rows at most
+    if not sizes.num_rows:
+        return pa.table({"view": [], "mark": [], "doc_id": pa.array([], pa.int64()), "weight": pa.array([], pa.float64())})
+    stratum, whole, there = (sizes.column(c).to_numpy() for c in ("stratum", "_all", "_there"))
+    most = np.ones(2, np.int64)
+    for view in (0, 1):
+        mine = np.minimum(there[stratum // (2 * META_SLOTS) == view], taught)
+        low, high = 1, taught
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if np.minimum(mine, mid).sum() <= taught else (low, mid - 1)
+        most[view] = low
+    last = F.when(F.col("stratum") < 2 * META_SLOTS, int(most[0])).otherwise(int(most[1]))
+    ranked = rows.withColumn("_at", F.row_number().over(Window.partitionBy("stratum").orderBy("_h", "doc_id"))).filter(F.col("_at") <= last)
+    taken = ranked.select("stratum", "doc_id").toArrow().sort_by([("stratum", "ascending"), ("doc_id", "ascending")])
+    of, ids = taken.column("stratum").to_numpy(), taken.column("doc_id").to_numpy()
+    totals = dict(zip(stratum.tolist(), whole.tolist()))
+    share = np.array([totals[k] for k in of.tolist()]) / np.bincount(np.searchsorted(np.unique(of), of))[np.searchsorted(np.unique(of), of)]
+    return pa.table({"view": of // (2 * META_SLOTS), "mark": of // META_SLOTS % 2, "doc_id": ids, "weight": share.astype(float)})
+
+
+def features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Sparse, Sparse]:
+    """doc_id (ascending) and both views of the documents of ``ids``, a few thousand."""
+    picked = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = content(batch.column("text"))
             lists = lambda v, t: pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(v, t))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("lang"), batch.column("n_chars"), batch.column("_label"),
+                [batch.column("doc_id"), batch.column("source"), batch.column("lang"), batch.column("n_chars"),
                  lists(x.slots, pa.int32()), lists(x.values.astype(np.float32), pa.float32())],
-                names=["doc_id", "source", "lang", "n_chars", "_label", "slots", "values"])
+                names=["doc_id", "source", "lang", "n_chars", "slots", "values"])
 
     fields = {f.name: f.dataType.simpleString() for f in picked.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "source", "lang", "n_chars", "_label")) + ", slots array<int>, values array<float>"
+    schema = ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "source", "lang", "n_chars")) + ", slots array<int>, values array<float>"
     rows = picked.mapInArrow(run, schema).toArrow().combine_chunks()
-    if rows.num_rows == 0:
-        return None
     rows = rows.take(pa.compute.sort_indices(rows, [("doc_id", "ascending")])).combine_chunks()
     one = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
     slots, values = one("slots"), one("values")
     x = Sparse(slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float),
-               np.concatenate([[0], np.cumsum(pa.compute.list_value_length(slots).to_numpy())]))
-    y = metadata(one("source"), one("lang"), one("n_chars"))
-    return cotrain(x, y, one("_label").to_numpy())
+               np.concatenate([[0], np.cumsum(pa.compute.list_value_length(slots).to_numpy())]).astype(np.int64))
+    return one("doc_id").to_numpy(), x, metadata(one("source"), one("lang"), one("n_chars"))
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught: int = TAUGHT) -> Model | None:
+    marks = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
+        (F.avg("quality") >= 0.5).cast("int").alias("_label"))
+    first = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).toArrow()
+    if not first.num_rows:
+        return None
+    spark, of = docs.sparkSession, dict(zip(first.column("doc_id").to_pylist(), first.column("_label").to_pylist()))
+    listed = lambda ids: spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))
+    ids, *views = features(docs, listed(list(of)))
+    label = np.array([of[d] for d in ids.tolist()], float)
+    train, held = parted(label)
+    if len(np.unique(label[train])) < 2 or len(np.unique(label[held])) < 2:
+        return None
+    slots, own = (CONTENT_SLOTS, META_SLOTS), np.array(sorted(of), np.int64)
+    base, y = [v.take(train) for v in views], label[train]
+    weights = [fit(v, y, s, np.ones(len(y))) for v, s in zip(base, slots)]
+    for _ in range(ROUNDS):
+        curves = [calibrated(v.dot(w) + w[-1], y) for v, w in zip(base, weights)]
+        sure = confident(docs, own, weights, curves, taught)
+        if not sure.num_rows:
+            break
+        found, *more = features(docs, listed(np.unique(sure.column("doc_id").to_numpy())))
+        weights = []
+        for k in (0, 1):  # each is taught by the other
+            given = sure.filter(pa.compute.equal(sure.column("view"), 1 - k))
+            order = np.argsort(given.column("doc_id").to_numpy(), kind="stable")
+            theirs, mark, share = (given.column(c).to_numpy()[order] for c in ("doc_id", "mark", "weight"))
+            rows = np.flatnonzero(np.isin(found, theirs))  # repeated documents stand for the rows they are
+            at = np.searchsorted(theirs, found[rows])
+            m, w = mark[at].astype(float), share[at] / np.bincount(np.searchsorted(theirs, found[rows]), minlength=len(theirs))[at]
+            for c in (0.0, 1.0):
+                w[m == c] *= (y == c).sum() / max(w[m == c].sum(), 1e-9)
+            weights.append(fit(stacked(base[k], more[k].take(rows)), np.concatenate([y, m]), slots[k], np.concatenate([np.ones(len(y)), w])))
+    y = label[held]
+    rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
+    curves = [calibrated(v.take(held).dot(w) + w[-1], y) for v, w in zip(views, weights)]
+    return Model(weights[0], weights[1], *curves, float(np.log(rate / (1 - rate))))
 
 
 def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:

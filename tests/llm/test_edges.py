@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,18 @@ def test_quality(spark, odd_docs, no_docs):
     assert quality.score(no_docs, model).count() == 0 and quality.train(no_docs, labels) is None
 
 
+def test_quality_learns_from_rare_sources(spark):
+    """Three documents of a source without labels, among hundreds of others, have their place in what a view of 8 is taught."""
+    good, bad = "the river runs past quiet fields and old mills", "$$$ WIN!!! 100 % cash >> click << now $$$ 777"
+    rows = [(i, (bad if i % 2 else good) + f" {i}", "en", "b" if i % 2 else "a", 50) for i in range(400)]
+    rows += [(1000 + i, good + f" {i}", "en", "rare", 50) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(60)], "doc_id long, quality int")
+    model = quality.train(docs, labels, 60, 8)
+    slot = quality.metadata(*[pa.array(x) for x in (["rare"], ["en"], [50])]).slots[0]
+    assert model.metadata[slot] > 0
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.NET/en/x?y#z"), (2, "https://example.net/en"), (3, None), (4, "no scheme/net/"), (5, "x://net"), (6, "x://net/"),
             (7, "http://b.example.com/de/1"), (8, "http://fr.org/fr/2"), (9, "http://fr.org/fr/2"), (10, "http://planet/"), (11, "a://b://c/d"),
