@@ -4,7 +4,8 @@ The content view sees words and the style of the text, the metadata view sees so
 start from the labelled documents. In every round each view scores all unlabelled documents, and those it is
 confident about teach the *other* view: a sample of them in which every source that the metadata view can tell apart has its
 place in both classes, weighted by how many each row stands for. They weigh as much together as the labelled ones. At the end each view is calibrated on labelled documents that no round has
-used, and their calibrated log-odds are added, less the prior's. All documents are scored.
+used, and their calibrated log-odds are added, less the prior's. All documents are scored; the labelled ones set the probability below
+which a document is rejected (``decision``).
 
 Views are fitted on at most ``LABELLED`` labelled documents, those of smallest hash of their id, and about ``TAUGHT`` of the
 confident ones, one of each source's slot and class at least; no document is left out of the scoring. Scores cover every document and whole texts. Null and empty texts
@@ -32,7 +33,7 @@ LABELLED = 6_000
 TAUGHT = 6_000  # confident documents that each view is fitted on
 ROUNDS = 3
 CONFIDENT = 0.95
-LEAST = 0.25  # documents below this probability of being good are rejected; unsure ones stay
+MOST = 0.5  # documents of this probability of being good are never rejected
 WORD_SLOTS = 1 << 14
 STYLE_BINS = 16
 META_SLOTS = 1 << 12
@@ -154,6 +155,10 @@ class Model:
     content_curve: tuple[float, float]
     metadata_curve: tuple[float, float]
     prior: float
+    least: float = MOST  # documents below this probability are rejected
+
+    def probability(self, a: Sparse, b: Sparse) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(a, b)[2], -40, 40)))
 
     def log_odds(self, a: Sparse, b: Sparse) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         one = self.content_curve[0] * (a.dot(self.content) + self.content[-1]) + self.content_curve[1]
@@ -161,6 +166,19 @@ class Model:
         return one, two, one + two - self.prior
 
 
+def decision(p: np.ndarray, y: np.ndarray, held: np.ndarray) -> float:
+    """Probability below which documents are rejected, ``MOST`` at most: no labelled good one is lost if 90% of the held-out bad ones still go.
+
+    Else it is the bound of least error on the ``held`` rows, both classes weighing the same.
+    """
+    least = min(MOST, p[y > 0].min())
+    q, good = p[held], y[held] > 0
+    if (q[~good] < least).mean() >= 0.9:
+        return float(least)
+    bounds = np.unique(np.append(q[q < MOST], MOST))
+    return float(bounds[np.argmin([(q[good] < t).mean() + (q[~good] >= t).mean() for t in bounds])])
+
+
 def parted(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows to fit on and, for the calibration, every fourth of each class; all for both if they are few."""
     rows = np.argsort(label, kind="stable")
@@ -285,15 +303,18 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught:
     y = label[held]
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     curves = [calibrated(v.take(held).dot(w) + w[-1], y) for v, w in zip(views, weights)]
-    return Model(weights[0], weights[1], *curves, float(np.log(rate / (1 - rate))))
+    model = Model(weights[0], weights[1], *curves, float(np.log(rate / (1 - rate))))
+    model.least = decision(model.probability(*views), label, held)
+    return model
 
 
-def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
-    """``docs`` with content_odds, metadata_odds, quality_probability and accepted."""
+def score(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:
+    """``docs`` with content_odds, metadata_odds, quality_probability and accepted: at least ``least``, or else the model's own bound."""
     new = [("content_odds", T.DoubleType()), ("metadata_odds", T.DoubleType()), ("quality_probability", T.DoubleType()), ("accepted", T.BooleanType())]
     docs = docs.drop(*[n for n, _ in new])
     if model is None:
         return docs.withColumns({n: F.lit(n == "accepted" or None).cast(t) for n, t in new})
+    least = model.least if least is None else least
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few tens of thousands of numbers
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, t) for n, t in new]])
 

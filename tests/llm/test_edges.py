@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,14 @@ def test_quality(spark, odd_docs, no_docs):
     assert quality.score(no_docs, model).count() == 0 and quality.train(no_docs, labels) is None
 
 
+def test_quality_decision():
+    held = np.arange(6)
+    y = np.array([0, 0, 0, 1, 1, 1])
+    assert quality.decision(np.array([0.1, 0.2, 0.3, 0.4, 0.8, 0.9]), y, held) == 0.4
+    assert quality.decision(np.array([0.1, 0.3, 0.45, 0.6, 0.8, 0.9]), y, held) == 0.5
+    assert quality.decision(np.array([0.3, 0.35, 0.4, 0.01, 0.8, 0.9]), y, held) == 0.5
+
+
 def test_quality_learns_from_rare_sources(spark):
     """Three documents of a source without labels, among hundreds of others, have their place in what a view of 8 is taught."""
     good, bad = "the river runs past quiet fields and old mills", "$$$ WIN!!! 100 % cash >> click << now $$$ 777"

@@ -160,6 +160,27 @@ def test_pipeline_stage_by_stage(spark):
     assert out == sorted((d, *p) for (d, _), p in zip(mixed, plain))
 
 
+def test_quality_stage_decides(spark):
+    """No document labelled good is lost, and most labelled bad that the rules have left go."""
+    import corpus_pipeline as cp
+
+    steps = dict(cp.STAGES)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    one = steps["quality rules"](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF).cache()
+    before, after = ({r["doc_id"] for r in x.collect()} for x in (one, steps["quality classifier"](spark, one, SF)))
+    assert not any(labels.get(d) == 1 for d in before - after)
+    bad = {d for d in before if labels.get(d) == 0}
+    assert 2 * len(bad - after) > len(bad)
+
+
+def test_quality_decides(spark, rows):
+    """Most documents labelled bad go, and no good one but 145, which the model on all documents takes for a bad one."""
+    got = rows("op6_cotraining")
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality").collect()
+    bad = [got[d]["accepted"] for d, q in labels if q == 0]
+    assert 2 * sum(bad) < len(bad) and {d for d, q in labels if q == 1 and not got[d]["accepted"]} <= {145}
+
+
 def test_pipeline_runs(spark):
     rows = entry.queries()["pipeline"](spark, SF).collect()
     assert rows and {"doc_id", "ids", "n_tokens"} <= set(rows[0].asDict())
