@@ -62,13 +62,12 @@ def ridge_fixed_penalty(spark, d):
 
 
 def probe_grid(spark, d):
-    """Both arms, eight layers, two leak-free splits and the random one, two feature sets."""
+    """Both arms, eight layers, all splits, two feature sets."""
     rows, wt = aux_rows(spark, d), B.position_vectors(spark, d)
     masked = wt.select("dataset", F.lit("masked_wt").alias("arm"), F.col("pos").cast("string").alias("unit_id"), "layer", "vec")
     mutant = pooling.variant_vectors(rows, wt).select(
         "dataset", F.lit("mutant").alias("arm"), F.col("variant_id").alias("unit_id"), "layer", "vec")
-    scores = ridge.probe_grid(rows, masked.unionByName(mutant), {"masked_wt": "pos", "mutant": "variant_id"},
-                              ["random", "modulo", "contiguous"])
+    scores = ridge.probe_grid(rows, masked.unionByName(mutant), {"masked_wt": "pos", "mutant": "variant_id"}, SCHEMES)
     return scores.select("dataset", "arm", "layer", "split", "featset", *_r("rho", digits=6), "n")
 
 

@@ -133,3 +133,11 @@ def test_forest_learns(spark):
     df = spark.createDataFrame(pdf, "k string, row_id string, y double, x array<double>, fold int")
     got = trees.tree_oof(df, ["k"], "fold", "forest").toPandas()
     assert len(got) == 200 and np.corrcoef(got["y"], got["pred"])[0, 1] > 0.9
+
+
+def test_probe_grid_covers_all_splits(spark):
+    import __spark_entry__ as entry
+    from foldwise.operators.folds import SCHEMES
+
+    got = entry.queries()["probe_grid"](spark, "/root/testdata/sf0.001").select("arm", "split").distinct().collect()
+    assert {tuple(r) for r in got} == {(a, s) for a in ("masked_wt", "mutant") for s in SCHEMES}
