@@ -159,3 +159,102 @@ def paragraphs(text, width=32):
 def paragraph_likeness(a, b):
     a, b = paragraphs(a), paragraphs(b)
     return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def token_bytes(a_path, b_path):
+    """Functions from a text to [(id, bytes)] by the byte-level and by the piece vocabulary."""
+    import sentencepiece
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    a = Tokenizer.from_file(a_path)
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+    shown = {pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0]: c for c in range(128)}
+    for c in range(128, 0x100):
+        for ch, byte in zip(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(chr(c))[0][0], chr(c).encode()):
+            shown[ch] = byte
+    for lead in (*range(0xC4, 0xE0), *range(0xE1, 0xF0), 0xE0, *range(0xF0, 0xF5)):
+        tail = {0xE0: "\xa0\x80", 0xF0: "\x90\x80\x80"}.get(lead, "\x80" * (1 if lead < 0xE0 else 2 if lead < 0xF0 else 3)).encode("latin-1")
+        try:
+            text = (bytes([lead]) + tail).decode()
+        except UnicodeDecodeError:
+            continue
+        for ch, byte in zip(pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)[0][0], text.encode()):
+            shown[ch] = byte
+
+    def piece(i):
+        p = b.id_to_piece(i)
+        return bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+    return (lambda t: [(i, bytes(shown[c] for c in a.id_to_token(i))) for i in a.encode(" " + t, add_special_tokens=False).ids],
+            lambda t: [(i, piece(i)) for i in b.encode(t)])
+
+
+def token_links(texts, a_path, b_path):
+    """(n_a, n_b, n_groups, n_links, n_shared, n_best, count_sum, groups) of each text, byte by byte."""
+    split_a, split_b = token_bytes(a_path, b_path)
+    found = []
+    for text in texts:
+        a, b = (split_a(text), split_b(text)) if text else ([], [])
+        line = (" " + (text or "")).encode()
+        if not text or any(b"".join(x for _, x in side) != line for side in (a, b)):
+            found.append(([], [], set(), []))
+            continue
+        of_a, of_b = ([k for k, (_, x) in enumerate(side) for _ in x] for side in (a, b))
+        links = sorted({(i, j) for i, j in zip(of_a, of_b)})
+        groups = [([], [])]
+        for at in range(len(line)):
+            if not groups[-1][0] or groups[-1][0][-1] != of_a[at]:
+                groups[-1][0].append(of_a[at])
+            if not groups[-1][1] or groups[-1][1][-1] != of_b[at]:
+                groups[-1][1].append(of_b[at])
+            if at + 1 == len(line) or of_a[at] != of_a[at + 1] and of_b[at] != of_b[at + 1]:
+                groups.append(([], []))
+        found.append((a, b, links, groups[:-1]))
+    counts = Counter((a[i][0], b[j][0]) for a, b, links, _ in found for i, j in links)
+    highest = Counter()
+    for (_, y), n in counts.items():
+        highest[y] = max(highest[y], n)
+    out = []
+    for a, b, links, groups in found:
+        pairs = [(a[i][0], b[j][0]) for i, j in links]
+        said = ";".join(",".join(str(a[i][0]) for i in x) + "|" + ",".join(str(b[j][0]) for j in y) for x, y in groups)
+        out.append((len(a), len(b), len(groups), len(links), sum(len(x) * len(y) for x, y in groups), sum(counts[p] == highest[p[1]] for p in pairs),
+                    sum(counts[p] for p in pairs), hashlib.sha256(said.encode()).hexdigest() if said else ""))
+    return out
+
+
+def merkle(rows, tampered):
+    """Sorted (doc_id, lang, leaf, subroot, root, proof_sha256, folded_root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(r):
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in r])
+
+    def tree(leaves):
+        levels = [leaves]
+        while len(levels[-1]) > 1:
+            levels.append([h(*levels[-1][i:i + 2]) for i in range(0, len(levels[-1]), 2)])
+        return levels
+
+    def path(levels, i):
+        out = []
+        for level in levels[:-1]:
+            out.append([(level[j], j < i) for j in (i ^ 1,) if j < len(level)])
+            i //= 2
+        return out
+
+    langs = sorted({r[2] for r in rows}, key=lambda s: (s is not None, (s or "").encode()))
+    own = {s: sorted([r for r in rows if r[2] == s], key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for s in langs}
+    trees = {s: tree([leaf(r) for r in own[s]]) for s in langs}
+    crown = tree([trees[s][-1][0] for s in langs]) if langs else [[]]
+    out = []
+    for k, s in enumerate(langs):
+        for i, r in enumerate(own[s]):
+            steps = path(trees[s], i) + path(crown, k)
+            changed = (*r[:3], r[3] + 1, r[4]) if tampered(r) and r[3] is not None else r
+            value = leaf(changed)
+            for step in steps:
+                value = h(*[x for x, left in step if left], value, *[x for x, left in step if not left])
+            out.append((r[0], s, leaf(r), trees[s][-1][0], crown[-1][0], h(*[x for step in steps for x, _ in step]), value, value == crown[-1][0]))
+    return sorted(out, key=str)
