@@ -179,7 +179,7 @@ def _tier(leaves: DataFrame, tier: int, height: int, extra: list[str]) -> DataFr
 
 
 def _forest(leaves: DataFrame, height: int, extra: list[str]) -> tuple[list[DataFrame], DataFrame]:
-    """Tiers of blocks over all trees, from the leaves up, and tree, subroot.
+    """Tiers of blocks over all trees, from the leaves up, and tree, subroot, tier (where the tree ends).
 
     A tier is written before the next reads it. Trees that fit a block are done; the others' block roots go on. The number of
     tiers is that of the largest tree: log(leaves) / height.
@@ -188,7 +188,7 @@ def _forest(leaves: DataFrame, height: int, extra: list[str]) -> tuple[list[Data
     while True:
         tier = written(_tier(rows, len(tiers), height, extra), "merkle")
         tiers.append(tier)
-        last = tier.filter(F.col("total") <= 1 << height).select("tree", F.col("top").alias("subroot"))
+        last = tier.filter(F.col("total") <= 1 << height).select("tree", F.col("top").alias("subroot"), F.lit(len(tiers) - 1).alias("tier"))
         done = last if done is None else done.unionByName(last)
         more = tier.filter(F.col("total") > 1 << height)
         if more.isEmpty():
@@ -197,45 +197,53 @@ def _forest(leaves: DataFrame, height: int, extra: list[str]) -> tuple[list[Data
         rows, extra = more.select("tree", size.alias("total"), F.col("block").alias("place"), F.col("top").alias("digest")), []
 
 
-def _upper_paths(tiers: list[DataFrame], height: int) -> list[DataFrame]:
-    """Per tier, the packed siblings of each of its blocks' roots up to the subroot (tree, block, path): from the top tier down."""
-    paths: list[DataFrame] = []
+def _descend(tiers: list[DataFrame], ends: DataFrame, height: int) -> DataFrame:
+    """The lowest blocks with path (packed siblings of the block's root up to the root of all) and subroot.
+
+    ``ends`` has tree, tier, path and subroot for the one block in which each tree ends. From there a tier's blocks hand
+    their children what they need: every join is on a block of a tree, none on a tree alone, however large it is.
+    """
     above = None
-    for tier in reversed(tiers):
-        if above is not None:
-            paths.append(above)
-        if tier is tiers[0]:
-            break
+    for number in range(len(tiers) - 1, -1, -1):
+        heads = ends.filter(F.col("tier") == number).select("tree", F.lit(0).cast("bigint").alias("block"), "path", "subroot")
+        above = heads if above is None else above.unionByName(heads)
+        named = above.select(F.col("tree").alias("_tree"), F.col("block").alias("_at"), "path", "subroot")
+        known = tiers[number].join(named, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("block") == F.col("_at"))).drop("_tree", "_at")
+        if number:
+            above = _leaf_paths(known, height).withColumnRenamed("place", "block")
+    return known
+
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in batch.to_pylist():
-                    held = Block(r["n"], r["nodes"])
-                    lift = [("-", b"")] * (min(height, levels_for(r["total"]) - 1) - held.levels + 1)
-                    first = r["block"] << height
-                    yield pa.RecordBatch.from_pydict({
-                        "tree": pa.array([r["tree"]] * r["n"], pa.string()), "block": pa.array(range(first, first + r["n"]), pa.int64()),
-                        "path": pa.array([pack(held.siblings(i) + lift) + (r["path"] or b"") for i in range(r["n"])], pa.binary())})
+def _leaf_paths(blocks: DataFrame, height: int) -> DataFrame:
+    """tree, place, path, subroot of every leaf of blocks with path and subroot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                held = Block(r["n"], r["nodes"])
+                above = pack(_lift(held, r["total"], height)) + r["path"]
+                first = r["block"] << height
+                yield pa.RecordBatch.from_pydict({
+                    "tree": pa.array([r["tree"]] * r["n"], pa.string()), "place": pa.array(range(first, first + r["n"]), pa.int64()),
+                    "path": pa.array([pack(held.siblings(i)) + above for i in range(r["n"])], pa.binary()), "subroot": pa.array([r["subroot"]] * r["n"], pa.string())})
 
-        above = _with_path(tier, above).mapInArrow(run, "tree string, block bigint, path binary")
-    return paths
+    return blocks.select("tree", "block", "n", "total", "nodes", "path", "subroot").mapInArrow(run, "tree string, place bigint, path binary, subroot string")
 
 
-def _with_path(tier: DataFrame, above: DataFrame | None) -> DataFrame:
-    if above is None:
-        return tier.withColumn("path", F.lit(None).cast("binary"))
-    named = above.select(F.col("tree").alias("_tree"), F.col("block").alias("_at"), F.col("path"))
-    return tier.join(named, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col("block") == F.col("_at")), "left").drop("_tree", "_at")
+def _lift(held: Block, total: int, height: int) -> list[tuple[str, bytes]]:
+    """Steps without siblings between the root of a short last block and the height of its tier."""
+    return [("-", b"")] * (min(height, levels_for(total) - 1) - held.levels + 1)
 
 
 class Manifest:
     """Stored blocks of all languages (``tiers``) and of the tree over their subroots (``crown``), with ``subroots`` and ``root``.
 
-    ``subroots`` has tree, subroot and place; ``root`` has one row (none for an empty table).
+    ``subroots`` has tree, subroot, tier (where the tree ends) and place; ``root`` has one row (none for an empty table).
     """
 
-    def __init__(self, tiers: list[DataFrame], crown: list[DataFrame], subroots: DataFrame, root: DataFrame, height: int):
-        self.tiers, self.crown, self.subroots, self.root, self.height = tiers, crown, subroots, root, height
+    def __init__(self, tiers: list[DataFrame], crown: list[DataFrame], subroots: DataFrame, crown_end: DataFrame, height: int):
+        self.tiers, self.crown, self.subroots, self.crown_end, self.height = tiers, crown, subroots, crown_end, height
+        self.root = crown_end.select(F.col("subroot").alias("root"))
 
 
 def manifest(leaves: DataFrame, height: int = HEIGHT) -> Manifest:
@@ -255,35 +263,15 @@ def manifest(leaves: DataFrame, height: int = HEIGHT) -> Manifest:
     total = subroots.count()
     above = subroots.select(F.lit(None).cast("string").alias("tree"), F.lit(total).cast("bigint").alias("total"), "place", F.col("subroot").alias("digest"))
     crown, root = _forest(above, height, [])
-    return Manifest(tiers, crown, subroots, root.select(F.col("subroot").alias("root")), height)
+    return Manifest(tiers, crown, subroots, root, height)
 
 
 def proofs(held: Manifest) -> DataFrame:
     """Leaf blocks with ``path``, the packed siblings of the block's root up to the root, and the block's subroot and root."""
-    in_crown = _leaf_paths(held.crown, held.height).select(F.col("place").alias("_place"), F.col("path").alias("_crown"))
-    ends = held.subroots.join(in_crown, F.col("place") == F.col("_place")).crossJoin(F.broadcast(held.root))  # one row
-    ends = ends.select(F.col("tree").alias("_lang"), "subroot", "root", "_crown")
-    paths = _upper_paths(held.tiers, held.height)
-    blocks = _with_path(held.tiers[0], paths[-1] if paths else None)
-    return blocks.join(ends, F.col("tree").eqNullSafe(F.col("_lang"))).withColumn(
-        "path", F.concat(F.coalesce("path", F.lit(b"")), F.coalesce("_crown", F.lit(b"")))).drop("_lang", "_crown")
-
-
-def _leaf_paths(tiers: list[DataFrame], height: int) -> DataFrame:
-    """place, path of every leaf of the lowest tier up to the top of its tree."""
-    paths = _upper_paths(tiers, height)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                held = Block(r["n"], r["nodes"])
-                lift = [("-", b"")] * (min(height, levels_for(r["total"]) - 1) - held.levels + 1)
-                first = r["block"] << height
-                yield pa.RecordBatch.from_pydict({
-                    "place": pa.array(range(first, first + r["n"]), pa.int64()),
-                    "path": pa.array([pack(held.siblings(i) + lift) + (r["path"] or b"") for i in range(r["n"])], pa.binary())})
-
-    return _with_path(tiers[0], paths[-1] if paths else None).mapInArrow(run, "place bigint, path binary")
+    top = held.crown_end.select("tree", "tier", F.lit(b"").alias("path"), "subroot")
+    crown = _leaf_paths(_descend(held.crown, top, held.height), held.height).select(F.col("place").alias("_place"), "path")
+    ends = held.subroots.join(crown, F.col("place") == F.col("_place")).select("tree", "tier", "path", "subroot")
+    return _descend(held.tiers, ends, held.height).crossJoin(F.broadcast(held.root))  # one row
 
 
 def audit(docs: DataFrame, tampered: Column, height: int = HEIGHT) -> DataFrame:
@@ -299,7 +287,7 @@ def audit(docs: DataFrame, tampered: Column, height: int = HEIGHT) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 block = Block(r["n"], r["nodes"])
-                above = [("-", b"")] * (min(height, levels_for(r["total"]) - 1) - block.levels + 1) + unpack(r["path"])
+                above = _lift(block, r["total"], height) + unpack(r["path"])
                 n, root = r["n"], r["root"]
                 paths = [block.siblings(i) + above for i in range(n)]
                 own = [block.node(0, i) for i in range(n)]
