@@ -17,6 +17,7 @@ from foldwise.plans.catalog.views import LABELLED, sql
 from foldwise.session import materialise, one_thread_per_task
 
 SCHEMES = list(X.SCHEMES)
+OFF_TIES = 0.000037  # means of cents often end in a 5 that two engines round differently
 
 
 def aux_rows(spark, d):
@@ -126,14 +127,14 @@ def structure_ablation(spark, d):
 
 
 def _documents(spark, d):
-    """Labelled documents as rows: counts of their text against the label."""
+    """Labelled documents as rows, a dataset per language: counts of their text against the label."""
     text = F.col("text")
     docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels"), "doc_id")
     counts = [F.length(text), F.size(F.split(text, r"\s+")), F.length(F.regexp_replace(text, "[^0-9]", "")),
               F.length(F.regexp_replace(text, "[^A-Z]", "")), F.length(F.regexp_replace(text, r"[^\n]", "")),
               F.length(F.regexp_replace(text, "[aeiou]", ""))]
     return docs.select(
-        F.lit("documents").alias("dataset"), F.col("doc_id").cast("string").alias("row_id"),
+        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("row_id"),
         (F.col("quality") * 2 + F.col("toxic") + F.length(text) / 1e6).alias("y"),
         F.array(*[c.cast("double") for c in counts]).alias("x"),
         X.random_fold(F.col("doc_id").cast("string"), 5).alias("fold"))
@@ -146,20 +147,48 @@ def _trees(kind):
     return run
 
 
+def _supplied(spark, d):
+    """Line items as rows, a dataset per supplier: four numbers against the price, the orders dealt into five folds."""
+    items = B.table(spark, d, "lineitem")
+    return items.select(
+        F.col("l_suppkey").cast("string").alias("dataset"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("row_id"),
+        F.col("l_extendedprice").cast("double").alias("y"), (F.col("l_orderkey") % 5).cast("int").alias("fold"),
+        F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber")]).alias("x"))
+
+
+def tree_groups(spark, d):
+    """Boosted trees of every supplier, five folds each: one job."""
+    preds = trees.tree_oof(_supplied(spark, d), ["dataset"], "fold", trees.Shape(20, 4, 5.0, 0.1))
+    return ridge.pooled_score(preds, ["dataset"]).select("dataset", *_r("rho", digits=6), "n")
+
+
+def tree_levels(spark, d):
+    """The trees of three levels of every supplier and fold, grown level by level."""
+    nodes = trees.tree_nodes(_supplied(spark, d), ["dataset"], "fold", trees.Shape(1, 3, 20.0, 1.0))
+    return nodes.select("dataset", "fold", "node", "feature", *_r("cut_value", "mean", digits=5))
+
+
+def stump_splits(spark, d):
+    """First split of every supplier and fold, and the means of its sides."""
+    nodes = trees.tree_nodes(_supplied(spark, d), ["dataset"], "fold", trees.Shape(1, 1, 1.0, 1.0))
+    at = lambda k, c: F.max(F.when(F.col("node") == k, F.col(c)))
+    return nodes.groupBy("dataset", "fold").agg(
+        at(0, "feature").alias("feature"), F.round(at(0, "cut_value"), 6).alias("cut_value"), 
+        F.round(at(1, "mean") + OFF_TIES, 4).alias("low"), F.round(at(2, "mean") + OFF_TIES, 4).alias("high"))
+
+
 def profile_baseline(spark, d):
-    """Boosted trees on profile features: every labelled document is one substitution."""
+    """Boosted trees on profile features, all splits: every labelled document is one substitution of its language."""
     docs = B.table(spark, d, "documents").join(B.table(spark, d, "labels"), "doc_id")
     pos = (F.col("doc_id") % 60 + 1).cast("int")
     letter = F.lit(AMINO_ACIDS).substr((F.col("n_chars") % 20 + 1).cast("int"), F.lit(1))
     rows = docs.select(
-        F.lit("documents").alias("dataset"), F.col("doc_id").cast("string").alias("row_id"), pos.alias("pos"),
+        F.col("lang").alias("dataset"), F.col("doc_id").cast("string").alias("variant_id"), F.col("doc_id").cast("string").alias("row_id"), pos.alias("pos"),
         B.letter_at(pos).alias("from_aa"), letter.alias("to_aa"), F.lit(60).alias("seq_len"),
-        (F.col("quality") * 2 + F.col("n_chars") / 1e5).alias("y"), X.modulo_fold(pos, 5).alias("fold"))
-    msa = B.alignments(spark, d).withColumn("dataset", F.lit("documents"))
-    refs = B.alignment_refs(spark, d).withColumn("dataset", F.lit("documents")).distinct()
-    x = profile_features(rows, position_profile(msa, refs), B.scores(rows))
-    preds = trees.tree_oof(x, ["dataset"], "fold", "boosted")
-    return ridge.pooled_score(preds, ["dataset"]).select("dataset", *_r("rho", digits=6), "n")
+        (F.col("quality") * 2 + F.col("n_chars") / 1e5).alias("y"))
+    x = profile_features(X.with_schemes(rows, SCHEMES), position_profile(B.alignments(spark, d), B.alignment_refs(spark, d)), B.scores(rows))
+    preds = trees.tree_oof(materialise(x), ["dataset", "split"], "fold", "boosted")
+    return ridge.pooled_score(preds, ["dataset", "split"]).select("dataset", "split", *_r("rho", digits=6), "n")
 
 
 QUERIES = {
@@ -176,12 +205,32 @@ QUERIES = {
     "structure_ablation": structure_ablation,
     "rf_oof": _trees("forest"),
     "gbt_oof": _trees("boosted"),
+    "tree_groups": tree_groups,
+    "tree_levels": tree_levels,
+    "stump_splits": stump_splits,
 }
 
 _LONG = LABELLED + """,
 x as (select dataset, pos, layer, cast((pos - 1) % 5 as int) fold, cast(unnest(range(0, 8)) as int) dim, unnest(vec) v from lv)"""
 
+_ITEMS = """
+it as (select cast(l_suppkey as varchar) dataset, cast(l_orderkey % 5 as int) fold, cast(l_extendedprice as double) y,
+       [cast(l_quantity as double), cast(l_discount as double), cast(l_tax as double), cast(l_linenumber as double)] x from lineitem),
+cell as (select i.*, f.fold held from it i join (select distinct dataset, fold from it) f on i.dataset = f.dataset and i.fold <> f.fold),
+long as (select dataset, held, y, unnest([0, 1, 2, 3]) feature, unnest(x) v from cell),
+at_value as (select dataset, held, feature, v, count(*) n, sum(y) s from long group by all),
+up_to as (select dataset, held, feature, v, sum(n) over low ln, sum(s) over low ls, sum(n) over whole wn, sum(s) over whole ws
+          from at_value window low as (partition by dataset, held, feature order by v rows unbounded preceding), whole as (partition by dataset, held, feature)),
+gains as (select *, (ls - ws * ln / wn) * (ls - ws * ln / wn) * (1.0 / ln + 1.0 / (wn - ln)) gain from up_to where ln < wn),
+best as (select dataset, held, max(gain) g from gains group by 1, 2),
+cut as (select a.*, row_number() over (partition by a.dataset, a.held order by feature, v) k
+        from gains a join best b on a.dataset = b.dataset and a.held = b.held and gain >= g * (1 - 1e-9))"""
+
 SQL = {
+    "stump_splits": sql(_ITEMS, """
+select dataset, cast(held as int) fold, cast(feature as int) feature, round(v, 6) cut_value, 
+       round(ls / ln + 0.000037, 4) low, round((ws - ls) / (wn - ln) + 0.000037, 4) high
+from cut where k = 1"""),
     "fold_standardise": sql(_LONG, """
 select x.dataset, x.layer, cast(f.fold as int) fold, count(*) n_train, dim, round(avg(v), 9) mean,
        round(case when stddev_pop(v) = 0 then 1 else stddev_pop(v) end, 6) sd
