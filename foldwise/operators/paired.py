@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.functions.hashing import md5_int, mix31
 from foldwise.functions.signed_rank import signed_rank_p
@@ -11,13 +16,16 @@ from foldwise.functions.substitutions import finite
 from foldwise.functions.tdist import t_cdf, t_quantile
 from foldwise.operators.curves import best_layer, layer_curve
 from foldwise.plans.keyjoin import join_keys
-from foldwise.plans.ordering import SLICE_ROWS, average_rank, group_index, value_counts
+from foldwise.plans.moments import key_fields
+from foldwise.plans.ordering import SLICE_ROWS, average_rank, value_counts
 from foldwise.session import materialise
 
 MARGIN = 0.01
 ARRAY_ROWS = 65_536
 _REP_STEP = 2_654_435_761
 _SLOT_STEP = 1_640_531_527
+_SLICE_STEP = 1_013_904_223
+_DRAWN = 1 << 20  # draws looked up at a time
 
 
 # ------------------------------------------------------------------ pairing
@@ -135,43 +143,111 @@ def _means_small(deltas: DataFrame, keys: list[str], unit: str, value: str, n_bo
     return draws.select(*keys, "rep", picked.alias("_v")).groupBy(*keys, "rep").agg(F.avg("_v").alias("m"))
 
 
-def _means_large(deltas: DataFrame, keys: list[str], unit: str, value: str, n_boot: int, seed: int,
-                 slice_rows: int) -> DataFrame:
-    placed = group_index(deltas, keys, "_h", [unit], "_i", total="_n", slice_rows=slice_rows).withColumn(
-        "_i", F.col("_i") - 1
-    )
-    slots = placed.select(
-        *keys, F.col("_n"), F.col("_i").alias("_slot"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep")
-    )
-    draws = slots.select(*keys, "rep", _draw(_rep_state(F.col("rep"), seed), F.col("_slot"), F.col("_n")).alias("_i"))
-    return join_keys(draws, placed.select(*keys, "_i", value), [*keys, "_i"]).groupBy(*keys, "rep").agg(
-        F.avg(value).alias("m")
-    )
+def _slice_paths(per_slice: DataFrame, keys: list[str]) -> DataFrame:
+    """``per_slice`` (keys, ``_slice``, ``_bits``, ``_rows``) with ``_path``: for every halving from the whole down to the slice,
+    the rows of the node and of its lower half, from sums over the nodes of a level."""
+    steps = F.when(F.col("_bits") > 0, F.sequence(F.lit(0), F.col("_bits") - 1)).otherwise(F.array().cast("array<int>"))
+    levels = per_slice.select(*keys, "_slice", "_bits", "_rows", F.explode(steps).alias("_level"))
+    levels = levels.withColumn("_node", F.expr("shiftright(_slice, _bits - _level)")).withColumn("_low", F.expr("shiftright(_slice, _bits - _level - 1)") % 2 == 0)
+    nodes = levels.groupBy(*keys, "_level", "_node").agg(F.sum("_rows").alias("_all"), F.sum(F.when(F.col("_low"), F.col("_rows")).otherwise(0)).alias("_lower"))
+    told = join_keys(levels.drop("_rows"), nodes, [*keys, "_level", "_node"])
+    paths = told.groupBy(*keys, "_slice").agg(F.sort_array(F.collect_list(F.struct("_level", "_node", "_low", "_all", "_lower"))).alias("_path"))
+    return join_keys(per_slice, paths, [*keys, "_slice"], "left")
+
+
+def slice_draws(path: list[dict], n: int, n_boot: int, seed: int) -> np.ndarray:
+    """How many of a replicate's n draws fall into a slice, for every replicate.
+
+    The draws are halved again and again: of a node's draws a binomial share goes to its lower half. A node's numbers come from a
+    generator seeded by the node, so that every slice below it finds the same ones by itself, and the counts of all slices add up to n.
+    """
+    here = np.full(n_boot, n, np.int64)
+    for step in path:
+        draw = np.random.Generator(np.random.Philox(key=[seed, step["_level"] << 40 | step["_node"]]))
+        lower = draw.binomial(here, step["_lower"] / step["_all"])
+        here = lower if step["_low"] else here - lower
+    return here
+
+
+def _mix31(x: np.ndarray) -> np.ndarray:
+    """``mix31`` of whole numbers in numpy."""
+    x = x & 0x7FFFFFFF
+    for shift, factor in ((15, 739982445), (12, 695872825)):
+        x = ((x ^ x >> shift) * factor) & 0x7FFFFFFF
+    return x ^ x >> 15
+
+
+def _slice_sums(values: np.ndarray, times: np.ndarray, number: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Sum of each replicate's draws inside one slice; a slice that is the whole draws like the packed form."""
+    ends = np.cumsum(times)
+    whole = values if ends[-1] == len(values) else np.repeat(values, times)
+    slots = np.arange(int(draws.max()) if len(draws) else 0, dtype=np.int64) * _SLOT_STEP
+    out = np.empty(len(draws))
+    for rep, m in enumerate(draws.tolist()):
+        state = int(_mix31(np.array(seed * 7919 + rep * _REP_STEP)))
+        if number:
+            state = int(_mix31(np.array(state + number * _SLICE_STEP)))
+        total = 0.0
+        for at in range(0, m, _DRAWN):
+            total += whole[_mix31(slots[at:min(m, at + _DRAWN)] + state) % len(whole)].sum()
+        out[rep] = total
+    return out
+
+
+def _means_sliced(deltas: DataFrame, keys: list[str], unit: str, value: str, n_boot: int, seed: int, slice_units: int) -> DataFrame:
+    """Replicate means of comparisons of any size: one vector of sums per slice is all that moves.
+
+    Equal rows of a unit count as one with a number, slices are dealt by hash: none grows with a hot unit.
+    """
+    counted = deltas.groupBy(*keys, "_h", unit, value).agg(F.count(F.lit(1)).alias("_times"))
+    sizes = deltas.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    bits = F.when(F.col("_n") > slice_units, F.ceil(F.log2(F.col("_n") / F.lit(float(slice_units))))).otherwise(0).cast("int")
+    share = F.xxhash64(F.col(unit).cast("string"), value).bitwiseAND(F.lit((1 << 40) - 1))
+    dealt = join_keys(counted, sizes, keys).withColumn("_bits", bits).withColumn("_slice", share)
+    dealt = materialise(dealt.withColumn("_slice", F.expr("shiftright(_slice, 40 - _bits)")))
+    per_slice = dealt.groupBy(*keys, "_slice", "_bits", "_n").agg(F.sum("_times").alias("_rows"))
+    told = _slice_paths(per_slice, keys).select(*[F.col(k).alias(k) for k in keys], F.col("_slice").alias("_slice"), F.col("_n").alias("_n"), "_path")
+    by = [*keys, "_slice"]
+    schema = T.StructType([*key_fields(deltas, keys), T.StructField("_n", T.LongType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+
+    def resample(key, table, told):
+        n, path = told.column("_n")[0].as_py(), told.column("_path")[0].as_py() or []
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("_h", unit, value)])
+        numbers = [table.column(c).to_numpy() for c in (value, "_times")]
+        sums = _slice_sums(numbers[0].astype(float), numbers[1], key[-1].as_py() if path else 0, slice_draws(path, n, n_boot, seed), seed)
+        arrays = [pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(keys, key[:-1], strict=True)]
+        return pa.Table.from_arrays([*arrays, pa.array([n], pa.int64()), pa.array([sums], pa.list_(pa.float64()))], schema.names)
+
+    rows = dealt.select(*by, "_h", unit, value, "_times")
+    sums = rows.groupBy(*by).cogroup(told.groupBy(*by)).applyInArrow(resample, schema)
+    added = sums.groupBy(*keys, "_n").agg(vector_to_array(Summarizer.sum(array_to_vector("_sums"))).alias("_sums"))
+    return added.select(*keys, "_n", F.posexplode("_sums").alias("rep", "_s")).select(*keys, "rep", (F.col("_s") / F.col("_n")).alias("m"))
 
 
 def bootstrap_ci(deltas: DataFrame, keys: list[str], lo: float, hi: float, *, unit: str = "dataset",
                  value: str = "d", n_boot: int = 10_000, seed: int = 42, array_rows: int = ARRAY_ROWS,
-                 slice_rows: int = SLICE_ROWS, blocks: int = 64) -> DataFrame:
+                 slice_units: int = ARRAY_ROWS, blocks: int = 64) -> DataFrame:
     """Percentile interval of the mean over resamples with replacement (lo, hi in percent).
 
-    Units are put in hashed order; replicate r takes, for each of n slots, the
-    unit at a hashed place. Comparisons of up to ``array_rows`` units are packed
-    in one array per comparison and the replicates are spread over blocks; for
-    larger ones the draws are joined to the units by place. Both give the same
-    numbers. The final percentile sees ``n_boot`` means per comparison.
+    Units are put in hashed order; replicate r takes, for each of n slots, the unit at a hashed place. Beyond ``slice_units``
+    units a comparison is dealt into slices; a replicate's n draws are split over them by seeded binomial halving, each slice
+    resamples inside itself and only its sums move: one pass over the units, whatever their number. Comparisons of up to ``array_rows``
+    units are packed in one array and the replicates are spread over blocks: the same numbers as one slice. The final
+    percentile sees ``n_boot`` means per comparison.
     """
     seen = materialise(deltas.filter(finite(F.col(value)).isNotNull()).select(*keys, unit, value).withColumn(
         "_h", md5_int(F.col(unit).cast("string"), 1, 12).cast("double")
     ))
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     largest = sizes.agg(F.max("_c")).first()[0] or 0
-    if largest <= array_rows:
+    packed = min(array_rows, slice_units)
+    if largest <= packed:
         means = _means_small(seen, keys, unit, value, n_boot, seed, blocks)
     else:
-        few = join_keys(seen, sizes.filter(F.col("_c") <= array_rows).drop("_c"), keys, "left_semi")
-        many = join_keys(seen, sizes.filter(F.col("_c") > array_rows).drop("_c"), keys, "left_semi")
+        few = join_keys(seen, sizes.filter(F.col("_c") <= packed).drop("_c"), keys, "left_semi")
+        many = join_keys(seen, sizes.filter(F.col("_c") > packed).drop("_c"), keys, "left_semi")
         means = _means_small(few, keys, unit, value, n_boot, seed, blocks).unionByName(
-            _means_large(many, keys, unit, value, n_boot, seed, slice_rows)
+            _means_sliced(many, keys, unit, value, n_boot, seed, slice_units)
         )
     return means.groupBy(*keys).agg(
         F.percentile("m", F.lit(lo / 100)).alias("lo"), F.percentile("m", F.lit(hi / 100)).alias("hi")

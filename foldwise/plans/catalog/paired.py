@@ -60,6 +60,15 @@ def _unit(df):
     return df.withColumn("unit", F.concat_ws(":", "dataset", F.col("layer").cast("string")))
 
 
+def bootstrap_slices(spark, d):
+    """Mean of discount less tax, every line item a unit: a comparison of many slices."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet")
+    unit = F.concat_ws(":", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    rows = items.select("l_returnflag", unit.alias("unit"), (F.col("l_discount") - F.col("l_tax")).cast("double").alias("d"))
+    b = P.bootstrap_ci(rows, ["l_returnflag"], 2.5, 97.5, unit="unit", n_boot=1000, array_rows=0, slice_units=8192)
+    return b.select("l_returnflag", F.round("lo", 8).alias("lo"), F.round("hi", 8).alias("hi"))
+
+
 def bootstrap_ci(spark, d):
     b = P.bootstrap_ci(_unit(gains(spark, d)), GAIN, 2.5, 97.5, unit="unit")
     return b.select("split", *_r("lo", "hi"))
@@ -154,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         paired_conditions, paired_excluding, best_vs_final, strategy_deltas, delta_summary, delta_shares,
-        pooled_effect, bootstrap_ci, interval_signs, t_interval, tost, p_verdict, paired_t, layer_pair_fdr,
+        pooled_effect, bootstrap_ci, bootstrap_slices, interval_signs, t_interval, tost, p_verdict, paired_t, layer_pair_fdr,
         bh_fdr, wilcoxon_z, wilcoxon_p, equivalence_table, verdict_tally, structure_gain, subset_sensitivity,
     )
 }

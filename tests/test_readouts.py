@@ -125,6 +125,34 @@ def test_attention_descends(data):
         assert np.sign(np.log(step[k]) - np.log(step).mean()) == -np.sign(slope) or abs(slope) < 1e-9
 
 
+def test_alternation_reaches_the_descent(spark):
+    """Within a percent of the training error of the joint descent, or better; nulls are a key, one fold gives nothing."""
+    rng = np.random.default_rng(7)
+    layers, dim, rows, stacks = 5, 3, [], {}
+    for k in ("a", None):
+        units = rng.normal(size=(240, layers, dim)) + rng.normal(size=(240, 1, dim))
+        y = (0.6 * units[:, 2] + 0.4 * units[:, 3]) @ np.array([1.0, -2.0, 0.5]) + 0.5 * rng.normal(size=240)
+        stacks[k] = units, y
+        rows += [(k, float(t), [float(v) for v in u.ravel()], i % 3) for i, (u, t) in enumerate(zip(units, y))]
+    rows += [("one", 1.0, [0.0] * layers * dim, 0), ("one", 2.0, [1.0] * layers * dim, 0)]
+    df = spark.createDataFrame(rows, "k string, y double, x array<double>, s int").repartition(4)
+    got = {(r["k"], r["fold"]): np.array(r["weights"]) for r in A.alternate(df, ["k"], ["s"], layers, piece_bytes=8 * layers * dim * 50).collect()}
+    want = {(r["k"], r["fold"]): np.array(r["weights"]) for r in A.learn_layer_weights(df, ["k"], ["s"], layers).collect()}
+    assert got.keys() == want.keys() == {(k, f) for k in stacks for f in range(3)}
+
+    def error(k, fold, w):
+        units, y = stacks[k]
+        tr = np.arange(240) % 3 != fold
+        xs, ys = (units[tr] - units[tr].mean(0)) / units[tr].std(0, ddof=1), (y[tr] - y[tr].mean()) / y[tr].std(ddof=1)
+        p = np.einsum("l,nld->nd", w, xs)
+        return ((p @ np.linalg.solve(p.T @ p + 10.0 * np.eye(dim), p.T @ ys) - ys) ** 2).mean()
+
+    for (k, f), w in got.items():
+        assert abs(w.sum() - 1) < 1e-9 and error(k, f, w) <= 1.01 * error(k, f, want[k, f]), (k, f)
+    by_width = A.learn_layer_weights(df, ["k"], ["s"], layers, moment_bytes=100)
+    assert {(r["k"], r["fold"]) for r in by_width.collect()} == set(got)
+
+
 def test_forest_learns(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 3))

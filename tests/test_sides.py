@@ -33,7 +33,7 @@ def test_same_on_both_sides(odd, name):
         "spearman": lambda few: spearman(odd, ["k"], "d", "v", slice_rows=few),
         "signed_rank": lambda few: signed_rank(odd, ["k"], "d", slice_rows=few),
         "bh_fdr": lambda few: bh_fdr(odd.select("k", "dataset", F.when(F.isnan("d"), F.col("d")).otherwise(F.col("p")).alias("p")), ["k"], slice_rows=few),
-        "bootstrap_ci": lambda few: bootstrap_ci(odd, ["k"], 5, 95, n_boot=40, array_rows=few, slice_rows=few, blocks=4),
+        "bootstrap_ci": lambda few: bootstrap_ci(odd, ["k"], 5, 95, n_boot=40, array_rows=few, blocks=4),
         "group_index": lambda few: group_index(odd, ["k"], "d", ["dataset"], "i", total="n", slice_rows=few).select("k", "dataset", "i", "n"),
         "exact_quantiles": lambda few: exact_quantiles(odd, ["k"], "d", {"m": 0.5, "q": 0.9}, slice_rows=few),
     }[name]

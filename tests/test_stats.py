@@ -45,13 +45,47 @@ def test_wilcoxon_zero_and_ties(spark):
     assert r["n"] == 9 and r["n_zero"] == 1 and r["tie_term"] == 24 and 0 < r["p"] < 0.1
 
 
+def test_slices_share_all_draws():
+    """Counts of all slices of a replicate add up to n and are distributed as a multinomial."""
+    sizes = np.array([50, 0, 120, 30, 7, 93, 100, 100])
+    n, bits, boots = int(sizes.sum()), 3, 20_000
+    found = []
+    for k in range(8):
+        path = []
+        for level in range(bits):
+            node = k >> (bits - level)
+            low = [j for j in range(8) if j >> (bits - level - 1) == 2 * node]
+            path.append({"_level": level, "_node": node, "_low": (k >> (bits - level - 1)) % 2 == 0, "_lower": int(sizes[low].sum()),
+                         "_all": int(sum(sizes[j] for j in range(8) if j >> (bits - level) == node))})
+        found.append(P.slice_draws(path, n, boots, 42))
+    found = np.array(found)
+    assert (found.sum(axis=0) == n).all() and not found[1].any()
+    p = sizes / n
+    assert np.allclose(found.mean(axis=1), sizes, atol=0.2)
+    assert np.allclose(np.cov(found), n * (np.diag(p) - np.outer(p, p)), atol=2.5)
+
+
+def test_bootstrap_over_slices(spark):
+    """Many slices: the same whatever the partitioning, the spread of the theory, repeated rows counted, null keys kept."""
+    rng = np.random.default_rng(2)
+    rows = [("big", f"d{i}", float(x)) for i, x in enumerate(rng.normal(0.1, 1, 3000))] + [(None, "same", 2.0)] * 500 + [(None, f"e{i}", 0.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, dataset string, d double")
+    runs = [P.bootstrap_ci(df.repartition(n), ["k"], 2.5, 97.5, n_boot=1000, array_rows=100, slice_units=200).toPandas().set_index("k").sort_index() for n in (2, 7)]
+    assert np.allclose(runs[0].to_numpy(float), runs[1].to_numpy(float), atol=1e-12)
+    got = {k if isinstance(k, str) else None: v for k, v in zip(runs[0].index, runs[0].to_numpy(float))}
+    for key in ("big", None):
+        d = np.array([r[2] for r in rows if r[0] == key])
+        half = 1.96 * d.std() / np.sqrt(len(d))
+        assert np.allclose(got[key], [d.mean() - half, d.mean() + half], atol=0.12 * half)
+
+
 def test_bootstrap_paths_agree(spark):
     rng = np.random.default_rng(1)
     rows = [("big", f"d{i}", float(x)) for i, x in enumerate(rng.normal(0.1, 1, 300))] + [
         ("small", f"d{i}", float(x)) for i, x in enumerate(rng.normal(0, 1, 40))]
     df = spark.createDataFrame(rows, "k string, dataset string, d double").repartition(5)
     a = P.bootstrap_ci(df, ["k"], 5, 95, n_boot=400).toPandas().set_index("k").sort_index()
-    b = P.bootstrap_ci(df, ["k"], 5, 95, n_boot=400, array_rows=100, slice_rows=50).toPandas().set_index("k").sort_index()
+    b = P.bootstrap_ci(df, ["k"], 5, 95, n_boot=400, array_rows=100).toPandas().set_index("k").sort_index()
     assert np.allclose(a.to_numpy(), b.to_numpy(), atol=1e-12)
     d = np.array([r[2] for r in rows if r[0] == "big"])
     half = 1.645 * d.std(ddof=1) / np.sqrt(len(d))
