@@ -7,12 +7,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.operators.correlation import linear
 from foldwise.operators.variants import position_sample
-from foldwise.plans.moments import assemble, gram
+from foldwise.plans.keyjoin import join_keys
+from foldwise.plans.moments import as_matrix, assemble, gram, group_positions
+from foldwise.session import written
+
+#: Stacks whose Gram matrix takes more than this are compared block by block.
+MOMENT_BYTES = 64 << 20
+BLOCK_WIDTH = 256
+STRIP_BYTES = 256 << 20
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -91,20 +101,20 @@ def _pair_norms(name: str, n: float, cross, layers: list[int], diagonal: bool) -
 _CKA_SCHEMA = "dataset string, i int, j int, sim double, n long"
 
 
-def cka_matrix(hidden: DataFrame, diagonal_corrected: bool = False) -> DataFrame:
+def cka_matrix(hidden: DataFrame, diagonal_corrected: bool = False, moment_bytes: int = MOMENT_BYTES) -> DataFrame:
     """Linear CKA of every layer pair over all positions of a dataset.
 
-    Works on summed outer products, so the number of positions does not matter;
-    the state of a dataset is (layers x dims) squared, which suits narrow
-    features. For wide ones use :func:`cka_sampled`.
+    Works on summed outer products, so the number of positions does not matter. Where the
+    (layers x dims) squared numbers of a dataset take at most ``moment_bytes`` they meet in one task; wider
+    stacks are compared block by block (:func:`cka_blocks`).
 
     ``diagonal_corrected`` drops the feature diagonal from every norm. Values may
     then exceed 1; they are reported as computed and should not be interpreted.
     """
-    packed = by_position(hidden).select(
-        "dataset", F.array_join(F.col("layers").cast("array<string>"), ",").alias("layer_ids"),
-        F.flatten("vecs").alias("z"),
-    )
+    widest = hidden.groupBy("dataset", "pos").agg(F.sum(F.size("vec")).alias("_w")).agg(F.max("_w")).first()[0] or 0
+    if (widest + 1) ** 2 * 8 > moment_bytes:
+        return cka_blocks(hidden, diagonal_corrected, width=widest)
+    packed = _stacks(hidden)
 
     def solve(key, blocks):
         layers = [int(x) for x in key[1].split(",")]
@@ -122,6 +132,123 @@ def cka_matrix(hidden: DataFrame, diagonal_corrected: bool = False) -> DataFrame
     return gram(packed, keys, "z").groupBy(*keys).applyInPandas(solve, _CKA_SCHEMA)
 
 
+def _stacks(hidden: DataFrame) -> DataFrame:
+    """dataset, layer_ids (text), z: all layers of a position one after the other."""
+    return by_position(hidden).select(
+        "dataset", F.array_join(F.col("layers").cast("array<string>"), ",").alias("layer_ids"),
+        F.flatten("vecs").alias("z"), F.col("pos").alias("_pos"),
+    )
+
+
+def _feature_blocks(layers: int, dim: int, block: int) -> list[tuple[int, int, int]]:
+    """(layer, first column, end) of the blocks of a stack; none reaches over a layer's end."""
+    return [(i, i * dim + a, i * dim + min(a + block, dim)) for i in range(layers) for a in range(0, dim, block)]
+
+
+def cka_blocks(hidden: DataFrame, diagonal_corrected: bool = False, width: int | None = None, block: int = BLOCK_WIDTH,
+               strip_bytes: int = STRIP_BYTES, ranges: int | None = None) -> DataFrame:
+    """The same for wide vectors: products of pairs of feature blocks, whose squared norms are summed after centring.
+
+    The Gram matrix is never assembled. A task keeps one strip of it (some block rows, at most ``strip_bytes``) while its
+    positions pass; strips beyond the first read the positions again, dealt into ``ranges`` parts (one for each 65,536). Partial blocks are added by
+    an aggregate that combines on the map side, each block's norm comes from its sum and two pieces of the
+    mean, and a layer pair is the sum of its blocks' norms.
+    """
+    keys = ["dataset", "layer_ids"]
+    packed = written(_stacks(hidden), "stacks")
+    width = width or packed.agg(F.max(F.size("z"))).first()[0] or 1
+    ranges = ranges or -(-packed.count() // 65_536) or 1
+    strip = max(1, strip_bytes // (8 * width) // block)  # block rows a task keeps
+    dims = packed.agg(F.max(F.size(F.split("layer_ids", ",")))).first()[0] or 1
+    strips = -(-len(_feature_blocks(dims, -(-width // dims), block)) // strip)
+    rows = packed.withColumn("_strip", F.lit(0))
+    if strips > 1:
+        rows = packed.withColumn("_strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))).withColumn("_range", F.pmod(F.xxhash64("_pos"), F.lit(ranges)))
+        rows = rows.repartition(strips * ranges, *keys, "_strip", "_range").sortWithinPartitions(*keys, "_strip")
+    schema = T.StructType([packed.schema["dataset"], packed.schema["layer_ids"], T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()),
+                           T.StructField("part", T.ArrayType(T.DoubleType(), False))])
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        kind = pa.string()
+
+        def flush():
+            for (name, ids, no), (sums, gram_strip) in held.items():
+                layers = ids.count(",") + 1
+                blocks = _feature_blocks(layers, len(sums[1:]) // layers, block)
+                out = [(-1, k, np.concatenate([sums[:1], sums[1 + lo:1 + hi]])) for k, (_, lo, hi) in enumerate(blocks)] if no == 0 else []
+                mine = range(no * strip, min(len(blocks), (no + 1) * strip))
+                first = blocks[mine[0]][1]
+                for a in mine:
+                    _, lo, hi = blocks[a]
+                    out += [(a, b, gram_strip[lo - first:hi - first, blocks[b][1] - first:blocks[b][2] - first].ravel()) for b in range(a, len(blocks))]
+                for at in range(0, len(out), 32):
+                    some = out[at:at + 32]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), kind), pa.array([ids] * len(some)), pa.array([o[0] for o in some], pa.int32()),
+                                                      pa.array([o[1] for o in some], pa.int32()), pa.array([o[2] for o in some], pa.list_(pa.float64()))], schema.names)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kind = batch.schema.field("dataset").type
+            for key, at in group_positions(batch, [*keys, "_strip"]).items():
+                z = as_matrix(batch.column("z"), at)
+                layers = key[1].count(",") + 1
+                blocks = _feature_blocks(layers, z.shape[1] // layers, block)
+                if key[2] * strip >= len(blocks):
+                    continue
+                if key not in held and sum(g.nbytes for _, g in held.values()) + 8 * z.shape[1] ** 2 / strips > strip_bytes:
+                    yield from flush()
+                first, last = blocks[key[2] * strip][1], blocks[min(len(blocks), (key[2] + 1) * strip) - 1][2]
+                sums = np.concatenate([[len(z)], z.sum(axis=0)])
+                part = z[:, first:last].T @ z[:, first:]
+                if key in held:
+                    held[key][0] += sums
+                    held[key][1] += part
+                else:
+                    held[key] = [sums, part]
+        yield from flush()
+
+    summed = rows.select(*keys, "_strip", "z").mapInArrow(products, schema).groupBy(*keys, "a", "b").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+    summed = written(summed, "blocks")
+    means = summed.filter("a < 0")
+    ends = lambda c, s: means.select(*[F.col(k).alias(k) for k in keys], F.col("b").alias(c), F.col("part").alias(s))
+    both = join_keys(join_keys(summed.filter("a >= 0"), ends("a", "sa"), [*keys, "a"]), ends("b", "sb"), [*keys, "b"])
+    norm_schema = T.StructType([*schema.fields[:2], *[T.StructField(c, T.IntegerType()) for c in ("p", "q")], T.StructField("n", T.LongType()), T.StructField("norm2", T.DoubleType())])
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for k, r in enumerate(zip(*[batch.column(c) for c in ("layer_ids", "a", "b", "part", "sa", "sb", "_blocks")])):
+                ids, a, b, part, sa, sb, count = r
+                layers = ids.as_py().count(",") + 1
+                per = count.as_py() // layers
+                a, b = a.as_py(), b.as_py()
+                (n, *one), other = sa.values.to_numpy(), sb.values.to_numpy()[1:]
+                g = part.values.to_numpy().reshape(len(one), -1) - np.outer(one, other) / n
+                total = float((g * g).sum())
+                if diagonal_corrected and a % per == b % per:
+                    total -= float((np.diag(g) ** 2).sum())
+                out.append((a // per, b // per, int(n), total * (2 if a // per == b // per and a != b else 1)))
+            arrays = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("dataset"), batch.column("layer_ids"), *arrays], norm_schema.names)
+
+    counts = means.groupBy(*keys).agg(F.count(F.lit(1)).alias("_blocks"))
+    pairs = written(join_keys(both, counts, keys).mapInArrow(norms, norm_schema).groupBy(*keys, "p", "q", "n").agg(F.sum("norm2").alias("norm2")), "norms")
+    own = pairs.filter("p = q")
+    side = lambda c, s: own.select(*[F.col(k).alias(k) for k in keys], F.col("p").alias(c), F.col("norm2").alias(s))
+    full = join_keys(join_keys(pairs, side("p", "_p2"), [*keys, "p"]), side("q", "_q2"), [*keys, "q"])
+    scale = F.col("n") * (F.col("n") - 1)
+    if diagonal_corrected:
+        sim = (F.col("norm2") / scale) / F.sqrt((F.col("_p2") / scale) * (F.col("_q2") / scale) + 1e-12)
+    else:
+        sim = F.col("norm2") / (F.sqrt("_p2") * F.sqrt("_q2") + 1e-12)
+    ids = F.split("layer_ids", ",")
+    return full.select("dataset", F.get(ids, F.col("p")).cast("int").alias("i"), F.get(ids, F.col("q")).cast("int").alias("j"), sim.alias("sim"), "n")
+
+
 def cka_sampled(hidden: DataFrame, refs: DataFrame, n_positions: int = 50, seed: int = 42,
                 diagonal_corrected: bool = False) -> DataFrame:
     """The same on ``n_positions`` sampled positions per dataset.

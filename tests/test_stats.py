@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.tdist import t_cdf, t_quantile
 from foldwise.operators import paired as P
+from foldwise.operators import similarity as M
 
 
 def test_t_distribution(spark):
@@ -111,3 +112,18 @@ def test_best_vs_final_degenerate(spark):
     df = spark.createDataFrame(rows, "model string, dataset string, layer int, rho double")
     t = P.equivalence_table(df, ["model"], 2, n_boot=50).collect()[0]
     assert t["degenerate"] and t["verdict"] is None and t["mean"] == 0
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+@pytest.mark.parametrize("block,strip_bytes", [(3, 1), (2, 8 * 21 * 6), (256, 1 << 20)])
+def test_cka_by_blocks(spark, corrected, block, strip_bytes):
+    """One strip or many, blocks that don't divide the width: the same as from the whole Gram matrix."""
+    rng = np.random.default_rng(9)
+    rows = [(k, p, l, [float(v) for v in rng.normal(2, 1, 7) + (p % 3)]) for k, n, layers in (("a", 40, (0, 1, 2)), ("b", 25, (3, 5)), (None, 10, (0,)))
+            for p in range(n) for l in layers]
+    df = spark.createDataFrame(rows, "dataset string, pos int, layer int, vec array<double>").repartition(4)
+    rows_of = lambda c: {(r["dataset"], r["i"], r["j"]): (r["n"], r["sim"]) for r in c.collect()}
+    want = rows_of(M.cka_matrix(df, corrected))
+    got = rows_of(M.cka_blocks(df, corrected, block=block, strip_bytes=strip_bytes, ranges=3))
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1], rtol=1e-9) for k in want)
+    assert rows_of(M.cka_matrix(df, corrected, moment_bytes=10)).keys() == want.keys()
