@@ -64,6 +64,35 @@ def test_ridge_equals_brute_force(data, chunk_bytes):
             assert part.groupby("fold")["alpha"].first().to_dict() == alphas
 
 
+@pytest.mark.parametrize("scaling", ["fold", "global"])
+def test_dual_equals_primal(scaling):
+    """Fewer rows than columns: constant, repeated and nearly dependent columns included."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(40, 60)) * rng.uniform(0.1, 10, 60)
+    x[:, 7], x[:, 8] = 3.0, x[:, 9]
+    x -= x.mean(axis=0)
+    y, fold = x[:, 0] - x[:, 1] + rng.normal(size=40), np.arange(40) % 4
+    z = np.hstack([np.ones((40, 1)), x, y[:, None]])
+    grams = {f: z[fold == f].T @ z[fold == f] for f in range(4)}
+    models = list(R._fold_models(grams, np.arange(60), scaling))
+    for (f, test, loss, pred), model in zip(R._dual(x, y, fold, scaling, R.ALPHAS), models, strict=True):
+        want_loss, want = R._apply(model, x, y, fold == model[0], R.ALPHAS)
+        assert f == model[0] and np.allclose(pred, want, atol=1e-8) and np.allclose(loss, want_loss, rtol=1e-6)
+    assert list(R._dual(x, y, fold * 0, scaling, R.ALPHAS)) == []
+
+
+def test_dual_in_the_job(spark):
+    """Wide groups: in a task by the dual, spread out by the primal; brute force refits without every row."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(24, 30))
+    y, fold = x[:, 0] + 0.2 * rng.normal(size=24), np.arange(24) % 3
+    df = spark.createDataFrame([("a", str(i), float(y[i]), [float(v) for v in x[i]], int(fold[i])) for i in range(24)], "k string, row_id string, y double, x array<double>, s int")
+    want, alphas = brute(x, y, fold)
+    for chunk_bytes in (1 << 20, 24 * 30 * 2, 100):
+        got = R.ridge_oof(df, ["k"], ["s"], {"all": (0, None)}, chunk_bytes=chunk_bytes).toPandas().sort_values("row_id", key=lambda c: c.astype(int))
+        assert np.allclose(got["pred"].to_numpy(), want, atol=1e-8) and got.groupby("fold")["alpha"].first().to_dict() == alphas
+
+
 def test_scores_agree(data):
     _, _, _, df = data
     a = R.ridge_scores(df, ["k"], ["s1"]).toPandas().sort_values("k")
