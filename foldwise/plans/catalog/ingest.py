@@ -143,27 +143,33 @@ def report_lines(spark, d):
     return R.markdown(R.report_cells(B.results(spark, d), BY, FINAL), ["model"], "split", SPLITS)
 
 
-def _three_files(spark, d):
-    """Results as three successive files: all, then those with n >= 2, then n >= 3, each with a higher score."""
+def _arriving_files(spark, d):
+    """Results as files that arrive newest first: those with n >= 3, then n >= 2, then all, each older and lower than the one before."""
     res = B.results(spark, d).withColumn("n", F.col("n").cast("long"))
     path = scratch_path(spark, "arriving")
-    for v in range(3):
-        part = res.filter(F.col("n") > v).select(
-            *KEYS, (F.col("rho") + v).alias("rho"), "n", F.lit(v).alias("version")).coalesce(1)
-        part.write.mode("append").parquet(path)
+    for v in (2, 1, 0):
+        res.filter(F.col("n") > v).select(*KEYS, (F.col("rho") + v).alias("rho"), "n", F.lit(v).alias("version")).write.mode("append").parquet(path)
     return path, spark.read.parquet(path).schema
 
 
 def incremental_results(spark, d):
-    source, schema = _three_files(spark, d)
+    """Whatever the order of arrival, every key has its highest version."""
+    source, schema = _arriving_files(spark, d)
     target = scratch_path(spark, "scores")
-    query = I.ingest_results(spark, source, schema, target, scratch_path(spark, "progress"), KEYS, ["model", "split"], files_per_trigger=1)
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(target).select(*KEYS, "n", "version", *_r("rho"))
+    I.ingest_changes(spark, source, schema, target, scratch_path(spark, "progress"), KEYS, files_per_trigger=4).awaitTermination()
+    return I.current_results(spark, target, schema, KEYS).select(*KEYS, "n", "version", *_r("rho"))
+
+
+def streaming_monitor(spark, d):
+    """Conditions followed until they have fifty datasets."""
+    source, schema = _arriving_files(spark, d)
+    target = scratch_path(spark, "counts")
+    I.monitor_completeness(spark, source, schema, target, scratch_path(spark, "progress"), BY, 50, files_per_trigger=4).awaitTermination()
+    return I.completeness_so_far(spark, target, BY, 50)
 
 
 def streaming_completeness(spark, d):
-    source, schema = _three_files(spark, d)
+    source, schema = _arriving_files(spark, d)
     target = scratch_path(spark, "pairs")
     query = I.completed_keys(spark, source, schema, target, scratch_path(spark, "progress"), BY)
     query.awaitTermination()
@@ -183,7 +189,7 @@ QUERIES = {
     for f in (
         record_source, csv_source, nested_results, flat_results, pooling_flatten, fasta_source, structure_tokens,
         ca_residues, anchor_unpivot, metric_mean, report_cells, report_lines, incremental_results,
-        streaming_completeness, result_upsert,
+        streaming_completeness, streaming_monitor, result_upsert,
     )
 }
 
@@ -241,6 +247,8 @@ select m "method", round(avg(rho), 9) mean, count(rho) n from s group by 1""",
 select dataset, model, split, layer, n, cast(least(n - 1, 2) as int) "version", round(rho + least(n - 1, 2), 9) rho from res"""),
     "streaming_completeness": sql(RESULTS, """
 select model, split, count(distinct dataset) n_datasets, count(distinct dataset) >= 100 complete from res group by 1, 2"""),
+    "streaming_monitor": sql(RESULTS, """
+select model, split, cast(least(count(distinct dataset), 50) as bigint) n_datasets, count(distinct dataset) >= 50 complete from res group by 1, 2"""),
     "result_upsert": sql(RESULTS, """
 select dataset, model, split, layer, n, round(case when split = 'random' and n > 1 then rho + 5 else rho end, 9) rho from res"""),
 }

@@ -68,21 +68,32 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return parse_results(read_documents(spark, path))
 
 
-def upsert_results(new: DataFrame, path: str, keys: list[str], partitions: list[str]) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on any file system Spark can write to."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of the highest version per key; of equal versions the row that is greatest in its other columns."""
+    rest = [c for c in rows.columns if c not in (*keys, version)]
+    picked = rows.groupBy(*keys).agg(F.max(F.struct(version, *rest)).alias("_v"))
+    return picked.select(*[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in rows.columns])
+
+
+def upsert_results(new: DataFrame, path: str, keys: list[str], partitions: list[str], version: str | None = None) -> None:
     """Replace the given keys in a partitioned table, touching only the partitions they lie in.
 
-    Folders follow conditions, not datasets, so their number stays small. Running
-    the same batch twice leaves the same table.
+    With ``version`` a row only gives way to a higher version, so the order in which batches come doesn't matter. Folders
+    follow conditions, not datasets, so their number stays small. Running the same batch twice leaves the same table.
     """
     spark = new.sparkSession
-    try:
+    if exists(spark, path):
         old = spark.read.schema(new.schema).parquet(path)
-        touched = new.select(*partitions).distinct()
-        merged = overlay(old.join(touched, partitions, "left_semi").select(*new.columns), [new], keys)
-    except Exception as e:  # the table does not exist yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        merged = overlay(new, [], keys)
+        old = old.join(new.select(*partitions).distinct(), partitions, "left_semi").select(*new.columns)
+        merged = newest(old.unionByName(new), keys, version) if version else overlay(old, [new], keys)
+    else:
+        merged = newest(new, keys, version) if version else overlay(new, [], keys)
     # written aside first: the partitions being read are the ones being replaced
     materialise(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *partitions
