@@ -153,6 +153,20 @@ def scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("from_aa", "to_aa").agg((F.count(F.lit(1)) % 9 - 4).cast("double").alias("score"))
 
 
+#: The letter of each of the 32 tokens; the last two are special.
+VOCABULARY = [AMINO_ACIDS[t % 20] if t < 30 else None for t in range(32)]
+
+
+def packed_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dataset, pos, layer, logits: every vector read as two layers of 32 tokens."""
+    size = len(VOCABULARY)
+    vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("pos"), "embedding")
+    places = references(spark, sf_dir).select("dataset", F.explode(F.sequence(F.lit(1), F.col("seq_len"))).alias("pos"))
+    layers = F.explode(F.array(*[
+        F.struct(F.lit(l).alias("layer"), F.transform(F.slice("embedding", l * size + 1, size), lambda v: v.cast("double")).alias("logits")) for l in range(2)]))
+    return places.join(vectors, "pos").select("dataset", "pos", layers.alias("_l")).select("dataset", "pos", "_l.layer", "_l.logits")
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dataset, pos, layer, token_id, letter, logit: every vector read as two layers of 32 tokens."""
     vectors = table(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).cast("int").alias("pos"), "embedding")

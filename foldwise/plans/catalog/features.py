@@ -172,26 +172,34 @@ def neighbour_window(spark, d):
 
 def _letters(direct):
     def run(spark, d):
-        return lens.letter_log_probs(B.logits(spark, d), direct).select(
-            "dataset", "pos", "layer", "letter", *_r("logp")
-        )
+        spots = lens.letter_arrays(B.packed_logits(spark, d), B.VOCABULARY, direct)
+        letters = spots.select("dataset", "pos", "layer", F.posexplode("logp").alias("_i", "logp")).filter(F.col("logp").isNotNull())
+        return letters.select("dataset", "pos", "layer", F.lit(AA).substr(F.col("_i") + 1, F.lit(1)).alias("letter"), *_r("logp"))
     return run
 
 
+def _lens(spark, d):
+    return lens.packed_lens_scores(all_rows(spark, d), B.packed_logits(spark, d), B.VOCABULARY)
+
+
 def log_ratio(spark, d):
-    s = lens.log_ratio(all_rows(spark, d), lens.letter_log_probs(B.logits(spark, d)))
+    s = lens.packed_log_ratio(all_rows(spark, d), lens.letter_arrays(B.packed_logits(spark, d), B.VOCABULARY))
     return s.select("row_id", "layer", *_r("score"))
 
 
+def token_lens(spark, d):
+    """Mean log ratios of every layer from logits with a row for each token: the form for vocabularies that differ by spot."""
+    s = lens.log_ratio(all_rows(spark, d), lens.letter_log_probs(B.logits(spark, d)))
+    return s.groupBy("dataset", "layer").agg(F.round(F.avg("score"), 9).alias("mean"), F.count("score").alias("n"))
+
+
 def lens_spearman(spark, d):
-    s = lens.lens_scores(all_rows(spark, d), B.logits(spark, d))
-    return s.select("dataset", "layer", *_r("rho", digits=6), "n")
+    return _lens(spark, d).select("dataset", "layer", *_r("rho", digits=6), "n")
 
 
 def lens_summary(spark, d):
-    s = lens.lens_scores(all_rows(spark, d), B.logits(spark, d))
     gate = all_rows(spark, d).groupBy("dataset").agg((F.max("fitness") > F.avg("fitness") * 1.99).alias("gate_pass"))
-    return lens.lens_summary(s, gate).select("layer", "n", *_r("mean", "sd", digits=6))
+    return lens.lens_summary(_lens(spark, d), gate).select("layer", "n", *_r("mean", "sd", digits=6))
 
 
 def condition_names(spark, d):
@@ -227,6 +235,7 @@ QUERIES = {
     "logsumexp_lens": _letters(False),
     "direct_token_lens": _letters(True),
     "log_ratio": log_ratio,
+    "token_lens": token_lens,
     "lens_spearman": lens_spearman,
     "lens_summary": lens_summary,
     "condition_names": condition_names,
@@ -283,6 +292,13 @@ rk as (select dataset, layer,
        from (select dataset, layer, round(score, 12) score, fitness from sr)),
 ls as (select dataset, layer, covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0) rho, count(*) n from rk group by 1, 2)"""
 
+# one row per spot before the rows come in: DuckDB then joins them once
+_PACKED = _with_rows(_LREXP) + """,
+pk as materialized (select dataset, pos, map_from_entries(list((layer::varchar || letter, logp))) m from ll group by 1, 2),
+rm as materialized (select dataset, row_id, pos, from_aa, to_aa from rws),
+sr as (select r.dataset, row_id, layer, m[layer::varchar || to_aa] - m[layer::varchar || from_aa] score
+       from rm r join pk using (dataset, pos) cross join (select unnest([0, 1])::int layer) l)"""
+
 _POOL = "select dataset, pos, cast(dim as int) dim, round(v, 9) v from "
 
 SQL = {
@@ -368,7 +384,8 @@ select dataset, cast(pos as int) pos, round(cast(v[greatest(1, pos - 2)] as doub
        round(cast(v[pos] as double), 9) w2, round(cast(v[least(64, pos + 1)] as double), 9) w3, round(cast(v[least(64, pos + 2)] as double), 9) w4 from e""",
     "logsumexp_lens": sql(_LREXP, "select dataset, pos, layer, letter, round(logp, 9) logp from ll"),
     "direct_token_lens": sql(_LREXP, "select dataset, pos, layer, letter, round(direct, 9) logp from ll"),
-    "log_ratio": sql(_LENS, "select row_id, layer, round(score, 9) score from sr"),
+    "log_ratio": sql(_PACKED, "select row_id, layer, round(score, 9) score from sr where score is not null"),
+    "token_lens": sql(_PACKED, "select dataset, layer, round(avg(score), 9) mean, count(score) n from sr where score is not null group by 1, 2"),
     "lens_spearman": sql(_LENS, "select dataset, layer, round(rho, 6) rho, n from ls"),
     "lens_summary": sql(_LENS, """
 , g as (select dataset from rws group by 1 having max(fitness) > avg(fitness) * 1.99)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
+from foldwise.functions.signed_rank import FRACTION, SERIES, TURN
 from foldwise.operators import paired as P
 from foldwise.plans import bindings as B
 from foldwise.plans.catalog.curves import BY, FINAL, _r
@@ -127,6 +130,11 @@ def wilcoxon_p(spark, d):
     return P.wilcoxon(gains(spark, d), ["split", "layer"]).select("split", "layer", "n", *_r("z", "p"))
 
 
+def wilcoxon_exact(spark, d):
+    """Exact p values: the few cells of every dataset."""
+    return P.wilcoxon(gains(spark, d), ["dataset"]).select("dataset", "n", *_r("z", "p"))
+
+
 def equivalence_table(spark, d):
     t = P.equivalence_table(B.results(spark, d), BY, FINAL)
     return t.select(
@@ -164,7 +172,7 @@ QUERIES = {
     for f in (
         paired_conditions, paired_excluding, best_vs_final, strategy_deltas, delta_summary, delta_shares,
         pooled_effect, bootstrap_ci, bootstrap_slices, interval_signs, t_interval, tost, p_verdict, paired_t, layer_pair_fdr,
-        bh_fdr, wilcoxon_z, wilcoxon_p, equivalence_table, verdict_tally, structure_gain, subset_sensitivity,
+        bh_fdr, wilcoxon_z, wilcoxon_p, wilcoxon_exact, equivalence_table, verdict_tally, structure_gain, subset_sensitivity,
     )
 }
 
@@ -181,6 +189,25 @@ bf as (select model, split, best, x.dataset, x.rho best_rho, y.rho final_rho, x.
        where x.layer = best and y.layer = {FINAL} and x.dataset = y.dataset)"""
 
 
+def signed_rank_sql(keys: str, rows: str = "gn") -> str:
+    """Views ``sw`` (keys, n, z, p): the null distribution rank by rank in a recursion, the normal tail as the library sums it."""
+    root = math.sqrt(math.pi)
+    return f""",
+kr as (select {keys}, d, rank() over (partition by {keys} order by abs(d)) + (count(*) over (partition by {keys}, abs(d)) - 1) / 2.0 rk,
+              count(*) over (partition by {keys}, abs(d)) t from {rows} where d <> 0),
+ks as (select {keys}, count(*) n, least(sum(case when d > 0 then rk else 0 end), sum(case when d < 0 then rk else 0 end)) w,
+              sum(cast(t as double) * t - 1) tt from kr group by {keys}),
+kz as (select {keys}, count(*) filter (d = 0) n_zero from {rows} group by {keys}),
+ways as (select 0 r, [1.0::double] l union all
+         select r + 1, list_transform(range(1, len(l) + r + 2), lambda i: coalesce(l[i], 0) + case when i > r + 1 then l[i - r - 1] else 0 end) from ways where r < 50),
+kx as (select *, (w - n * (n + 1.0) / 4) / nullif(sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - tt / 48), 0) z, abs(z) / sqrt(2.0::double) x,
+              n <= 50 and tt = 0 and n_zero = 0 exact from ks join kz using ({keys})),
+sw as (select {keys}, n, z, case when exact then least(1.0, 2 * list_sum(l[1:round(w)::int + 1]) / 2.0::double ** n)
+         when x < {TURN} then 1 - 2 / {root} * exp(-x * x) * x * list_reduce(list_prepend(1.0::double, list_transform(range({SERIES}, 0, -1), lambda k: k::double)), lambda a, k: 1 + a * 2 * x * x / (2 * k + 1))
+         else exp(-x * x) / {root} / list_reduce(list_prepend(x, list_transform(range({FRACTION}, 0, -1), lambda k: k::double)), lambda a, k: x + k / 2 / a) end p
+       from kx left join ways on exact and r = n)"""
+
+
 def mix(x: str) -> str:
     x = f"(({x}) & 2147483647)"
     for shift, factor in ((15, 739982445), (12, 695872825)):
@@ -310,6 +337,10 @@ q as (select split, count(*) filter (d = 0) n_zero from gn group by 1)
 select split, n, n_zero, round(wp, 9) w_plus, round(wm, 9) w_minus,
        round((least(wp, wm) - n * (n + 1.0) / 4) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24 - tt / 48), 9) z
 from s join q using (split) where n + n_zero >= 10"""),
+    "wilcoxon_p": sql(_GAINS + signed_rank_sql("split, layer"), "select split, layer, n, round(z, 9) z, round(p, 9) p from sw"),
+    "wilcoxon_exact": sql(_GAINS + signed_rank_sql("dataset"), "select dataset, n, round(z, 9) z, round(p, 9) p from sw"),
+    "structure_gain": sql(_GAINS + f", fin as (select * from gn where layer = {FINAL})" + signed_rank_sql("split", "fin"), """
+select f.split, count(*) n, round(avg(d), 9) mean, round(any_value(p), 9) p from fin f left join sw s on f.split = s.split group by f.split"""),
     "equivalence_table": sql(_EQ + boot("bf", "model, split, best", "dataset", 0.05, 0.95), f"""
 , t as (select st.*, lo, hi, mean - q * se t_lo, mean + q * se t_hi, {tost_sql()} tost_p
        from st join ci using (model, split, best) left join tq on df = n - 1)

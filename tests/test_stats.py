@@ -1,11 +1,14 @@
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.functions.signed_rank import erfc, signed_rank_p
 from foldwise.functions.tdist import t_cdf, t_quantile
+from foldwise.operators import lens
 from foldwise.operators import paired as P
 from foldwise.operators import similarity as M
 
@@ -127,3 +130,36 @@ def test_cka_by_blocks(spark, corrected, block, strip_bytes):
     got = rows_of(M.cka_blocks(df, corrected, block=block, strip_bytes=strip_bytes, ranges=3))
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1], rtol=1e-9) for k in want)
     assert rows_of(M.cka_matrix(df, corrected, moment_bytes=10)).keys() == want.keys()
+
+
+def test_erfc(spark):
+    xs = [0.0, 1e-9, 0.3, 1.0, 2.0, 2.4999, 2.5, 3.0, 5.0, 9.0, 20.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc(F.col("x")).alias("e")).collect()
+    assert all(math.isclose(r["e"], math.erfc(r["x"]), rel_tol=1e-10) for r in got)
+
+
+def test_signed_rank_p_by_enumeration(spark):
+    rows = [(n, float(w)) for n in (1, 2, 7, 10) for w in range(n * (n + 1) // 4 + 1)]
+    got = spark.createDataFrame(rows, "n long, w double").select("n", "w", signed_rank_p(F.col("n"), F.col("w"), F.lit(0.0), F.lit(True)).alias("p")).collect()
+    for r in got:
+        sums = [sum(k for k, s in enumerate(signs, 1) if s) for signs in itertools.product((0, 1), repeat=r["n"])]
+        assert math.isclose(r["p"], min(1.0, 2 * sum(s <= r["w"] for s in sums) / 2 ** r["n"]))
+    edge = spark.createDataFrame([(0, 0.0, 1.0), (None, None, None), (60, 10.0, None), (60, 10.0, float("nan")), (60, 10.0, -1.96)], "n long, w double, z double")
+    p = [r[0] for r in edge.select(signed_rank_p(F.col("n"), F.col("w"), F.col("z"), F.lit(False))).collect()]
+    assert p[:4] == [None] * 4 and math.isclose(p[4], math.erfc(1.96 / math.sqrt(2)))
+
+
+@pytest.mark.parametrize("direct", [False, True])
+def test_packed_lens_equals_token_rows(spark, direct):
+    """Letters without a token, special tokens, rows with unknown letters, spots without logits."""
+    rng = np.random.default_rng(10)
+    words = ["A", "C", "A", None, "D", "Y", None, "C"]
+    packed = [("d", p, l, [float(v) for v in rng.normal(0, 30, len(words))]) for p in range(1, 6) for l in range(2)]
+    long = [(d, p, l, t, w, v[t]) for d, p, l, v in packed for t, w in enumerate(words)]
+    rows = spark.createDataFrame([("r1", "d", 1, "A", "C"), ("r2", "d", 2, "Y", "A"), ("r3", "d", 3, "E", "A"), ("r4", "d", 4, "A", "E"), ("r5", "d", 9, "A", "C"),
+                                  ("r6", "d", 5, "X", "A"), ("r7", "d", 5, None, "A"), ("r8", "d", 5, "", "A"), ("r9", "d", 5, "AC", "A")],
+                                 "row_id string, dataset string, pos int, from_aa string, to_aa string")
+    a = lens.packed_log_ratio(rows, lens.letter_arrays(spark.createDataFrame(packed + [("d", 7, 0, None)], "dataset string, pos int, layer int, logits array<double>"), words, direct))
+    b = lens.log_ratio(rows, lens.letter_log_probs(spark.createDataFrame(long, "dataset string, pos int, layer int, token_id int, letter string, logit double"), direct))
+    a, b = ({(r["row_id"], r["layer"]): r["score"] for r in x.collect()} for x in (a, b))
+    assert a.keys() == b.keys() == {(r, l) for r in ("r1", "r2") for l in range(2)} and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
