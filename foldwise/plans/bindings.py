@@ -136,10 +136,8 @@ def alignments(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("dataset"), F.col("doc_id").alias("seq_no"), letters("text").alias("_t")
     )
-    last = F.greatest(F.ceil(F.length("_t") / width) - 1, F.lit(0)).cast("int")
-    return docs.select("dataset", "seq_no", "_t", F.explode(F.sequence(F.lit(0), last)).alias("part")).select(
-        "dataset", "seq_no", "part", F.col("_t").substr(F.col("part") * width + 1, F.lit(width)).alias("seq")
-    )
+    lines = F.when(F.col("_t") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("_t", F.lit(f".{{1,{width}}}"), F.lit(0)))
+    return docs.select("dataset", "seq_no", F.posexplode(lines).alias("part", "seq"))
 
 
 def alignment_refs(spark: SparkSession, sf_dir: str, width: int = 60) -> DataFrame:
