@@ -80,6 +80,14 @@ def offset_alignment(spark, d):
     return placed.select("conv_id", "turn", "start", F.round("identity", 9).alias("identity"), F.md5(padded).alias("padded"))
 
 
+def corpus_alignment(spark, d):
+    """Every message against the changed middles of all messages: where each is held."""
+    msgs = B.table(spark, d, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("long_id"), B.letters("text").alias("long"))
+    n = F.length("long")
+    middles = msgs.select(F.col("long_id").alias("short_id"), F.translate(F.col("long").substr(F.floor(n / 4).cast("int") + 1, F.floor(n / 2).cast("int")), "W", "C").alias("short"))
+    return alignment.place_everywhere(msgs, middles).select("long_id", "short_id", "start", *_r("identity"))
+
+
 def pssm(spark, d):
     p = profile.position_profile(B.alignments(spark, d), B.alignment_refs(spark, d))
     return p.select("dataset", "pos", "letter", "count", *_r("logodds"))
@@ -218,6 +226,7 @@ QUERIES = {
     "strip_insertions": strip_insertions,
     "token_inventory": token_inventory,
     "offset_alignment": offset_alignment,
+    "corpus_alignment": corpus_alignment,
     "pssm": pssm,
     "msa_coverage": msa_coverage,
     "msa_admission": msa_admission,
