@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,15 +36,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def merged(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Merge the leftmost pair of lowest rank until none is left. Used on pairs of tokens only."""
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, len(ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-        if rank > len(ranks):
-            break
+def halves(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two tokens whose merge makes a token of several bytes: what is left before its last merge."""
+    parts = [token[i:i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        _, at = min((ranks.get(a + b, len(ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return parts
+    return parts[0], parts[1]
 
 
 class Transducer:
@@ -52,47 +51,81 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.longest = max(map(len, ranks))
-        self.starts = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
+        self.starts = {token[:k] for token in ranks for k in range(1, len(token))}  # of tokens that go on
         self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.edges: tuple[dict[bytes, list], dict[bytes, list]] = ({}, {})  # left and right edges of tokens met so far
         self._clear()
 
     def _clear(self) -> None:
         # A set of live paths: (tokens owed, last token, open bytes); None is the last token at the start.
         self.sets = [((((), None, b""),))]
         self.numbers = {self.sets[0]: 0}
-        self.steps: dict[tuple[int, int], tuple[int, tuple[int, ...]]] = {}
+        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+
+    def edge(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
+        """What stands at the left (0) or right (1) end of a token while it is built, each with the rank at which it is merged on."""
+        found = self.edges[side].get(token)
+        if found is None:
+            found = [(token, float("inf"))]
+            if len(token) > 1:
+                inner = self.edge(halves(token, self.ranks)[side], side)
+                found = [*inner[:-1], (inner[-1][0], self.ranks[token]), *found]
+            self.edges[side][token] = found
+        return found
 
     def may_follow(self, last: bytes | None, token: bytes) -> bool:
-        pair = (last or b"", token)
-        known = self.follows.get(pair)
+        """Whether neither token loses an end to the other: no merge across the border comes before the ones that build the two.
+
+        Both are built side by side, always by the next merge of lower rank. A pair across the border goes first if its rank is lower than that of
+        the left end's next merge, and not higher than the right end's: of equal ranks the leftmost is merged.
+        """
+        if last is None:
+            return True
+        known = self.follows.get((last, token))
         if known is None:
-            known = self.follows[pair] = merged(pair[0] + token, self.ranks) == [t for t in pair if t]
+            left, right, i, j = self.edge(last, 1), self.edge(token, 0), 0, 0
+            while known is None:
+                (x, next_x), (y, next_y) = left[i], right[j]
+                across = self.ranks.get(x + y)
+                if across is not None and across < next_x and across <= next_y:
+                    known = False
+                elif i + 1 == len(left) and j + 1 == len(right):
+                    known = True
+                elif next_x <= next_y:
+                    i += 1
+                else:
+                    j += 1
+            self.follows[last, token] = known
         return known
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        key = (number, byte)
+        key = number << 8 | byte
         found = self.steps.get(key)
         if found is None:
             found = self.steps[key] = self._determinise(number, bytes((byte,)))
         return found
 
     def _determinise(self, number: int, byte: bytes) -> tuple[int, tuple[int, ...]]:
-        paths = []
+        paths, starts, ranks, follows = [], self.starts, self.ranks, self.follows.get
         for owed, last, open_bytes in self.sets[number]:
             read = open_bytes + byte
-            if read in self.starts:
+            if read in starts:
                 paths.append((owed, last, read))
-                if read in self.ranks and self.may_follow(last, read):
-                    paths.append(((*owed, self.ranks[read]), read, b""))
-        shared = 0
-        first = paths[0][0]
-        while all(len(owed) > shared and owed[shared] == first[shared] for owed, _, _ in paths if len(first) > shared) and len(first) > shared:
-            shared += 1
-        state = tuple((owed[shared:], last, open_bytes) for owed, last, open_bytes in paths)
-        if state not in self.numbers:
-            self.numbers[state] = len(self.sets)
+            rank = ranks.get(read)
+            if rank is not None:
+                known = follows((last, read))
+                if self.may_follow(last, read) if known is None else known:
+                    paths.append(((*owed, rank), read, b""))
+        first, shared = paths[0][0], 0
+        for at, token in enumerate(first):
+            if any(len(owed) <= at or owed[at] != token for owed, _, _ in paths):
+                break
+            shared = at + 1
+        state = tuple([(owed[shared:], last, open_bytes) for owed, last, open_bytes in paths]) if shared else tuple(paths)
+        found = self.numbers.setdefault(state, len(self.sets))
+        if found == len(self.sets):
             self.sets.append(state)
-        return self.numbers[state], first[:shared]
+        return found, first[:shared]
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
@@ -102,12 +135,15 @@ class Transducer:
             self._clear()
         if len(self.follows) > 2 * MEMO:
             self.follows.clear()
-        number, out = 0, []
+        number, out, known = 0, [], self.steps.get
         for byte in piece:
-            number, emitted = self.step(number, byte)
-            out.extend(emitted)
-        out.extend(next(owed for owed, _, open_bytes in self.sets[number] if not open_bytes))
-        return tuple(out)
+            number, emitted = known(number << 8 | byte) or self.step(number, byte)
+            if emitted:
+                out.extend(emitted)
+        for owed, _, open_bytes in self.sets[number]:
+            if not open_bytes:
+                return (*out, *owed)
+        raise ValueError("a byte without a token")
 
 
 class Encoder:
@@ -130,11 +166,7 @@ class Encoder:
         self.memo = Memo()
 
     def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        extend, memo = ids.extend, self.memo
-        for match in self.find(text):
-            extend(memo[match])
-        return np.array(ids, "<u4")
+        return np.array(list(chain.from_iterable(map(self.memo.__getitem__, self.find(text)))), "<u4")
 
 
 class Decoder:

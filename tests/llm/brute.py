@@ -258,3 +258,14 @@ def merkle(rows, tampered):
                 value = h(*[x for x, left in step if left], value, *[x for x, left in step if not left])
             out.append((r[0], s, leaf(r), trees[s][-1][0], crown[-1][0], h(*[x for step in steps for x, _ in step]), value, value == crown[-1][0]))
     return sorted(out, key=str)
+
+
+def merged(piece, ranks):
+    """Merge the leftmost pair of lowest rank until none is left."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, len(ranks) + 1), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank > len(ranks):
+            break
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return parts
