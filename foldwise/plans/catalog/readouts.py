@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwise.functions.alphabet import AMINO_ACIDS
 from foldwise.functions.substitutions import aux_features
-from foldwise.operators import attention, confidence, pooling, ridge, standardise, trees
+from foldwise.operators import attention, confidence, paired, pooling, ridge, standardise, trees
 from foldwise.operators import folds as X
 from foldwise.operators.profile import position_profile, profile_features
 from foldwise.operators.variants import MIN_ROWS
@@ -50,15 +50,15 @@ def ridge_oof_spearman(spark, d):
 
 
 def ridge_penalties(spark, d):
-    preds = ridge.ridge_oof(ridge.aux_table(aux_rows(spark, d), ["modulo"]), ["dataset"], ["modulo"])
+    preds = ridge.ridge_oof(ridge.aux_table(aux_rows(spark, d), SCHEMES), ["dataset"], SCHEMES)
     p = ridge.chosen_penalties(preds, ["dataset", "split"])
     return p.select("dataset", "split", F.posexplode("alphas").alias("fold", "alpha"))
 
 
 def ridge_fixed_penalty(spark, d):
     """One penalty, scaling by all rows: the leaky legacy readout."""
-    features = ridge.aux_table(aux_rows(spark, d), ["modulo"])
-    scores = ridge.ridge_scores(features, ["dataset"], ["modulo"], alphas=[1.0], scaling="global")
+    features = ridge.aux_table(aux_rows(spark, d), SCHEMES)
+    scores = ridge.ridge_scores(features, ["dataset"], SCHEMES, alphas=[1.0], scaling="global")
     return scores.select("dataset", "split", *_r("rho", digits=6), "n")
 
 
@@ -111,8 +111,8 @@ def pooling_grid(spark, d):
     return out.select("dataset", "strategy", "split", "featset", *_r("rho", digits=6), "n")
 
 
-def structure_ablation(spark, d):
-    """With and without the confidence numbers, one small group per structure."""
+def _ablation(spark, d):
+    """Scores with and without the confidence numbers, one small group per structure."""
     one_thread_per_task(spark)
     n = B.vector_count(spark, d)
     items = B.table(spark, d, "lineitem").select(
@@ -121,11 +121,21 @@ def structure_ablation(spark, d):
         F.array("l_quantity", "l_discount", "l_tax").alias("emb"))
     x = confidence.confidence_features(items, B.confidence(spark, d), B.errors(spark, d)).select(
         "dataset", "row_id", "y", F.concat("emb", "struct").alias("x"), X.modulo_fold(F.col("pos"), 5).alias("modulo"))
-    scores = ridge.ridge_scores(x, ["dataset"], ["modulo"], {"seq": (0, 3), "seq_struct": (0, None), "struct": (3, None)})
-    return scores.groupBy("featset").agg(
+    return ridge.ridge_scores(x, ["dataset"], ["modulo"], {"seq": (0, 3), "seq_struct": (0, None), "struct": (3, None)})
+
+
+def structure_ablation(spark, d):
+    return _ablation(spark, d).groupBy("featset").agg(
         F.round(F.avg("rho"), 6).alias("rho"), F.count("rho").alias("n_datasets"))
 
 
+def structure_deltas(spark, d):
+    """What the confidence numbers add, structure by structure: mean difference, effect, interval and signed-rank p."""
+    pairs = paired.paired_conditions(materialise(_ablation(spark, d)), ["dataset", "split"], "featset", "seq_struct", "seq")
+    out = paired.t_interval(paired.delta_summary(pairs, ["split"]), 0.95).join(paired.wilcoxon(pairs, ["split"]).select("split", "p"), "split")
+    return out.select("split", "n", *_r("mean", "dz", "t_lo", "t_hi", "p", digits=6))
+
+
 def _documents(spark, d):
     """Labelled documents as rows, a dataset per language: counts of their text against the label."""
     text = F.col("text")
@@ -203,6 +213,7 @@ QUERIES = {
     "attention_pool": attention_pool,
     "pooling_grid": pooling_grid,
     "structure_ablation": structure_ablation,
+    "structure_deltas": structure_deltas,
     "rf_oof": _trees("forest"),
     "gbt_oof": _trees("boosted"),
     "tree_groups": tree_groups,
