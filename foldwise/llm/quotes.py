@@ -13,6 +13,8 @@ said twice belongs to the earlier turn. An empty table gives an empty table; ext
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +65,8 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def _step(turn: Column) -> Column:
-    return F.lpad(turn.cast("string"), 10, "0")
+    """Twenty digits that sort as the turn does, negative ones included."""
+    return F.lpad((turn.cast("decimal(20,0)") + F.lit(Decimal(2**63))).cast("string"), 20, "0")
 
 
 def reply_paths(parents: DataFrame) -> DataFrame:

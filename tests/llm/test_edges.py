@@ -207,3 +207,10 @@ def test_deep_replies(spark):
     rows = [(1, 0, "line 0")] + [(1, t, f"> line {t - 1}\nline {t}") for t in range(1, 40)]
     out = quotes.reply_ordered(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
     assert sorted((r["turn"], r["depth"], r["reply_path"].count("/")) for r in out) == [(t, t, t) for t in range(40)]
+
+
+def test_wide_and_negative_turns(spark):
+    """Turns of any size keep their order and identity in the path."""
+    turns = [-(2**63), -50, -5, 0, 7, 1_700_000_000_000, 1_700_000_000_001, 2**63 - 1]
+    out = quotes.reply_ordered(spark.createDataFrame([(1, t, f"line {t}") for t in turns[::-1]], "conv_id long, turn long, text string")).collect()
+    assert [r["turn"] for r in sorted(out, key=lambda r: r["reply_path"])] == turns and len({r["reply_path"] for r in out}) == len(turns)
