@@ -56,13 +56,17 @@ def size_classes(most: int, percent: int) -> np.ndarray:
     return np.array([*tops, max(low, low * 100 // percent)], np.int64)
 
 
-def block_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all blocks of all sets in both classes, and the set each belongs to."""
+def block_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of all blocks of all sets in both classes, the set each belongs to, and twice its spare lists plus the class (0 or 1).
+
+    A set with f filled blocks that differs in at most d shingles from any partner in the class has f - d blocks or more in
+    common with each: one of them is met even if f - d - 1 of its lists are spared.
+    """
     sizes = np.diff(offsets)
     tops = size_classes(int(sizes.max(initial=1)), percent)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(values), dtype=np.uint64)])
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    keys, owners = [], []
+    keys, owners, tags = [], [], []
     for step in (0, 1):
         of = np.searchsorted(tops, np.maximum(sizes, 1)) + step
         apart = 2 * tops[of] * (100 - percent) // (100 + percent)  # shingles that linked sets may differ in
@@ -77,9 +81,12 @@ def block_keys(values: np.ndarray, offsets: np.ndarray, percent: int) -> tuple[n
         # With more filled blocks than may differ, one that is equal is filled: empty blocks need no list.
         filled = np.bincount(mine[held > 0], minlength=len(sizes))
         keep = (held > 0) | (filled <= apart)[mine]
+        largest = np.minimum(tops[of], sizes * 100 // percent)  # partner
+        spare = np.maximum(filled - (sizes + largest) * (100 - percent) // (100 + percent) - 1, 0)
         keys.append(mix(content + mix(index + (of[mine].astype(np.uint64) << np.uint64(40)) + np.uint64(77)))[keep])
         owners.append(mine[keep])
-    return np.concatenate(keys), np.concatenate(owners)
+        tags.append((2 * spare + step)[mine[keep]])
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(tags).astype(np.int32)
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -101,7 +108,11 @@ def nodes(docs: DataFrame, width: int) -> DataFrame:
 
 
 def lists(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, node, leader: index lists with at least two nodes."""
+    """key, node, leader: index lists with at least two nodes.
+
+    A set leaves as many of its longest lists as it has to spare, so what many texts share alone brings no two together:
+    of the blocks that two linked sets share, both keep the one in the shortest list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -118,15 +129,21 @@ def lists(docs: DataFrame, width: int, percent: int) -> DataFrame:
             values = values[np.repeat(keep, sizes)]
             offsets, node = np.concatenate([[0], np.cumsum(sizes[keep])]), node[keep]
             if len(node):
-                keys, owner = block_keys(values, offsets, percent)
-                yield pa.RecordBatch.from_arrays([signed(keys), signed(node[owner])], names=["key", "node"])
+                keys, owner, tags = block_keys(values, offsets, percent)
+                yield pa.RecordBatch.from_arrays([signed(keys), signed(node[owner]), pa.array(tags)], names=["key", "node", "tag"])
 
-    rows = docs.select("text").mapInArrow(run, "key bigint, node bigint")
+    rows = docs.select("text").mapInArrow(run, "key bigint, node bigint, tag int")
     ordered = Window.partitionBy("key").orderBy("node")
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.lag("node").over(ordered)
-    placed = rows.select("key", "node", F.first("node").over(whole).alias("leader"), F.last("node").over(whole).alias("_last"), before.alias("_before"))
-    return placed.filter((F.col("leader") != F.col("_last")) & (F.col("_before").isNull() | (F.col("_before") != F.col("node")))).select("key", "node", "leader")
+    placed = rows.select("key", "node", "tag", F.first("node").over(whole).alias("_first"), F.last("node").over(whole).alias("_last"),
+                         F.count(F.lit(1)).over(whole).alias("_long"), before.alias("_before"))
+    shared = placed.filter((F.col("_first") != F.col("_last")) & (F.col("_before").isNull() | (F.col("_before") != F.col("node"))))
+    own = Window.partitionBy("node", "tag").orderBy(F.desc("_long"), "key")
+    kept = shared.select("key", "node", "tag", F.row_number().over(own).alias("_at")).filter(F.col("_at") > F.shiftright("tag", 1))
+    led = kept.select("key", "node", F.min("node").over(Window.partitionBy("key")).alias("leader"),
+                      F.max("node").over(Window.partitionBy("key")).alias("_last"))
+    return led.filter(F.col("leader") != F.col("_last")).select("key", "node", "leader")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """The parts that the operators are built on."""
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -91,9 +93,30 @@ def test_linked_sets_share_a_block(size, edits, percent, seed):
         return
     shared = len(np.intersect1d(base, other))
     values = np.concatenate([base, other])
-    keys, owner = jaccard.block_keys(values, np.array([0, len(base), len(values)]), percent)
+    keys, owner, tags = jaccard.block_keys(values, np.array([0, len(base), len(values)]), percent)
     if 100 * shared >= percent * (len(base) + len(other) - shared):
-        assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+        one, two = ({k: t for k, t, o in zip(keys.tolist(), tags.tolist(), owner.tolist()) if o == i} for i in (0, 1))
+        met = Counter((one[k], two[k]) for k in one.keys() & two.keys())  # by class
+        assert met and all(n > max(a >> 1, b >> 1) for (a, b), n in met.items())
+
+
+def test_jaccard_with_passages_that_many_share(spark):
+    """Long passages in most texts make the lists long that are spared; links around the threshold stay."""
+    rng = np.random.default_rng(23)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    passages = [[word() for _ in range(n)] for n in (50, 90, 120)]
+    rows = []
+    for k in range(60):
+        own = [word() for _ in range(int(rng.integers(5, 160)))]
+        t = own[: len(own) // 2] + passages[k % 3] + own[len(own) // 2:] + (passages[(k + 1) % 3] if k % 2 else [])
+        rows.append(" ".join(t))
+        for i in rng.choice(len(t), int(rng.integers(0, 6)), replace=False):
+            t[i] = word()
+        rows.append(" ".join(t))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    for width, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(df, width, percent).collect()}
+        assert got == {d: v[:2] for d, v in brute.jaccard_components(list(enumerate(rows)), width, percent).items()}
 
 
 def test_jaccard_on_chains_and_crowds(spark):
