@@ -14,8 +14,8 @@ from foldwise.session import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host does."""
-    hosts = rules.host_rates(rules.measure(docs).select("source", "base_failed"))
-    return rules.judge(rules.measure(docs), hosts).filter("kept").select(docs.columns)
+    measured = written(rules.measure(docs), "rules")
+    return rules.judge(measured, rules.host_rates(measured)).filter("kept").select(docs.columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
