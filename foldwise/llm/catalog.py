@@ -63,7 +63,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = written(rules.measure(table(spark, sf_dir, "documents")).select("doc_id", "source", *rules.MEASURES), "rules")
-    return rules.judge(measured, rules.host_rates(measured)).select("doc_id", *rules.MEASURES, "kept", "host_rate")
+    return rules.judge(measured, rules.host_rates(measured)).select("doc_id", *rules.MEASURES, "kept", "host_rate", "host_bound")
 
 
 def op10_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

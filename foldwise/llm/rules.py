@@ -2,8 +2,10 @@
 
 A document fails by itself when it has under ten words or when over a fifth of them lie in repeated
 five-word windows. Failures are then counted per host (the ``source`` column). The hosts' rates have a
-common beta prior, fitted by moments to all hosts; a host whose posterior failure rate exceeds
-``max_rate`` is rejected with all its documents.
+common beta prior, fitted by moments to all hosts. A host is rejected with all its documents when its posterior
+rate, less two of its standard deviations, exceeds the hosts' bound: one standard deviation of the prior
+above its mean, but never below ``least_rate`` nor above ``max_rate``. So hosts that fail alike all stay, unless they
+fail beyond ``max_rate``, and a host with few documents isn't rejected on them alone.
 
 Null and empty texts have no words and fail. Documents without a source are one host of their own.
 Repeated rows count as often as they occur. An empty table gives an empty table. Extra columns stay.
@@ -20,7 +22,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
+LEAST_HOST_RATE = 0.2
 MAX_HOST_RATE = 0.5
+DOUBT = 2.0  # posterior standard deviations
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -68,8 +72,8 @@ def measure(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_counts")
 
 
-def host_rates(measured: DataFrame) -> DataFrame:
-    """source, n_docs, n_failed, and the failure rate shrunk by the hosts' common beta prior.
+def host_rates(measured: DataFrame, least_rate: float = LEAST_HOST_RATE, max_rate: float = MAX_HOST_RATE) -> DataFrame:
+    """source, n_docs, n_failed, the failure rate shrunk by the hosts' common beta prior, the hosts' bound and the verdict.
 
     The prior's mean is the mean rate of hosts and its strength follows from their variance beyond
     that of binomial counts. With one host, or no variance beyond it, the prior is as strong as all
@@ -88,13 +92,18 @@ def host_rates(measured: DataFrame) -> DataFrame:
     beyond = F.col("v") - binomial
     strength = F.when((beyond > 0) & (m > 0) & (m < 1), F.least(F.greatest(m * (1 - m) / beyond - 1, F.lit(0.5)), F.col("total")))
     prior = prior.select(m.alias("_m"), F.coalesce(strength, F.col("total")).alias("_strength"))
-    return hosts.crossJoin(F.broadcast(prior)).select(  # the prior is one row
-        "source", "n_docs", "n_failed",
-        ((F.col("_m") * F.col("_strength") + F.col("n_failed")) / (F.col("_strength") + F.col("n_docs"))).alias("host_rate"))
-
-
-def judge(measured: DataFrame, hosts: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """``measured`` with host_rate and kept. Joins one row per host; a hot host is split by adaptive execution."""
-    rates = hosts.select(F.col("source").alias("_host"), "host_rate")
-    joined = measured.drop("host_rate", "kept").join(rates, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
-    return joined.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("host_rate"), F.lit(0.0)) <= max_rate))
+    spread = F.sqrt(F.col("_m") * (1 - F.col("_m")) / (F.col("_strength") + 1))
+    bound = F.least(F.lit(max_rate), F.greatest(F.lit(least_rate), F.col("_m") + spread))
+    weight = F.col("_strength") + F.col("n_docs")
+    rates = hosts.crossJoin(F.broadcast(prior)).select(  # the prior is one row
+        "source", "n_docs", "n_failed", ((F.col("_m") * F.col("_strength") + F.col("n_failed")) / weight).alias("host_rate"),
+        bound.alias("host_bound"), weight.alias("_weight"))
+    doubt = DOUBT * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (F.col("_weight") + 1))
+    return rates.withColumn("host_rejected", F.col("host_rate") - doubt > F.col("host_bound")).drop("_weight")
+
+
+def judge(measured: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``measured`` with host_rate, host_bound and kept. Joins one row per host; a hot host is split by adaptive execution."""
+    rates = hosts.select(F.col("source").alias("_host"), "host_rate", "host_bound", F.col("host_rejected").alias("_rejected"))
+    joined = measured.drop("host_rate", "host_bound", "kept", "_rejected").join(rates, F.col("source").eqNullSafe(F.col("_host")), "left").drop("_host")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("_rejected"), F.lit(False))).drop("_rejected")

@@ -28,7 +28,7 @@ def rules(text):
             "base_failed": len(ws) < 10 or 100 * len(inside) > 20 * len(ws)}
 
 
-def host_verdicts(docs, max_rate=0.5):
+def host_verdicts(docs, least_rate=0.2, max_rate=0.5, doubt=2.0):
     """doc index -> kept, for rows of (source, base_failed)."""
     n, f = Counter(), Counter()
     for source, failed in docs:
@@ -41,7 +41,9 @@ def host_verdicts(docs, max_rate=0.5):
     total = sum(n.values())
     strength = min(max(m * (1 - m) / beyond - 1, 0.5), total) if beyond > 0 and 0 < m < 1 else total
     rate = {s: (m * strength + f[s]) / (strength + n[s]) for s in n}
-    return [not failed and rate[source] <= max_rate for source, failed in docs]
+    bound = min(max(m + (m * (1 - m) / (strength + 1)) ** 0.5, least_rate), max_rate)
+    least = {s: r - doubt * (r * (1 - r) / (strength + n[s] + 1)) ** 0.5 for s, r in rate.items()}
+    return [not failed and least[source] <= bound for source, failed in docs]
 
 
 def targets(sizes, weights=(3, 1, 2), share=1.5, most=2):

@@ -36,6 +36,19 @@ def test_hot_host_is_rejected(spark):
     assert any(not r["base_failed"] for r in out if r["source"] == "bad")
 
 
+def test_bad_hosts_of_the_given_table_are_rejected(spark):
+    """Two hosts of the given documents, three quarters of their texts spoilt, go; all others stay, also a small one that failed once."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    spoilt = docs.withColumn("text", F.expr("case when source in ('src3', 'src7') and crc32(cast(doc_id as string)) % 4 > 0 then 'Too short.' else text end"))
+    more = spark.createDataFrame([(10**9 + i, "tiny", t) for i, t in enumerate(["too short", " ".join(f"w{k}" for k in range(40))])], spoilt.schema)
+    for table, gone in ((docs, set()), (spoilt.unionByName(more), {"src3", "src7"})):
+        measured = rules.measure(table)
+        out = rules.judge(measured, rules.host_rates(measured)).collect()
+        assert [r["kept"] for r in out] == brute.host_verdicts([(r["source"], r["base_failed"]) for r in out])
+        lost = {r["source"] for r in out if not r["kept"] and not r["base_failed"]}
+        assert lost == gone and not any(r["kept"] for r in out if r["source"] in gone)
+
+
 def test_mixing(odd_docs, no_docs):
     slim = odd_docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     goals = mixing.targets(slim)
