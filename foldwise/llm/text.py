@@ -76,12 +76,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of a column of texts, and n + 1 offsets of the texts into them."""
-    data, offsets = text_bytes(column)
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of the texts ``data[offsets[i]:offsets[i + 1]]`` start and end; ``data`` isn't empty."""
     n = len(data)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     inside = ~_IS_SPACE[data]
     before = np.empty(n, bool)
     before[0], before[1:] = False, inside[:-1]
@@ -92,13 +89,25 @@ def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.n
     after[-1], after[:-1] = False, inside[1:]
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    values = _BYTE_VALUES[_LOWER[data] if lower else data]
+    return starts, np.flatnonzero(inside & ~after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes."""
+    n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power_table("up", _BASE, n), out=sums[1:])
+    np.cumsum(_BYTE_VALUES[data] * _power_table("up", _BASE, n), out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * _power_table("down", _BASE_INVERSE, n)[starts]
-    hashes = mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, offsets)
+    return mix(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def hashed_words(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of a column of texts, and n + 1 offsets of the texts into them."""
+    data, offsets = text_bytes(column)
+    if len(data) == 0:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    starts, ends = word_spans(data, offsets)
+    return span_hashes(_LOWER[data] if lower else data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -5,6 +5,8 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -80,6 +82,17 @@ def test_token_files(spark, odd_docs, no_docs):
     assert token_files.digest(token_files.write(no_docs, path, 2, 49_408)).count() == 0
 
 
+@given(st.lists(st.text("aAhHzÉé×ßÿ\u0331\u0301İKǅ'’_-,.!09 \t\n\x1f\u00a0\u2028ªµ²\U0001F600<|", max_size=12), max_size=6))
+@settings(max_examples=150, deadline=None)
+def test_words_of_odd_texts(texts):
+    words = _WORDS.get("words") or _WORDS.setdefault("words", token_files.Words(public_tokenizers.path("word_bpe_49k.json"), "<u2"))
+    for text, ids in zip(texts, words.encode(texts), strict=True):
+        assert ids == b"".join(i.to_bytes(2, "little") for i in words.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+_WORDS = {}
+
+
 def test_words_with_special_tokens():
     path = public_tokenizers.path("word_bpe_49k.json")
     words = token_files.Words(path, "<u2")
