@@ -3,13 +3,13 @@
 A folder holds shards. ``<shard>.bin`` has the ids of its documents behind one another as little-endian
 unsigned integers of 16 bits where the vocabulary fits, else 32. ``<shard>.off`` has one 64-bit integer per
 document, the number of ids before it in the whole collection, and a last one for the end. ``<shard>.doc``
-has the 64-bit document ids. Shards follow each other in document order. Readers map the files.
+has the 64-bit document ids and ``<shard>.nul`` a byte per document, 1 where its id is null. Shards follow each other in document order. Readers map the files.
 
 Documents are dealt into ranges of doc_id; a task writes the ids of one range and reports their number.
 The numbers' prefix sums are the shards' bases, with which a second, short pass writes the offsets. File names
 hold the task attempt, so a repeated task never touches files that another one reported.
 
-Null and empty texts hold the end id alone. Documents without doc_id stand first and have the id -1 in the file. Repeated doc_ids are
+Null and empty texts hold the end id alone. Documents without doc_id stand first and keep none. Repeated doc_ids are
 documents of their own, in the order of their texts. An empty table gives no shards. Extra columns are not written.
 """
 
@@ -200,7 +200,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, fo
         words = _words.get(key) or _words.setdefault(key, Words(*key))
         fs, path = opened(folder)
         fs.create_dir(path, recursive=True)
-        docs_seen, sizes = [], []
+        docs_seen, nulls, sizes = [], [], []
         out = None
         for batch in pieces(batches, "text", 1 << 20):
             if out is None:
@@ -208,12 +208,14 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, vocabulary: int, fo
             ids, own = words.batch(batch.column("text"))
             out.write(ids.tobytes())
             sizes.append(own)
+            nulls.append(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).astype("u1"))
             docs_seen.append(batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8"))
         if out is None:
             return
         out.close()
         sizes = np.concatenate(sizes).astype("<i8")
         store(f"{folder}/{name}.doc", np.concatenate(docs_seen).tobytes())
+        store(f"{folder}/{name}.nul", np.concatenate(nulls).tobytes())
         store(f"{folder}/{name}.len", sizes.tobytes())
         yield pa.RecordBatch.from_pydict({"shard": pa.array([task.partitionId()], pa.int64()), "name": [name],
                                           "n_docs": pa.array([len(sizes)], pa.int64()), "n_ids": pa.array([int(sizes.sum())], pa.int64())})
@@ -242,11 +244,12 @@ def read(manifest: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 at = f"{row['folder']}/{row['name']}"
                 ids, offsets, docs = mapped(f"{at}.bin", row["dtype"]), mapped(f"{at}.off", "<i8"), mapped(f"{at}.doc", "<i8")
+                nulls = mapped(f"{at}.nul", "u1").astype(bool)
                 local = offsets - row["base"]
                 for i in range(0, len(docs), 256):
                     stop = min(i + 256, len(docs))
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(docs[i:stop], pa.int64()), "start": pa.array(offsets[i:stop], pa.int64()),
+                        "doc_id": pa.array(docs[i:stop], pa.int64(), mask=nulls[i:stop]), "start": pa.array(offsets[i:stop], pa.int64()),
                         "ids": pa.array([ids[local[k]:local[k + 1]].astype("<u4").tobytes() for k in range(i, stop)], pa.binary())})
 
     # A number of tasks by the shards: the manifest itself is so small that it would all go to one.

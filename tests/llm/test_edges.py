@@ -75,13 +75,20 @@ def test_token_files(spark, odd_docs, no_docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     manifest = token_files.write(odd_docs, path, 2, 49_408)
     order = sorted((tuple(r) for r in odd_docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    want = brute.token_ids([(-1 if d is None else d, t) for d, t in order], path)
+    want = brute.token_ids(order, path)
     assert sorted(map(tuple, token_files.digest(manifest).collect()), key=lambda r: r[1]) == want
     whole = [i for r in manifest.orderBy("shard").collect() for i in token_files.whole(spark, manifest, r["shard"]).tolist()]
     assert len(whole) == want[-1][1] + want[-1][2] and whole[-1] == 2
     assert token_files.digest(token_files.write(no_docs, path, 2, 49_408)).count() == 0
 
 
+def test_token_files_tell_null_from_minus_one(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.createDataFrame([(-1, "one two"), (None, "three"), (0, "")], "doc_id long, text string")
+    got = token_files.digest(token_files.write(docs, path, 2, 49_408)).orderBy("start").collect()
+    assert list(map(tuple, got)) == brute.token_ids([(None, "three"), (-1, "one two"), (0, "")], path)
+
+
 @given(st.lists(st.text("aAhHzÉé×ßÿ\u0331\u0301İKǅ'’_-,.!09 \t\n\x1f\u00a0\u2028ªµ²\U0001F600<|", max_size=12), max_size=6))
 @settings(max_examples=150, deadline=None)
 def test_words_of_odd_texts(texts):
