@@ -117,11 +117,13 @@ class Transducer:
                 known = follows((last, read))
                 if self.may_follow(last, read) if known is None else known:
                     paths.append(((*owed, rank), read, b""))
-        first, shared = paths[0][0], 0
-        for at, token in enumerate(first):
-            if any(len(owed) <= at or owed[at] != token for owed, _, _ in paths):
+        first = paths[0][0]
+        shared = len(first)
+        for owed, _, _ in paths[1:]:
+            if not shared:
                 break
-            shared = at + 1
+            while owed[:shared] != first[:shared]:
+                shared -= 1
         state = tuple([(owed[shared:], last, open_bytes) for owed, last, open_bytes in paths]) if shared else tuple(paths)
         found = self.numbers.setdefault(state, len(self.sets))
         if found == len(self.sets):
