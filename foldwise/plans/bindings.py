@@ -37,10 +37,10 @@ def letter_at(pos):
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dataset, seq_len, wt."""
+    """dataset, seq_len, wt. The length comes from the aggregate, so that no filter on the text can move below it, where it would be built per order."""
     n = vector_count(spark, sf_dir)
-    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset")).distinct()
-    lens = names.withColumn("seq_len", F.lit(n) - 5 * F.substring("dataset", 1, 1).cast("int"))
+    names = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("dataset"))
+    lens = names.groupBy("dataset").agg(F.max(F.lit(n) - 5 * F.substring("dataset", 1, 1).cast("int")).alias("seq_len"))
     wt = F.array_join(F.transform(F.sequence(F.lit(1), F.col("seq_len")), letter_at), "")
     return lens.withColumn("wt", wt)
 

@@ -91,3 +91,15 @@ def test_shard_covers_all_once(spark):
     parts = [set(r[0] for r in K.shard(df, s, 3).collect()) for s in range(3)]
     assert set.union(*parts) == {f"n{i:02d}" for i in range(23)} and sum(map(len, parts)) == 23
     assert parts[1] == {f"n{i:02d}" for i in range(1, 23, 3)}
+
+
+def test_references_are_built_once_per_dataset(spark, tmp_path):
+    """A filter on the reference text may not move below the aggregate: there it would build one text per order."""
+    from foldwise.plans import bindings as B
+
+    spark.createDataFrame([(i, f"{i % 2 + 1}-X" if i % 3 else None) for i in range(9)], "o_orderkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i,) for i in range(30)], "vec_id bigint").write.parquet(f"{tmp_path}/embeddings.parquet")
+    refs = B.references(spark, str(tmp_path)).filter(F.length("wt") > 0)
+    below = refs._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
+    assert "array_join" not in below and "sequence" not in below
+    assert {(r.dataset, r.seq_len, len(r.wt)) for r in refs.collect()} == {("1-X", 25, 25), ("2-X", 20, 20)}
