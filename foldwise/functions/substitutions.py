@@ -37,12 +37,22 @@ def finite(x: Column) -> Column:
 
 
 def apply_substitutions(wt: Column, subs: Column) -> Column:
-    """The reference sequence with every listed letter put in place."""
-    return F.aggregate(
-        subs, wt, lambda s, x: F.overlay(s, x["to_aa"], x["pos"], F.lit(1))
+    """The reference sequence with every listed letter put in place.
+
+    Where every letter is one byte, bytes are put in place: no characters are counted up to each place.
+    """
+    plain = single_bytes(wt) & F.forall(subs, lambda x: single_bytes(x["to_aa"]) & (x["pos"] >= 1))
+    as_bytes = F.aggregate(subs, wt.cast("binary"), lambda s, x: F.overlay(s, x["to_aa"].cast("binary"), x["pos"], F.lit(1)))
+    return F.when(plain, as_bytes.cast("string")).otherwise(
+        F.aggregate(subs, wt, lambda s, x: F.overlay(s, x["to_aa"], x["pos"], F.lit(1)))
     )
 
 
+def single_bytes(text: Column) -> Column:
+    """Whether every character of a text takes one byte."""
+    return F.octet_length(text) == F.length(text)
+
+
 def one_hot(letter: Column) -> Column:
     """Twenty indicator numbers."""
     return F.array(*[F.when(letter == F.lit(a), 1.0).otherwise(0.0) for a in AMINO_ACIDS])
@@ -125,10 +135,13 @@ def model_input(seq: Column, structure: Column | None = None, paired: bool = Fal
 def masked_input(tokens: Column, pos: Column, paired: bool = False) -> Column:
     """Model tokens with the one at a 1-based position replaced by the mask.
 
-    All tokens are equally wide, so the text around the mask is cut out by place;
-    the tokens themselves are built once per sequence.
+    All tokens are equally wide, so the text around the mask is cut out by place, by bytes where each
+    character is one; the tokens themselves are built once per sequence.
     """
     width = 3 if paired else 2
-    return F.concat(
-        F.substring(tokens, F.lit(1), (pos - 1) * width), F.lit(MASK), F.substring(tokens, pos * width, F.length(tokens))
-    )
+
+    def around(text: Column, mask: Column) -> Column:
+        return F.concat(F.substring(text, F.lit(1), (pos - 1) * width), mask, F.substring(text, pos * width, F.length(text)))
+
+    as_bytes = around(tokens.cast("binary"), F.lit(MASK).cast("binary")).cast("string")
+    return F.when(single_bytes(tokens), as_bytes).otherwise(around(tokens, F.lit(MASK)))

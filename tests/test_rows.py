@@ -103,3 +103,12 @@ def test_references_are_built_once_per_dataset(spark, tmp_path):
     below = refs._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[-1]
     assert "array_join" not in below and "sequence" not in below
     assert {(r.dataset, r.seq_len, len(r.wt)) for r in refs.collect()} == {("1-X", 25, 25), ("2-X", 20, 20)}
+
+
+def test_substitutions_by_bytes_and_by_characters(spark):
+    """Texts of single bytes are changed as bytes; others, and letters of more bytes, by characters; nulls stay null."""
+    rows = [("ACDEF", "A1W:C2Y:A1V"), ("éCDéF", "A1W:C4Y"), ("ACDEF", "A9W"), (None, "A1W"), ("ACDEF", None), ("ACDEF", "A2é"), ("", "A1W")]
+    df = spark.createDataFrame(rows, "wt string, s string")
+    out = df.select(U.apply_substitutions(F.col("wt"), U.parse_substitutions(F.col("s"), strict=False)).alias("seq"))
+    assert [r.seq for r in out.collect()] == ["VYDEF", "WCDYF", "ACDEFW", None, None, "AéDEF", "W"]
+    assert "as binary" in out._jdf.queryExecution().optimizedPlan().toString()
