@@ -112,3 +112,17 @@ def test_substitutions_by_bytes_and_by_characters(spark):
     out = df.select(U.apply_substitutions(F.col("wt"), U.parse_substitutions(F.col("s"), strict=False)).alias("seq"))
     assert [r.seq for r in out.collect()] == ["VYDEF", "WCDYF", "ACDEFW", None, None, "AéDEF", "W"]
     assert "as binary" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masked_inputs_are_spread_over_tasks(spark, tmp_path):
+    from foldwise.plans.catalog.features import SPOTS, model_input_tokens
+
+    n = 2 * SPOTS + 7
+    spark.createDataFrame([(1, "1-X"), (2, "9-Y")], "o_orderkey bigint, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(n).withColumnRenamed("id", "vec_id").write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = model_input_tokens(spark, str(tmp_path))
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = [(r.dataset, r.pos) for r in out.select("dataset", "pos").collect()]
+    assert len(got) == len(set(got)) == 2 * n - 50 and set(got) == {("1-X", i + 1) for i in range(n - 5)} | {("9-Y", i + 1) for i in range(n - 45)}
+    odd = spark.createDataFrame([("éCD",)], "wt string").select(U.masked_input(U.model_input(F.col("wt")), F.lit(2)).alias("m")).collect()[0]
+    assert odd.m == "é <mask> D"
