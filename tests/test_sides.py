@@ -92,3 +92,20 @@ def test_t_for_any_degrees_of_freedom(spark):
     out = df.select("df", t_quantile(0.95, F.col("df")).alias("q")).withColumn("p", t_cdf(F.col("q"), F.col("df"))).collect()
     assert [round(r["q"], 6) for r in out[:4]] == [6.313752, 2.919986, 2.353363, 1.697261]
     assert all(abs(r["p"] - 0.95) < 1e-12 for r in out) and abs(out[-1]["q"] - 1.6448536) < 1e-6
+
+
+def test_alignments_do_not_meet_by_dataset(spark):
+    """The few facts of a dataset go to its sequences, whatever the session would broadcast by itself."""
+    from foldwise.operators.profile import admitted, position_profile
+
+    msa = spark.createDataFrame([("a", "ACD")] * 40 + [("b", "ACDE"), (None, "ACD"), ("c", "AC")] * 6, "dataset string, seq string")
+    refs = spark.createDataFrame([("a", 3), ("b", 3), ("c", 9), (None, 3)], "dataset string, seq_len int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        used = admitted(msa, refs)
+        assert "SortMergeJoin" not in used._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.dataset, r.n_seqs, r["count"]) for r in used.groupBy("dataset", "n_seqs").count().collect()) == [("a", 40, 40), ("b", 6, 6)]
+        assert position_profile(msa, refs).filter("dataset = 'a' and pos = 2 and letter = 'C'").collect()[0]["count"] == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
