@@ -109,3 +109,20 @@ def test_alignments_do_not_meet_by_dataset(spark):
         assert position_profile(msa, refs).filter("dataset = 'a' and pos = 2 and letter = 'C'").collect()[0]["count"] == 40
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rows_do_not_meet_by_dataset(spark):
+    """Lengths and gates of few datasets go to the variants, whatever the session would broadcast by itself."""
+    from foldwise.operators import variants as V
+
+    rows = [("a", str(i), f"A{1 + i % 9}C:D2E", str(i)) for i in range(30)] + [("b", "1", "A1C", "1"), (None, "1", "A1C", "1")]
+    v = spark.createDataFrame(rows, "dataset string, variant_id string, mut_info string, fitness string").withColumn("seq", F.lit(None).cast("string"))
+    refs = spark.createDataFrame([("a", 5), ("b", 5), (None, 5)], "dataset string, seq_len int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = V.substitution_rows(v, refs, None, None)
+        assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == sum(1 + (1 + i % 9 <= 5) for i in range(30)) and out.filter("dataset <> 'a'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
