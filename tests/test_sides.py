@@ -126,3 +126,24 @@ def test_rows_do_not_meet_by_dataset(spark):
         assert out.count() == sum(1 + (1 + i % 9 <= 5) for i in range(30)) and out.filter("dataset <> 'a'").count() == 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_position_groups_in_linear_time(spark):
+    """The same folds as by looking for the lightest one each time, without a growing array per position."""
+    from foldwise.operators import folds as X
+
+    rows = [(d, None if p == 7 else p) for d in ("a", None) for p in range(40) for _ in range(1 + p * p % 11)] + [("few", 1), ("few", 1), ("few", 2)]
+    groups = X.position_groups(spark.createDataFrame(rows, "dataset string, pos int"), 5)
+    assert "aggregate(" not in groups._jdf.queryExecution().optimizedPlan().toString()
+    expected = set()
+    for d in ("a", None, "few"):
+        sizes = {}
+        for e, p in rows:
+            if e == d:
+                sizes[p] = sizes.get(p, 0) + 1
+        load = [0] * min(5, len(sizes))
+        for p, n in sorted(sizes.items(), key=lambda g: (-g[1], g[0] is None, -(g[0] or 0))):
+            f = load.index(min(load))
+            load[f] += n
+            expected.add((d, p, f))
+    assert {tuple(r) for r in groups.select("dataset", "pos", "fold").collect()} == expected
