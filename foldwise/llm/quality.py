@@ -64,7 +64,9 @@ class Sparse:
         return Sparse(self.slots[at], self.values[at], offsets)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.values * w[self.slots])])
+        product, sums = w[self.slots], np.zeros(len(self.slots) + 1)
+        product *= self.values
+        np.cumsum(product, out=sums[1:])
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
 
@@ -121,7 +123,7 @@ def fit(x: Sparse, y: np.ndarray, slots: int, weight: np.ndarray, ridge: float =
     """Logistic regression with a bias in the last place, classes weighted equally; Adagrad on the whole sample."""
     weight = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum()))
     w, seen = np.zeros(slots + 1), np.full(slots + 1, 1e-8)
-    row = np.repeat(np.arange(len(y)), np.diff(x.offsets))
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(x.offsets))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + w[-1], -40, 40)))
         g = weight * (p - y)
@@ -244,7 +246,10 @@ def confident(docs: DataFrame, known: np.ndarray, weights: list[np.ndarray], cur
 
 
 def features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Sparse, Sparse]:
-    """doc_id (ascending) and both views of the documents of ``ids``, a few thousand."""
+    """doc_id (ascending) and both views of the documents of ``ids``, a few thousand.
+
+    The driver holds their words once, as the four-byte numbers that come from the tasks.
+    """
     picked = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,10 +264,11 @@ def features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Sparse, Spars
     fields = {f.name: f.dataType.simpleString() for f in picked.schema}
     schema = ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "source", "lang", "n_chars")) + ", slots array<int>, values array<float>"
     rows = picked.mapInArrow(run, schema).toArrow().combine_chunks()
-    rows = rows.take(pa.compute.sort_indices(rows, [("doc_id", "ascending")])).combine_chunks()
+    order = pa.compute.sort_indices(rows, [("doc_id", "ascending")])
+    rows = rows.take(order).combine_chunks()
     one = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
     slots, values = one("slots"), one("values")
-    x = Sparse(slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(float),
+    x = Sparse(slots.flatten().to_numpy(), values.flatten().to_numpy(),
                np.concatenate([[0], np.cumsum(pa.compute.list_value_length(slots).to_numpy())]).astype(np.int64))
     return one("doc_id").to_numpy(), x, metadata(one("source"), one("lang"), one("n_chars"))
 

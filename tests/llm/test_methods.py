@@ -195,3 +195,16 @@ def test_fingerprints_compare_without_texts(spark):
     want = [len({*a} & {*b}) / len({*a} | {*b}) if a or b else 1.0 for a, b in rows]
     known = [i for i in range(len(rows)) if got[i] is not None]
     assert [got[i] for i in known] == pytest.approx([want[i] for i in known]) and len(known) >= len(rows) - 2
+
+
+def test_driver_holds_four_byte_features(spark):
+    """The documents a view is fitted on come to the driver as they leave the tasks, and score as eight-byte numbers do."""
+    from foldwise.llm import quality
+
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} common W{i}" if i else None, "s", "en", i) for i in range(9)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    ids, x, _ = quality.features(docs, docs.select("doc_id").filter("doc_id <> 4"))
+    assert ids.tolist() == [0, 1, 2, 3, 5, 6, 7, 8] and x.slots.dtype == np.int32 and x.values.dtype == np.float32
+    w = np.random.default_rng(1).normal(size=quality.CONTENT_SLOTS)
+    wide = quality.Sparse(x.slots.astype(np.int64), x.values.astype(float), x.offsets)
+    for rows in (np.arange(8), np.array([5, 2, 2])):
+        assert np.array_equal(x.take(rows).dot(w), wide.take(rows).dot(w))
