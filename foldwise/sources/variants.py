@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwise.functions.substitutions import finite, parse_substitutions
+from foldwise.plans.keyjoin import beside
 
 RECORD = "struct<mut_info:string,fitness:string,seq:string>"
 
@@ -45,7 +46,8 @@ def csv_variants(lines: DataFrame, order: list[str]) -> tuple[DataFrame, DataFra
     filled = good.filter(F.length("mutated_sequence") > 0)
     refs = filled.groupBy("dataset").agg(F.min_by(F.length("mutated_sequence"), place).alias("seq_len"))
     subs = parse_substitutions(F.col("mutant"))
-    fits = good.join(refs, "dataset", "left").withColumn("_s", subs).withColumn(
+    small = beside(lines.select("dataset").distinct())
+    fits = good.join(small(refs), "dataset", "left").withColumn("_s", subs).withColumn(
         "_in", F.filter("_s", lambda s: F.col("seq_len").isNull() | s["pos"].between(1, F.col("seq_len")))
     )
     odd = F.coalesce((F.length("mutated_sequence") > 0) & (F.length("mutated_sequence") != F.col("seq_len")), F.lit(False))
