@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldwise.plans.keyjoin import join_keys
+
 
 def _mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(a), F.lit(0))
 
 
 def _clamped(pos: Column, length: Column, offset: int = 0) -> Column:
@@ -22,40 +24,43 @@ def confidence_features(rows: DataFrame, confidence: DataFrame, pae: DataFrame,
     Local value, the values of the window (edges repeated), mean and largest
     error of the position's row, local minus global, population sd of the window,
     global mean and the interface score. Joined by key, so dropped rows cannot
-    shift the features of others.
+    shift the features of others. They depend on a residue alone, so they are worked out once for each: the long arrays never
+    travel with the rows.
     """
-    joined = rows.join(confidence.select("dataset", "plddt", "iptm"), "dataset")
     length = F.size("plddt")
-    joined = joined.withColumn("_i", _clamped(F.col("pos"), length) + 1)
-    joined = joined.join(pae.select("dataset", F.col("i").alias("_i"), "pae_row"), ["dataset", "_i"])
-    near = F.array(*[F.get("plddt", _clamped(F.col("pos"), length, o)).cast("double") for o in range(-window, window + 1)])
-    joined = joined.withColumn("_near", near).withColumn("_mid", _mean(F.col("_near"))).withColumn(
+    errors = F.transform("pae_row", lambda x: x.cast("double"))
+    spots = pae.select("dataset", F.col("i").alias("_i"), _mean(errors).alias("_mean"), F.array_max(errors).alias("_max")).join(confidence.select("dataset", "plddt", "iptm"), "dataset")
+    near = F.array(*[F.get("plddt", _clamped(F.col("_i"), length, o)).cast("double") for o in range(-window, window + 1)])
+    spots = spots.withColumn("_near", near).withColumn("_mid", _mean(F.col("_near"))).withColumn(
         "_all", _mean(F.transform("plddt", lambda x: x.cast("double")))
     )
     local = F.get("plddt", F.col("_i") - 1).cast("double")
     sd = F.sqrt(_mean(F.transform("_near", lambda x: (x - F.col("_mid")) * (x - F.col("_mid")))))
-    row = F.transform("pae_row", lambda x: x.cast("double"))
     vector = F.concat(
         F.array(local), F.col("_near"),
-        F.array(_mean(row), F.array_max(row), local - F.col("_all"), sd, F.col("_all"), F.col("iptm").cast("double")),
+        F.array(F.col("_mean"), F.col("_max"), local - F.col("_all"), sd, F.col("_all"), F.col("iptm").cast("double")),
     )
-    return joined.withColumn("struct", vector).drop("_i", "_near", "_mid", "_all", "plddt", "iptm", "pae_row")
+    spots = spots.select("dataset", "_i", length.alias("_len"), vector.alias("struct"))
+    # structures of one name may differ in length: each length once beside a row, every structure at the spot
+    lengths = confidence.select("dataset", F.size("plddt").alias("_len")).distinct()
+    placed = rows.join(lengths, "dataset").withColumn("_i", _clamped(F.col("pos"), F.col("_len")) + 1)
+    return join_keys(placed, spots, ["dataset", "_i", "_len"]).drop("_i", "_len")
 
 
 def error_statistics(rows: DataFrame, pae: DataFrame, radius: int | None = None) -> DataFrame:
     """Mean, largest and smallest error of each row's position, optionally near it only."""
     lengths = pae.groupBy("dataset").agg(F.max(F.size("pae_row")).alias("_len"))
     placed = rows.join(lengths, "dataset").withColumn("i", _clamped(F.col("pos"), F.col("_len")) + 1)
-    joined = placed.join(pae.select("dataset", "i", "pae_row"), ["dataset", "i"])
     band = F.col("pae_row")
     if radius is not None:
         start = F.greatest(F.lit(0), F.col("i") - 1 - radius)
-        stop = F.least(F.col("_len"), F.col("i") + radius)
-        band = F.slice("pae_row", start + 1, stop - start)
-    joined = joined.withColumn("_b", F.transform(band, lambda x: x.cast("double")))
-    return joined.withColumn("pae_mean", _mean(F.col("_b"))).withColumn(
-        "pae_max", F.array_max("_b")
-    ).withColumn("pae_min", F.array_min("_b")).drop("_b", "_len", "pae_row", "i")
+        stop = F.least(F.size("pae_row"), F.col("i") + radius)
+        band = F.slice("pae_row", start + 1, F.greatest(F.lit(0), stop - start))
+    band = F.transform(band, lambda x: x.cast("double"))
+    # of a residue alone: three numbers travel to the rows, not the errors
+    spots = pae.select("dataset", "i", band.alias("_b")).select(
+        "dataset", "i", _mean(F.col("_b")).alias("pae_mean"), F.array_max("_b").alias("pae_max"), F.array_min("_b").alias("pae_min"))
+    return placed.join(spots, ["dataset", "i"]).drop("_len", "i")
 
 
 def exposure(plddt: Column) -> Column:

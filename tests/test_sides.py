@@ -147,3 +147,41 @@ def test_position_groups_in_linear_time(spark):
             load[f] += n
             expected.add((d, p, f))
     assert {tuple(r) for r in groups.select("dataset", "pos", "fold").collect()} == expected
+
+
+def test_confidence_of_a_residue_before_the_rows(spark):
+    """The long arrays stay with the structures; structures and error rows that occur twice give each row as often."""
+    from foldwise.operators import confidence as C
+
+    rows = spark.createDataFrame([("a", "r1", 1), ("a", "r2", 9), ("b", "r3", 2), ("c", "r4", 1), (None, "r5", 1), ("a", "r6", None)], "dataset string, row_id string, pos int")
+    conf = spark.createDataFrame([("a", [1.0, 2.0, 4.0], 0.5), ("a", [1.0, 2.0, 4.0], 0.7), ("a", [8.0, 9.0], 0.1), ("b", [3.0, 5.0], None), ("c", None, 0.2)],
+                                 "dataset string, plddt array<double>, iptm double")
+    pae = spark.createDataFrame([("a", 1, [0.0, 1.0, 2.0]), ("a", 2, [1.0, 0.0, 1.0]), ("a", 3, [2.0, 1.0, 6.0]), ("a", 3, [9.0]), ("b", 2, [1.0, 3.0]), ("b", 5, []), ("c", 1, [7.0])],
+                                "dataset string, i int, pae_row array<double>")
+    out = C.confidence_features(rows, conf, pae)
+    got = sorted(((r.row_id, r.struct[0], r.struct[6], r.struct[7], r.struct[11]) for r in out.collect()), key=str)
+    assert got == sorted([
+        ("r1", 1.0, 1.0, 2.0, 0.5), ("r1", 1.0, 1.0, 2.0, 0.7), ("r1", 8.0, 1.0, 2.0, 0.1),
+        *[(k, 4.0, m, x, t) for k in ("r2", "r6") for m, x in ((3.0, 6.0), (9.0, 9.0)) for t in (0.5, 0.7)],
+        *[(k, 9.0, 2 / 3, 1.0, 0.1) for k in ("r2", "r6")], ("r3", 5.0, 2.0, 3.0, None), ("r4", None, 7.0, 7.0, 0.2)], key=str)
+    stats = C.error_statistics(rows, pae, radius=1)
+    near = sorted(((r.row_id, r.pae_mean, r.pae_max, r.pae_min) for r in stats.filter("dataset = 'a'").collect()), key=str)
+    assert near == sorted([("r1", 0.5, 1.0, 0.0), *[(k, 3.5, 6.0, 1.0) for k in ("r2", "r6")], *[(k, None, None, None) for k in ("r2", "r6")]], key=str)
+    for df in (out, stats):  # above the join with the rows no array of a structure's length is left
+        top = df._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+        assert "pae_row" not in top and "plddt" not in top and df.columns[:3] == ["dataset", "row_id", "pos"]
+
+
+def test_csv_lines_do_not_meet_by_dataset(spark):
+    from foldwise.sources.variants import csv_variants
+
+    lines = spark.createDataFrame([(d, f"A{i}C", str(i), "MMMM" if i % 2 else "", i) for d in ("a", "b", None) for i in range(1, 9)],
+                                  "dataset string, mutant string, DMS_score string, mutated_sequence string, at int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        variants, refs = csv_variants(lines, ["at"])
+        assert "SortMergeJoin" not in variants._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.dataset, r.variant_id) for r in variants.filter("dataset is not null").collect()) == [(d, f"A{i}C") for d in "ab" for i in range(1, 5)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
