@@ -185,3 +185,31 @@ def test_csv_lines_do_not_meet_by_dataset(spark):
         assert sorted((r.dataset, r.variant_id) for r in variants.filter("dataset is not null").collect()) == [(d, f"A{i}C") for d in "ab" for i in range(1, 5)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("chunk", [1, 1 << 27])
+@pytest.mark.parametrize("scaling", ["fold", "global"])
+def test_packed_rows_score_as_all_rows(spark, chunk, scaling):
+    """Rows that agree in vector and folds as one: predictions, penalties and rank correlations of the rows themselves."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(9, 3))
+    rows = []
+    for g in (None, "a", "one"):
+        for i in range(240):
+            v = int(rng.integers(9))
+            y = float(np.round(vectors[v, 0] + 0.3 * rng.normal(), 1))
+            rows.append((g, f"{g}{i}", y, [float(u) for u in vectors[v]], 0 if g == "one" else i % 3, int(rng.integers(2))))
+    df = spark.createDataFrame(rows, "g string, row_id string, y double, x array<double>, f int, h int").repartition(4)
+    few = ridge.packed(df, ["g"], ["f", "h"], chunk_bytes=1)
+    assert few.count() < 150 and few.agg(F.sum("_n")).first()[0] == 720
+    sets = {"all": (0, None), "head": (0, 2)}
+    run = lambda x, c: {(r["g"], r["split"], r["featset"]): (r["rho"], r["n"])
+                        for r in ridge.ridge_scores(x, ["g"], ["f", "h"], sets, scaling=scaling, chunk_bytes=c).collect()}
+    got, want = run(few, chunk), run(df, 1 << 27)
+    assert got.keys() == want.keys() and want["one", "f", "all"] == (None, 0)
+    for k, (rho, n) in want.items():
+        assert got[k][1] == n and (got[k][0] is None if rho is None else abs(got[k][0] - rho) < 1e-3), k
+    keys = ["g", "split", "featset"]
+    alphas = lambda x: rounded(ridge.chosen_penalties(ridge.ridge_oof(x, ["g"], ["f", "h"], sets, scaling=scaling, chunk_bytes=chunk), keys))
+    assert alphas(few) == alphas(df)
+    assert ridge.packed(df, ["g"], ["f", "h"]).columns == df.columns, "groups that fit a task stay as they are"
