@@ -38,7 +38,7 @@ def bind(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that ``column`` holds about ``limit`` bytes; a longer single text stays whole."""
     for batch in batches:
         if batch.num_rows == 0:
