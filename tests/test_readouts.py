@@ -198,3 +198,35 @@ def test_probe_grid_covers_all_splits(spark):
 
     got = entry.queries()["probe_grid"](spark, "/root/testdata/sf0.001").select("arm", "split").distinct().collect()
     assert {tuple(r) for r in got} == {(a, s) for a in ("masked_wt", "mutant") for s in SCHEMES}
+
+
+def _few_vectors(spark, n=1200):
+    """Rows that take 18 (unit, aux) pairs, with the layers of their unit behind one another."""
+    rng = np.random.default_rng(8)
+    pos, kind = rng.integers(1, 7, n), rng.integers(0, 3, n)
+    y = 0.4 * pos + kind + rng.normal(size=n).round(1)
+    rows = pd.DataFrame({"dataset": "a", "row_id": [str(i) for i in range(n)], "pos": pos.astype("int32"), "fitness": y,
+                         "aux": [[float(k), float(k * k)] for k in kind], "modulo": ((pos - 1) % 3).astype("int32")})
+    units = pd.DataFrame([("a", p, list(rng.normal(size=8))) for p in range(1, 7)], columns=["dataset", "pos", "x"])
+    return (spark.createDataFrame(rows, "dataset string, row_id string, pos int, fitness double, aux array<double>, modulo int"),
+            spark.createDataFrame(units, "dataset string, pos int, x array<double>"))
+
+
+def test_packed_rows_learn_and_score_alike(spark):
+    rows, units = _few_vectors(spark)
+    packed = R.packed_units(rows, units, ["modulo"], chunk_bytes=1000)
+    assert packed.count() == 18
+    pair = [r.withColumnRenamed("fitness", "y").join(units, ["dataset", "pos"]) for r in (rows, packed)]
+    weights = [{r.fold: r.weights for r in A.learn_layer_weights(f, ["dataset"], ["modulo"], 4).collect()} for f in pair]
+    assert weights[0].keys() == weights[1].keys() == {0, 1, 2}
+    for f, w in weights[0].items():
+        np.testing.assert_allclose(w, weights[1][f], atol=1e-9)
+    for chunk_bytes in (1 << 20, 400):
+        rho = [[(r.rho, r.n) for r in A.attention_scores(f, ["dataset"], ["modulo"], 4, chunk_bytes=chunk_bytes).collect()] for f in pair]
+        assert rho[0][0][1] == rho[1][0][1] == 1200
+        assert abs(rho[0][0][0] - rho[1][0][0]) < 1e-6
+
+
+def test_units_that_come_twice_are_not_packed(spark):
+    rows, units = _few_vectors(spark, 50)
+    assert R.packed_units(rows, units.union(units), ["modulo"], chunk_bytes=1000).count() == 50
