@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from foldwise.functions.alphabet import AMINO_ACIDS
 from foldwise.operators.correlation import spearman
 from foldwise.operators.curves import summary
+from foldwise.plans.keyjoin import beside
 
 SPOT = ["dataset", "pos", "layer"]
 
@@ -59,10 +60,11 @@ def _letter(logp: str, letter: Column) -> Column:
 
 
 def packed_log_ratio(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    """log p(to) - log p(from) of every row at every layer of ``letter_arrays``; unknown letters are skipped."""
+    """log p(to) - log p(from) of every row at every layer of ``letter_arrays``; unknown letters are skipped. Spots counted to be few are broadcast."""
     known = lambda x: F.when(F.length(x) == 1, x)
+    small = beside(spots.select(*SPOT))
     score = _letter("logp", known(F.col("to_aa"))) - _letter("logp", known(F.col("from_aa")))
-    return rows.join(spots, ["dataset", "pos"]).withColumn("score", score).filter(F.col("score").isNotNull()).drop("logp")
+    return rows.join(small(spots), ["dataset", "pos"]).withColumn("score", score).filter(F.col("score").isNotNull()).drop("logp")
 
 
 def packed_lens_scores(rows: DataFrame, packed: DataFrame, vocabulary: Sequence[str | None], direct: bool = False, **sizes) -> DataFrame:

@@ -100,8 +100,9 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, *, ti
     if group_rows is None:
         group_rows = df.count()
     if group_rows <= slice_rows:
-        tied = F.count(F.lit(1)).over(Window.partitionBy(*keys, value))
-        first = F.rank().over(Window.partitionBy(*keys).orderBy(value))
+        order = Window.partitionBy(*keys).orderBy(value)  # ties are the peers of one order: rows are dealt and sorted once
+        tied = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+        first = F.rank().over(order)
         ranked = df.withColumn("_tied", tied).withColumn(
             out, (first + (F.col("_tied") - 1) / F.lit(2.0)).cast("double")
         )

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from foldwise.operators import correlation
 from foldwise.operators.correlation import spearman
 from foldwise.plans import ordering as O
 
@@ -65,3 +66,18 @@ def test_top_per_group_and_sorted_index(skewed):
     placed = O.sorted_index(df, ["w", "id"], "i").toPandas().sort_values("i")
     assert (placed["i"].to_numpy() == np.arange(len(pdf))).all()
     assert (placed["id"].to_numpy() == pdf.sort_values(["w", "id"])["id"].to_numpy()).all()
+
+
+def test_small_groups_are_ranked_where_they_meet(spark, monkeypatch):
+    """Many small groups beside one limit of rows: one exchange, no slices; a large group gives the same in slices."""
+    rows = [(None if k == 3 else k, float(i * 7 % 5), float(i * i % 11) if k else 2.0) for k in range(4) for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, x double, y double")
+    monkeypatch.setattr(correlation, "MANY", 4)
+    small = spearman(df, ["k"], "x", "y", slice_rows=50)
+    plan = small._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = {r.k: r for r in small.collect()}
+    got = {r.k: r for r in spearman(df, ["k"], "x", "y", slice_rows=16).collect()}
+    assert want.keys() == got.keys() == {None, 0, 1, 2} and want[0].rho is None and got[0].rho is None
+    for k in (None, 1, 2):
+        assert got[k].n == want[k].n == 40 and abs(got[k].rho - want[k].rho) < 1e-12
