@@ -213,3 +213,19 @@ def test_packed_rows_score_as_all_rows(spark, chunk, scaling):
     alphas = lambda x: rounded(ridge.chosen_penalties(ridge.ridge_oof(x, ["g"], ["f", "h"], sets, scaling=scaling, chunk_bytes=chunk), keys))
     assert alphas(few) == alphas(df)
     assert ridge.packed(df, ["g"], ["f", "h"]).columns == df.columns, "groups that fit a task stay as they are"
+
+
+def test_variant_vectors_deal_only_positions(spark, monkeypatch):
+    """Few vectors are broadcast: one exchange of rows, and the same means as when they are not."""
+    from foldwise.operators import pooling
+
+    rows = spark.createDataFrame([("a", "v1", 1), ("a", "v1", 2), ("a", "v1", 2), ("a", None, 3), ("b", "v2", 1), ("a", "v3", 9), (None, "v4", 1)], "dataset string, variant_id string, pos int").repartition(3)
+    hidden = spark.createDataFrame([(d, p, l, [float(p + l), 2.0 * p]) for d in "ab" for p in (1, 2, 3) for l in (0, 1)], "dataset string, pos int, layer int, vec array<double>")
+    few = pooling.variant_vectors(rows, hidden)
+    plan = few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "SortMergeJoin" not in plan and "hashpartitioning(dataset" in plan and plan.count("hashpartitioning(dataset#") <= 3
+    monkeypatch.setattr(pooling, "FEW_BYTES", 0)
+    want = sorted(map(str, pooling.variant_vectors(rows, hidden).collect()))
+    got = few.collect()
+    assert sorted(map(str, got)) == want and len(got) == 6
+    assert {r.layer: r.vec for r in got if r.variant_id == "v1"} == {0: [1.5, 3.0], 1: [2.5, 3.0]}
