@@ -37,6 +37,8 @@ MOST = 0.5  # documents of this probability of being good are never rejected
 WORD_SLOTS = 1 << 14
 STYLE_BINS = 16
 META_SLOTS = 1 << 12
+STYLES = 12
+BLOCK = 1 << 18  # entries of a sparse matrix that are worked on together
 
 _CLASS = np.zeros(256, np.uint8)  # 0 other
 _CLASS[[*range(65, 91)]] = 1
@@ -46,7 +48,7 @@ _CLASS[[ord(c) for c in "!?"]] = 4
 _CLASS[[9, 10, 11, 12, 13, 32]] = 5
 _CLASS[[*range(97, 123), *range(128, 256)]] = 6
 _CLASS[[ord(c) for c in ".,;:"]] = 7
-CONTENT_SLOTS = WORD_SLOTS + 12 * STYLE_BINS
+CONTENT_SLOTS = WORD_SLOTS + STYLES * STYLE_BINS  # below 2^15: a slot fits two bytes
 
 
 @dataclass
@@ -63,11 +65,68 @@ class Sparse:
         at = np.repeat(self.offsets[:-1][rows] - offsets[:-1], sizes) + np.arange(offsets[-1])
         return Sparse(self.slots[at], self.values[at], offsets)
 
+    def stacked(self, other: Sparse) -> Sparse:
+        return Sparse(np.concatenate([self.slots, other.slots]), np.concatenate([self.values, other.values]),
+                      np.concatenate([self.offsets, self.offsets[-1] + other.offsets[1:]]))
+
+    def entries(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots and values of the rows from ``first`` to before ``last``."""
+        part = slice(self.offsets[first], self.offsets[last])
+        return self.slots[part], self.values[part]
+
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Runs of rows of about ``BLOCK`` entries, so that no step needs memory for the entries of all rows."""
+        cut = self.offsets[:-1] // BLOCK
+        bounds = [0, *(np.flatnonzero(cut[1:] != cut[:-1]) + 1).tolist(), len(cut)]
+        return ((a, b) for a, b in zip(bounds[:-1], bounds[1:]) if b > a)
+
     def dot(self, w: np.ndarray) -> np.ndarray:
-        product, sums = w[self.slots], np.zeros(len(self.slots) + 1)
-        product *= self.values
-        np.cumsum(product, out=sums[1:])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        out = np.zeros(len(self.offsets) - 1)
+        for a, b in self.blocks():
+            slots, values = self.entries(a, b)
+            product, sums, at = w[slots], np.zeros(len(slots) + 1), self.offsets[a:b + 1] - self.offsets[a]
+            product *= values
+            np.cumsum(product, out=sums[1:])
+            out[a:b] = sums[at[1:]] - sums[at[:-1]]
+        return out
+
+    def summed(self, g: np.ndarray, slots: int) -> np.ndarray:
+        """Per slot the sum of its values times the number that ``g`` has for their row."""
+        out = np.zeros(slots)
+        for a, b in self.blocks():
+            at, values = self.entries(a, b)
+            out += np.bincount(at, values * np.repeat(g[a:b], np.diff(self.offsets[a:b + 1])), slots)
+        return out
+
+
+class Held(Sparse):
+    """Content of documents in two bytes an entry: the values follow from the number of a row's words."""
+
+    def __init__(self, narrow: np.ndarray, offsets: np.ndarray):
+        self.narrow, self.offsets = narrow, offsets
+
+    @property
+    def slots(self) -> np.ndarray:
+        return self.narrow.astype(np.int32)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self.entries(0, len(self.offsets) - 1)[1]
+
+    def entries(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        ends = self.offsets[first:last + 1]
+        sizes = np.diff(ends)
+        values = np.repeat((1 / np.sqrt(np.maximum(sizes - STYLES, 1))).astype(np.float32), sizes)
+        values[(ends[:-1, None] - ends[0] + np.arange(STYLES)).ravel()] = 1.0
+        return self.narrow[ends[0]:ends[-1]], values
+
+    def take(self, rows: np.ndarray) -> Held:
+        starts, ends = self.offsets[:-1][rows], self.offsets[1:][rows]
+        lists = [self.narrow[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return Held(np.concatenate([self.narrow[:0], *lists]), np.concatenate([[0], np.cumsum(ends - starts)]))
+
+    def stacked(self, other: Held) -> Held:
+        return Held(np.concatenate([self.narrow, other.narrow]), np.concatenate([self.offsets, self.offsets[-1] + other.offsets[1:]]))
 
 
 def _binned(share: np.ndarray) -> np.ndarray:
@@ -98,7 +157,7 @@ def content(texts: pa.Array) -> Sparse:
     slots[spots], values[spots] = style.ravel(), 1.0
     rest = np.ones(out[-1], bool)
     rest[spots] = False
-    slots[rest] = 12 * STYLE_BINS + (distinct % np.uint64(WORD_SLOTS)).astype(np.int64)
+    slots[rest] = STYLES * STYLE_BINS + (distinct % np.uint64(WORD_SLOTS)).astype(np.int64)
     values[rest] = np.repeat(1 / np.sqrt(np.maximum(n_distinct, 1)), n_distinct)
     return Sparse(slots, values, out)
 
@@ -123,11 +182,10 @@ def fit(x: Sparse, y: np.ndarray, slots: int, weight: np.ndarray, ridge: float =
     """Logistic regression with a bias in the last place, classes weighted equally; Adagrad on the whole sample."""
     weight = weight * np.where(y > 0, 0.5 / max(1e-9, weight[y > 0].sum()), 0.5 / max(1e-9, weight[y <= 0].sum()))
     w, seen = np.zeros(slots + 1), np.full(slots + 1, 1e-8)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(x.offsets))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x.dot(w) + w[-1], -40, 40)))
         g = weight * (p - y)
-        gradient = np.append(np.bincount(x.slots, x.values * g[row], slots), g.sum())
+        gradient = np.append(x.summed(g, slots), g.sum())
         gradient[:-1] += ridge * 1e-4 * w[:-1]
         seen += gradient**2
         w -= 0.5 * gradient / np.sqrt(seen)
@@ -187,10 +245,6 @@ def parted(label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.sort(np.delete(rows, np.s_[::4])), np.sort(rows[::4])) if len(rows) >= 40 else (rows, rows)
 
 
-def stacked(a: Sparse, b: Sparse) -> Sparse:
-    return Sparse(np.concatenate([a.slots, b.slots]), np.concatenate([a.values, b.values]), np.concatenate([a.offsets, a.offsets[-1] + b.offsets[1:]]))
-
-
 def confident(docs: DataFrame, known: np.ndarray, weights: list[np.ndarray], curves: list[tuple[float, float]], taught: int) -> pa.Table:
     """view, mark, doc_id, weight: a sample of all documents but ``known`` that a view is confident about.
 
@@ -248,28 +302,23 @@ def confident(docs: DataFrame, known: np.ndarray, weights: list[np.ndarray], cur
 def features(docs: DataFrame, ids: DataFrame) -> tuple[np.ndarray, Sparse, Sparse]:
     """doc_id (ascending) and both views of the documents of ``ids``, a few thousand.
 
-    The driver holds their words once, as the four-byte numbers that come from the tasks.
+    The driver holds the slots of their words once, in the two bytes that come from the tasks (:class:`Held`).
     """
     picked = docs.select("doc_id", "text", "source", "lang", "n_chars").join(F.broadcast(ids), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             x = content(batch.column("text"))
-            lists = lambda v, t: pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(v, t))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("source"), batch.column("lang"), batch.column("n_chars"),
-                 lists(x.slots, pa.int32()), lists(x.values.astype(np.float32), pa.float32())],
-                names=["doc_id", "source", "lang", "n_chars", "slots", "values"])
+            slots = pa.ListArray.from_arrays(pa.array(x.offsets, pa.int32()), pa.array(x.slots, pa.int16()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), slots], names=[*names, "slots"])
 
+    names = ["doc_id", "source", "lang", "n_chars"]
     fields = {f.name: f.dataType.simpleString() for f in picked.schema}
-    schema = ", ".join(f"{c} {fields[c]}" for c in ("doc_id", "source", "lang", "n_chars")) + ", slots array<int>, values array<float>"
-    rows = picked.mapInArrow(run, schema).toArrow().combine_chunks()
-    order = pa.compute.sort_indices(rows, [("doc_id", "ascending")])
-    rows = rows.take(order).combine_chunks()
+    rows = picked.mapInArrow(run, ", ".join(f"{c} {fields[c]}" for c in names) + ", slots array<smallint>").toArrow()
+    rows = rows.take(pa.compute.sort_indices(rows, [("doc_id", "ascending")])).combine_chunks()
     one = lambda c: rows.column(c).combine_chunks() if isinstance(rows.column(c), pa.ChunkedArray) else rows.column(c)
-    slots, values = one("slots"), one("values")
-    x = Sparse(slots.flatten().to_numpy(), values.flatten().to_numpy(),
-               np.concatenate([[0], np.cumsum(pa.compute.list_value_length(slots).to_numpy())]).astype(np.int64))
+    slots = one("slots")
+    x = Held(slots.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(slots).to_numpy())]).astype(np.int64))
     return one("doc_id").to_numpy(), x, metadata(one("source"), one("lang"), one("n_chars"))
 
 
@@ -305,7 +354,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, taught:
             m, w = mark[at].astype(float), share[at] / np.bincount(np.searchsorted(theirs, found[rows]), minlength=len(theirs))[at]
             for c in (0.0, 1.0):
                 w[m == c] *= (y == c).sum() / max(w[m == c].sum(), 1e-9)
-            weights.append(fit(stacked(base[k], more[k].take(rows)), np.concatenate([y, m]), slots[k], np.concatenate([np.ones(len(y)), w])))
+            weights.append(fit(base[k].stacked(more[k].take(rows)), np.concatenate([y, m]), slots[k], np.concatenate([np.ones(len(y)), w])))
     y = label[held]
     rate = min(max(y.mean(), 1e-3), 1 - 1e-3)
     curves = [calibrated(v.take(held).dot(w) + w[-1], y) for v, w in zip(views, weights)]

@@ -208,3 +208,24 @@ def test_driver_holds_four_byte_features(spark):
     wide = quality.Sparse(x.slots.astype(np.int64), x.values.astype(float), x.offsets)
     for rows in (np.arange(8), np.array([5, 2, 2])):
         assert np.array_equal(x.take(rows).dot(w), wide.take(rows).dot(w))
+
+
+def test_fitting_needs_little_beside_two_bytes_an_entry(spark):
+    """The driver's memory for a fit doesn't hold the entries of all documents in wider numbers, and the weights are those of wide ones."""
+    import tracemalloc
+
+    from foldwise.llm import quality
+
+    texts = [" ".join(f"w{(i * 7919 + k * 31) % 9973}" for k in range(2000)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "s", "en", i) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, lang string, n_chars bigint")
+    _, x, _ = quality.features(docs, docs.select("doc_id"))
+    rows, y = np.arange(1000) % 40, np.arange(1000) % 40 % 3 // 2 * 1.0
+    tracemalloc.start()
+    many = x.take(rows)
+    w = quality.fit(many, y, quality.CONTENT_SLOTS, np.ones(1000), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    entries = many.offsets[-1]
+    assert entries > 1_900_000 and peak < 12 * entries
+    wide = quality.Sparse(many.slots.astype(np.int64), many.values.astype(float), many.offsets)
+    assert np.allclose(w, quality.fit(wide, y, quality.CONTENT_SLOTS, np.ones(1000), steps=3), rtol=0, atol=1e-12)
