@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +17,7 @@ from foldwise.functions.signed_rank import signed_rank_p
 from foldwise.functions.substitutions import finite
 from foldwise.functions.tdist import t_cdf, t_quantile
 from foldwise.operators.curves import best_layer, layer_curve
-from foldwise.plans.keyjoin import join_keys
+from foldwise.plans.keyjoin import FEW_KEYS, join_keys
 from foldwise.plans.moments import key_fields
 from foldwise.plans.ordering import SLICE_ROWS, average_rank, value_counts
 from foldwise.session import materialise
@@ -194,16 +196,18 @@ def _slice_sums(values: np.ndarray, times: np.ndarray, number: int, draws: np.nd
     return out
 
 
-def _means_sliced(deltas: DataFrame, keys: list[str], unit: str, value: str, n_boot: int, seed: int, slice_units: int) -> DataFrame:
+def _means_sliced(deltas: DataFrame, keys: list[str], unit: str, value: str, n_boot: int, seed: int, slice_units: int,
+                  small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Replicate means of comparisons of any size: one vector of sums per slice is all that moves.
 
-    Equal rows of a unit count as one with a number, slices are dealt by hash: none grows with a hot unit.
+    Equal rows of a unit count as one with a number, slices are dealt by hash: none grows with a hot unit. ``small`` marks tables of
+    one row per comparison for the joins with their rows.
     """
     counted = deltas.groupBy(*keys, "_h", unit, value).agg(F.count(F.lit(1)).alias("_times"))
     sizes = deltas.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     bits = F.when(F.col("_n") > slice_units, F.ceil(F.log2(F.col("_n") / F.lit(float(slice_units))))).otherwise(0).cast("int")
     share = F.xxhash64(F.col(unit).cast("string"), value).bitwiseAND(F.lit((1 << 40) - 1))
-    dealt = join_keys(counted, sizes, keys).withColumn("_bits", bits).withColumn("_slice", share)
+    dealt = join_keys(counted, small(sizes), keys).withColumn("_bits", bits).withColumn("_slice", share)
     dealt = materialise(dealt.withColumn("_slice", F.expr("shiftright(_slice, 40 - _bits)")))
     per_slice = dealt.groupBy(*keys, "_slice", "_bits", "_n").agg(F.sum("_times").alias("_rows"))
     told = _slice_paths(per_slice, keys).select(*[F.col(k).alias(k) for k in keys], F.col("_slice").alias("_slice"), F.col("_n").alias("_n"), "_path")
@@ -239,15 +243,17 @@ def bootstrap_ci(deltas: DataFrame, keys: list[str], lo: float, hi: float, *, un
         "_h", md5_int(F.col(unit).cast("string"), 1, 12).cast("double")
     ))
     sizes = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
-    largest = sizes.agg(F.max("_c")).first()[0] or 0
+    largest, comparisons = sizes.agg(F.max("_c"), F.count(F.lit(1))).first()
     packed = min(array_rows, slice_units)
-    if largest <= packed:
+    if (largest or 0) <= packed:
         means = _means_small(seen, keys, unit, value, n_boot, seed, blocks)
     else:
-        few = join_keys(seen, sizes.filter(F.col("_c") <= packed).drop("_c"), keys, "left_semi")
-        many = join_keys(seen, sizes.filter(F.col("_c") > packed).drop("_c"), keys, "left_semi")
+        # few comparisons would leave a sort-merge join in which all units of one meet in one task
+        small = F.broadcast if comparisons <= FEW_KEYS else lambda table: table
+        few = join_keys(seen, small(sizes.filter(F.col("_c") <= packed).drop("_c")), keys, "left_semi")
+        many = join_keys(seen, small(sizes.filter(F.col("_c") > packed).drop("_c")), keys, "left_semi")
         means = _means_small(few, keys, unit, value, n_boot, seed, blocks).unionByName(
-            _means_sliced(many, keys, unit, value, n_boot, seed, slice_units)
+            _means_sliced(many, keys, unit, value, n_boot, seed, slice_units, small)
         )
     return means.groupBy(*keys).agg(
         F.percentile("m", F.lit(lo / 100)).alias("lo"), F.percentile("m", F.lit(hi / 100)).alias("hi")

@@ -163,3 +163,25 @@ def test_packed_lens_equals_token_rows(spark, direct):
     b = lens.log_ratio(rows, lens.letter_log_probs(spark.createDataFrame(long, "dataset string, pos int, layer int, token_id int, letter string, logit double"), direct))
     a, b = ({(r["row_id"], r["layer"]): r["score"] for r in x.collect()} for x in (a, b))
     assert a.keys() == b.keys() == {(r, l) for r in ("r1", "r2") for l in range(2)} and all(math.isclose(a[k], b[k], rel_tol=1e-9) for k in a)
+
+
+def test_sliced_bootstrap_joins_no_units_by_comparison(spark):
+    """Facts of a few comparisons are broadcast: no sort-merge join brings all units of a comparison into one task."""
+    from unittest import mock
+
+    df = spark.createDataFrame([(f"k{i % 3}", f"d{i}", float(i % 17)) for i in range(3000)], "k string, dataset string, d double")
+    kept, cut = [], P.materialise
+
+    def seen(table):
+        kept.append(table._jdf.queryExecution().optimizedPlan().toString() + table._jdf.queryExecution().executedPlan().toString())
+        return cut(table)
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with mock.patch.object(P, "materialise", seen):
+            out = P.bootstrap_ci(df, ["k"], 2.5, 97.5, n_boot=50, array_rows=0, slice_units=200).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(out) == 3 and len(kept) == 2
+    assert "SortMergeJoin" not in kept[1] and kept[1].count("BroadcastHashJoin") >= 2
