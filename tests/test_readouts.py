@@ -230,3 +230,65 @@ def test_packed_rows_learn_and_score_alike(spark):
 def test_units_that_come_twice_are_not_packed(spark):
     rows, units = _few_vectors(spark, 50)
     assert R.packed_units(rows, units.union(units), ["modulo"], chunk_bytes=1000).count() == 50
+
+
+def test_position_control_equals_the_ridge_of_whole_vectors(spark):
+    """Cells and block elimination against the ridge over rows that carry their vectors; more and fewer dimensions than positions, both ways to deal."""
+    from foldwise.functions.hashing import gaussian_matrix, gaussian_vector
+
+    rng = np.random.default_rng(21)
+    n, schemes = 400, ["random", "modulo"]
+    pos, kind = rng.integers(1, 31, n), rng.integers(0, 4, n)
+    kinds = np.pad(rng.normal(size=(4, 3)).round(2), ((0, 0), (0, R.AUX_WIDTH - 3)))
+    rows = [("d" if i % 3 else "e", f"v{i // 2}", f"v{i // 2}:{i}", int(pos[i]), 30, float(np.sin(pos[i]) + kind[i] + round(rng.normal(), 1)), [float(v) for v in kinds[kind[i]]])
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "dataset string, variant_id string, row_id string, pos int, seq_len int, fitness double, aux array<double>").cache()
+    told = spark.createDataFrame([(7,), (12,)], "p int").select(gaussian_vector(5, 1000, F.lit(2), F.col("p")).alias("v")).collect()
+    np.testing.assert_allclose(gaussian_matrix(5, 1000, 2, [7, 12]), [r["v"] for r in told], rtol=1e-12)
+    for dim, chunk_bytes in ((8, 1 << 20), (64, 100)):
+        spots = df.select("dataset", "pos").distinct().withColumn("layer", F.explode(F.array(F.lit(0), F.lit(1))))
+        hidden = spots.select("dataset", F.lit("random_position").alias("arm"), F.col("pos").cast("string").alias("unit_id"), "layer",
+                              gaussian_vector(dim, 1000, F.col("layer"), F.col("pos")).alias("vec"))
+        want = R.probe_grid(df, hidden, {"random_position": "pos"}, schemes)
+        got = R.position_control(df, schemes, n_draws=2, dim=dim, chunk_bytes=chunk_bytes)
+        assert got.columns == want.columns
+        a, b = ({(r.dataset, r.arm, r.layer, r.split, r.featset): (r.rho, r.n) for r in x.collect()} for x in (want, got))
+        assert len(a) == 16 and a.keys() == b.keys()
+        for k, (rho, count) in a.items():
+            # equal vectors tie exactly here, there only up to rounding
+            assert count == b[k][1] and abs(rho - b[k][0]) < (2e-2 if k[4] == "embedding_only" else 1e-3), (k, rho, b[k])
+
+
+@pytest.mark.parametrize("dim", [6, 40])
+def test_cells_predict_like_their_rows(dim):
+    """Predictions of all folds against the eigenproblem over whole rows, with flat and repeated columns."""
+    from foldwise.operators.position_ridge import pooled_predictions
+
+    rng = np.random.default_rng(22)
+    pos, kind, fold = rng.integers(0, 25, 300), rng.integers(0, 5, 300), rng.integers(0, 4, 300)
+    vectors, kinds = rng.normal(size=(25, dim)), np.hstack([np.eye(5), np.ones((5, 1)), rng.normal(size=(5, 1))])
+    y = 100.0 + np.sin(pos) + kind + rng.normal(size=300)
+    x = np.hstack([vectors[pos], kinds[kind]])
+    sets = {"combined": (0, None), "embedding_only": (0, dim)}
+    want = {name: np.empty(300) for name in sets}
+    for name, _, test, loss, pred in R._solved(x - x.mean(axis=0), y, fold, sets, "fold", R.ALPHAS):
+        want[name][test] = pred[:, loss.argmin()]
+    one, none = np.ones(300), np.zeros(300)
+    got, single = pooled_predictions(vectors.copy(), kinds, pos, kind, one, y, none, [fold, fold * 0], R.ALPHAS)
+    assert single is None
+    for k, name in enumerate(sets):
+        np.testing.assert_allclose(got[k] + y.mean(), want[name], atol=1e-6)
+
+
+def test_position_control_is_registered_whole(spark, monkeypatch):
+    from foldwise.plans.catalog import readouts
+
+    asked = {}
+
+    def noted(rows, schemes, n_draws=33, dim=1280, **options):
+        asked.update(schemes=list(schemes), n_draws=n_draws, dim=dim)
+        return spark.createDataFrame([], "dataset string, split string, featset string, rho double")
+
+    monkeypatch.setattr(readouts.ridge, "position_control", noted)
+    readouts.position_control(spark, "/root/testdata/sf0.001")
+    assert asked == {"schemes": readouts.SCHEMES, "n_draws": 33, "dim": 1280}
