@@ -229,3 +229,23 @@ def test_variant_vectors_deal_only_positions(spark, monkeypatch):
     got = few.collect()
     assert sorted(map(str, got)) == want and len(got) == 6
     assert {r.layer: r.vec for r in got if r.variant_id == "v1"} == {0: [1.5, 3.0], 1: [2.5, 3.0]}
+
+
+def test_variant_means_are_not_aggregated_as_rows(spark, monkeypatch):
+    """Where tasks hold the vectors no aggregate or sort meets a vector; many lists, missing places, ragged layers and keys that are null give the same means."""
+    from foldwise.operators import pooling
+
+    rng = np.random.default_rng(17)
+    rows = spark.createDataFrame([(("a", "b", None)[int(d)], f"v{v}", int(p)) for d, v, p in zip(rng.integers(0, 3, 900), rng.integers(0, 90, 900), rng.integers(-2, 40, 900))],
+                                 "dataset string, variant_id string, pos int").repartition(3)
+    cells = [(d, p, l, [float(x) for x in rng.normal(size=3)]) for d in ("a", "b", "c") for p in range(1, 35) if p % 7 for l in (4, 2)]
+    whole, ragged = (spark.createDataFrame(c, "dataset string, pos int, layer int, vec array<double>") for c in (cells, cells[:-1] + cells[:1]))
+    rounded = lambda df: sorted((r.dataset, r.variant_id, r.layer, *[round(x, 9) for x in r.vec]) for r in df.collect())
+    monkeypatch.setattr(pooling, "MEAN_ROWS", 7)
+    held = {name: pooling.variant_vectors(rows, h) for name, h in (("whole", whole), ("ragged", ragged))}
+    plan = held["whole"]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert "MapInArrow" in plan and "metrics" not in plan and "Join" not in plan
+    got = {name: rounded(df) for name, df in held.items()}
+    monkeypatch.setattr(pooling, "FEW_BYTES", 0)
+    for name, h in (("whole", whole), ("ragged", ragged)):
+        assert got[name] == rounded(pooling.variant_vectors(rows, h)) and len(got[name]) > 100
