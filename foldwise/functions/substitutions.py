@@ -36,12 +36,13 @@ def finite(x: Column) -> Column:
     return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
 
 
-def apply_substitutions(wt: Column, subs: Column) -> Column:
+def apply_substitutions(wt: Column, subs: Column, single: Column | None = None) -> Column:
     """The reference sequence with every listed letter put in place.
 
-    Where every letter is one byte, bytes are put in place: no characters are counted up to each place.
+    Where every letter is one byte, bytes are put in place: no characters are counted up to each place. ``single`` may carry
+    ``single_bytes(wt)``, found once per reference: counting the characters of each row's reference takes longer than the rest.
     """
-    plain = single_bytes(wt) & F.forall(subs, lambda x: single_bytes(x["to_aa"]) & (x["pos"] >= 1))
+    plain = (single_bytes(wt) if single is None else single) & F.forall(subs, lambda x: single_bytes(x["to_aa"]) & (x["pos"] >= 1))
     as_bytes = F.aggregate(subs, wt.cast("binary"), lambda s, x: F.overlay(s, x["to_aa"].cast("binary"), x["pos"], F.lit(1)))
     return F.when(plain, as_bytes.cast("string")).otherwise(
         F.aggregate(subs, wt, lambda s, x: F.overlay(s, x["to_aa"], x["pos"], F.lit(1)))

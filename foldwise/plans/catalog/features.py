@@ -42,8 +42,9 @@ def lenient_parse(spark, d):
 
 
 def apply_substitutions(spark, d):
-    v = valid(spark, d).join(B.references(spark, d).select("dataset", "wt"), "dataset")
-    return v.select("dataset", "variant_id", F.md5(U.apply_substitutions(F.col("wt"), F.col("subs"))).alias("digest"))
+    refs = B.references(spark, d).select("dataset", "wt", U.single_bytes(F.col("wt")).alias("single"))
+    v = valid(spark, d).join(refs, "dataset")
+    return v.select("dataset", "variant_id", F.md5(U.apply_substitutions(F.col("wt"), F.col("subs"), F.col("single"))).alias("digest"))
 
 
 def model_input_tokens(spark, d):

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,3 +128,16 @@ def test_masked_inputs_are_spread_over_tasks(spark, tmp_path):
     assert len(got) == len(set(got)) == 2 * n - 50 and set(got) == {("1-X", i + 1) for i in range(n - 5)} | {("9-Y", i + 1) for i in range(n - 45)}
     odd = spark.createDataFrame([("éCD",)], "wt string").select(U.masked_input(U.model_input(F.col("wt")), F.lit(2)).alias("m")).collect()[0]
     assert odd.m == "é <mask> D"
+
+
+def test_characters_are_counted_once_per_reference(spark):
+    """No variant asks whether its whole reference takes one byte a character; given or found, the sequence is the same."""
+    from foldwise.plans.catalog import features
+
+    plan = features.apply_substitutions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    hashing = [line for line in plan.splitlines() if "md5(" in line]
+    assert len(hashing) == 1 and not re.search(r"octet_length\(wt#", hashing[0]) and plan.count("octet_length") >= 2
+    df = spark.createDataFrame([("ACDEF",), ("AéDEF",), (None,)], "wt string").withColumn("s", U.single_bytes(F.col("wt"))).withColumn(
+        "subs", U.parse_substitutions(F.lit("A1C:D3W:D3Y")))
+    for a, b in df.select(U.apply_substitutions(F.col("wt"), F.col("subs")), U.apply_substitutions(F.col("wt"), F.col("subs"), F.col("s"))).collect():
+        assert a == b
