@@ -227,24 +227,21 @@ def test_packed_rows_learn_and_score_alike(spark):
         assert abs(rho[0][0][0] - rho[1][0][0]) < 1e-6
 
 
-def test_layers_are_pooled_once_per_unit(spark):
+def test_layers_are_pooled_once_per_unit(spark, monkeypatch):
     """The same scores whether rows or their units are pooled; a unit's layers are mixed once for each held-out fold."""
     rows, units = _few_vectors(spark)
     features = rows.withColumnRenamed("fitness", "y").join(units, ["dataset", "pos"])
     score = lambda **o: sorted((r.dataset, r.split, round(r.rho, 9), r.n) for r in A.attention_scores(features, ["dataset"], ["modulo"], 4, **o).collect())
     each = score()
-    before = {p for p in _pooled_tables(spark)}
-    assert score(unit=["pos"]) == each
-    made = [p for p in _pooled_tables(spark) if p not in before]
-    assert [spark.read.parquet(p).count() for p in made] == [6 * 3]
-
+    made = []
 
-def _pooled_tables(spark):
-    import glob
+    def noted(df, name, write=A.written):
+        made.append((name, write(df, name)))
+        return made[-1][1]
 
-    from foldwise.session import shared_folder
-
-    return glob.glob(shared_folder(spark).removeprefix("file:") + "/pooled-*")
+    monkeypatch.setattr(A, "written", noted)
+    assert score(unit=["pos"]) == each
+    assert [df.count() for name, df in made if name == "pooled"] == [6 * 3]
 
 
 def test_units_that_come_twice_are_not_packed(spark):
